@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from caseweave.functions.scalars import as_boolean, as_number
+from caseweave.functions.scalars import as_number, typed_attributes, typed_value
 
 CONJUNCTS = "array<struct<attr:string,op:string,value:string>>"
 
@@ -27,39 +27,45 @@ def condition_text(conjuncts: Column) -> Column:
     )
 
 
-def _equal(text: Column, value: Column) -> Column:
-    """Equality of typed values; values of different types are different."""
-    as_numbers = as_number(text) == as_number(value)
-    as_booleans = as_boolean(text) == as_boolean(value)
-    return F.coalesce(as_numbers, as_booleans, text == value)
+def typed_conjuncts(conjuncts: Column) -> Column:
+    """Conjuncts with their values parsed, to be done once per rule and not per activation."""
+    return F.transform(
+        conjuncts, lambda c: F.struct(c["attr"].alias("attr"), c["op"].alias("op"), typed_value(c["value"]).alias("value"))
+    )
 
 
-def conjunct_holds(text: Column, op: Column, value: Column) -> Column:
-    """Does one test hold for a present attribute? Order tests need numbers on both sides."""
-    left, right = as_number(text), as_number(value)
+def _conjunct_holds(have: Column, op: Column, want: Column) -> Column:
+    """One test on a present attribute. Order tests need numbers on both sides; values of
+    different types are different."""
+    equal = F.coalesce(
+        have["num"] == want["num"], have["bool"] == want["bool"], have["str"] == want["str"], F.lit(False)
+    )
     return F.coalesce(
-        F.when(op == "<=", left <= right)
-        .when(op == ">", left > right)
-        .when(op == "==", _equal(text, value))
-        .when(op == "!=", ~_equal(text, value)),
+        F.when(op == "<=", have["num"] <= want["num"])
+        .when(op == ">", have["num"] > want["num"])
+        .when(op == "==", equal)
+        .when(op == "!=", ~equal),
         F.lit(False),
     )
 
 
-def condition_holds(attrs: Column, conjuncts: Column) -> Column:
-    """Left-to-right conjunction over ``attrs``.
-
-    The first conjunct that fails makes it false; the first conjunct whose attribute is
-    absent makes it true; whichever comes first decides.
-    """
+def typed_condition_holds(attrs: Column, conjuncts: Column) -> Column:
+    """``condition_holds`` on typed attributes and typed conjuncts."""
 
     def step(decided: Column, c: Column) -> Column:
-        text = attrs[c["attr"]]
-        return F.coalesce(
-            decided,
-            F.when(text.isNull(), F.lit(True)).when(
-                ~conjunct_holds(text, c["op"], c["value"]), F.lit(False)
-            ),
+        have = attrs[c["attr"]]
+        verdict = F.when(have.isNull(), F.lit(True)).when(
+            ~_conjunct_holds(have, c["op"], c["value"]), F.lit(False)
         )
+        return F.coalesce(decided, verdict)
 
     return F.coalesce(F.aggregate(conjuncts, F.lit(None).cast("boolean"), step), F.lit(True))
+
+
+def condition_holds(attrs: Column, conjuncts: Column) -> Column:
+    """Left-to-right conjunction over the texts in ``attrs``.
+
+    The first conjunct that fails makes it false; the first conjunct whose attribute is
+    absent makes it true; whichever comes first decides.
+    """
+    return typed_condition_holds(typed_attributes(attrs), typed_conjuncts(conjuncts))

@@ -33,7 +33,8 @@ def typed_value(text: Column) -> Column:
 
 
 def typed_attributes(attrs: Column) -> Column:
-    return F.transform_values(attrs, lambda _, text: typed_value(text))
+    """The attribute map with typed values; an attribute without a value is absent."""
+    return F.transform_values(F.map_filter(attrs, lambda _, text: text.isNotNull()), lambda _, text: typed_value(text))
 
 
 def parse_timestamp(text: Column, fmt: str | None = None) -> Column:
@@ -61,8 +62,12 @@ def constraint_text(template: str = "template", first: str = "first", second: st
 
 
 def ratio3(part: Column, whole: Column) -> Column:
-    """``part / whole`` to 3 places; 0.0 when there is nothing to divide by."""
-    return F.round(F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0)), 3)
+    """``part / whole`` to 3 places; 0.0 when there is nothing to divide by.
+
+    Rounds the binary value, ties to even: 402/800 is stored just below 0.5025 and gives 0.502.
+    """
+    ratio = F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
+    return F.rint(ratio * 1000) / 1000
 
 
 def number_text(value: Column) -> Column:

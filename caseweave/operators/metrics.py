@@ -7,14 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.functions.conditions import condition_holds, condition_text
-from caseweave.functions.scalars import constraint_text, ratio3
+from caseweave.functions.conditions import condition_text, typed_condition_holds, typed_conjuncts
+from caseweave.functions.scalars import constraint_text, ratio3, typed_attributes
 from caseweave.operators.templates import (
     FULFILLED,
     PENDING,
     TEMPLATES,
     constraint_counts,
-    negate_verdicts,
     verdicts,
     with_negations,
 )
@@ -39,10 +38,11 @@ def constraint_ratios(
     *,
     negations: bool = False,
     include_pending: bool = False,
+    complete: bool = False,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Ratio per constraint; a negation has the violations as fulfilments and ratio ``1 - r``."""
-    counts = constraint_counts(log, pairs, templates, hot_rows=hot_rows)
+    counts = constraint_counts(log, pairs, templates, complete=complete, hot_rows=hot_rows)
     ratios = fulfilment_ratios(counts, include_pending=include_pending)
     if negations:
         ratios = with_negations(
@@ -60,6 +60,7 @@ def running_ratios(
     pairs: Sequence[tuple[str, str]],
     templates: Sequence[str] = tuple(TEMPLATES),
     *,
+    complete: bool = False,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Each decided activation with count and ratio of its constraint at that moment.
@@ -67,7 +68,7 @@ def running_ratios(
     There are few constraints and many activations, so a window per constraint would be a few
     giant tasks; the running sums are blocked instead.
     """
-    decided = verdicts(log, pairs, templates, times=True, hot_rows=hot_rows).filter(F.col("verdict") != PENDING)
+    decided = verdicts(log, pairs, templates, times=True, complete=complete, hot_rows=hot_rows).filter(F.col("verdict") != PENDING)
     hit = (F.col("verdict") == FULFILLED).cast("long")
     return running_sums(
         decided,
@@ -92,6 +93,7 @@ def data_aware_ratios(
     *,
     group: Sequence[str] = (),
     max_rules: int | None = None,
+    complete: bool = False,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Per constraint and rule: counts and ratios over all decided activations, and over those
@@ -101,15 +103,23 @@ def data_aware_ratios(
     have several, each is counted by itself. Negated templates may be used in rules.
     """
     labels = [c for c in rules.columns if c not in (*CONSTRAINT, "conjuncts")]
-    activations = negate_verdicts(
-        verdicts(log, pairs, templates, keep=["attrs", *group], hot_rows=hot_rows).filter(F.col("verdict") != PENDING)
+    # Values are parsed once per event and once per rule, before the two meet.
+    typed = log.withColumn("attrs", typed_attributes(F.col("attrs")))
+    activations = (
+        verdicts(typed, pairs, templates, keep=["attrs", *group], complete=complete, hot_rows=hot_rows)
+        .filter(F.col("verdict") != PENDING)
+        .withColumnRenamed("template", "_plain")
     )
-    ruled = rules.withColumn("condition", condition_text(F.col("conjuncts")))
-    matched = _match_rules(activations, ruled, CONSTRAINT, max_rules)
-    holds = condition_holds(F.col("attrs"), F.col("conjuncts"))
-    hit = F.col("verdict") == FULFILLED
+    ruled = (
+        rules.withColumn("condition", condition_text(F.col("conjuncts")))
+        .withColumn("conjuncts", typed_conjuncts(F.col("conjuncts")))
+        .withColumn("_negated", F.col("template").startswith("Not "))
+        .withColumn("_plain", F.when(F.col("_negated"), F.substring("template", 5, 1000)).otherwise(F.col("template")))
+    )
+    matched = _match_rules(activations, ruled, ["_plain", "first", "second"], max_rules)
+    hit = (F.col("verdict") == FULFILLED) != F.col("_negated")
     return (
-        matched.withColumn("_holds", holds)
+        matched.withColumn("_holds", typed_condition_holds(F.col("attrs"), F.col("conjuncts")))
         .groupBy(*CONSTRAINT, "condition", *labels, *group)
         .agg(
             F.count("*").alias("n_activations"),
@@ -151,11 +161,12 @@ def replay_rules(
     )
     waiting = numbered.filter(F.col("is_rule") == 0).select(*keys, "gap", "verdict", "attrs")
     coming = numbered.filter(F.col("is_rule") == 1).select(
-        *keys, (F.col("gap") - 1).alias("gap"), F.col("at").alias("valid_from"), F.col("at_seq").alias("rule_seq"), "conjuncts"
+        *keys, (F.col("gap") - 1).alias("gap"), F.col("at").alias("valid_from"), F.col("at_seq").alias("rule_seq"), "conjuncts",
+        typed_conjuncts(F.col("conjuncts")).alias("typed"),
     )
     applied = (
         _match_rules(waiting, coming, [*keys, "gap"], max_rules)
-        .filter(condition_holds(F.col("attrs"), F.col("conjuncts")))
+        .filter(typed_condition_holds(typed_attributes(F.col("attrs")), F.col("typed")))
         .groupBy(*keys, "gap")
         .agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == FULFILLED).alias("hits"))
     )

@@ -50,7 +50,7 @@ def describe(differences: DataFrame) -> DataFrame:
     per_value = differences.groupBy("diff").agg(F.count("*").alias("c"))
     n, total = F.sum("c"), F.sum(F.col("diff") * F.col("c"))
     squares = F.sum(F.col("diff") * F.col("diff") * F.col("c"))
-    quartiles = F.percentile("diff", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), "c")
+    quartiles = F.percentile("diff", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("c"))
     variance = F.greatest((F.col("_s") - F.col("_t") * F.col("_t") / F.col("count")), F.lit(0.0)) / (F.col("count") - 1)
     return per_value.agg(
         n.alias("count"), total.alias("_t"), squares.alias("_s"),

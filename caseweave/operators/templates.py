@@ -28,7 +28,9 @@ BROADCAST_PAIRS = 250_000
 class Marks:
     """Where things are, seen from one activation. ``own`` is its activity, ``other`` the target.
 
-    Marks are structs that start with the position, so they compare by position.
+    ``here``, ``trace_end``, ``own_before``, ``own_after``, ``other_before`` and ``other_after``
+    are positions. The same names with ``_at``, and ``next_at``, are structs of position, time
+    and sequence number; they exist only where times are asked for.
     """
 
     def __getattr__(self, name: str) -> Column:
@@ -36,14 +38,14 @@ class Marks:
 
 
 def _adjacent(later: Column, earlier: Column) -> Column:
-    return F.coalesce(later["pos"] == earlier["pos"] + 1, F.lit(False))
+    return F.coalesce(later == earlier + 1, F.lit(False))
 
 
 @dataclass(frozen=True)
 class Template:
     """``activation`` says which activity of the pair triggers the check. ``undecided`` means
-    that later events could still change the verdict; ``resolved`` is the mark of the event
-    that settles it (trace end if none does)."""
+    that later events could still change the verdict; ``resolved`` is the event that
+    settles it (trace end if none does)."""
 
     name: str
     activation: str
@@ -68,37 +70,37 @@ TEMPLATES: dict[str, Template] = {
             "first",
             lambda m: m.other_after.isNotNull(),
             lambda m: m.other_after.isNull(),
-            lambda m: F.coalesce(m.other_after, m.trace_end),
+            lambda m: F.coalesce(m.other_after_at, m.trace_end_at),
         ),
         Template(
             "Alternate Response",
             "first",
             lambda m: m.other_after.isNotNull() & (m.own_after.isNull() | (m.other_after < m.own_after)),
             lambda m: m.other_after.isNull() & m.own_after.isNull(),
-            lambda m: F.coalesce(F.least(m.other_after, m.own_after), m.trace_end),
+            lambda m: F.coalesce(F.least(m.other_after_at, m.own_after_at), m.trace_end_at),
         ),
         Template(
             "Chain Response",
             "first",
             lambda m: _adjacent(m.other_after, m.here),
-            lambda m: m.next_mark.isNull(),
-            lambda m: F.coalesce(m.next_mark, m.trace_end),
+            lambda m: m.here == m.trace_end,
+            lambda m: F.coalesce(m.next_at, m.trace_end_at),
         ),
-        Template("Precedence", "second", lambda m: m.other_before.isNotNull(), _never, lambda m: m.here),
+        Template("Precedence", "second", lambda m: m.other_before.isNotNull(), _never, lambda m: m.here_at),
         Template(
             "Alternate Precedence",
             "second",
             lambda m: m.other_before.isNotNull() & (m.own_before.isNull() | (m.other_before > m.own_before)),
             _never,
-            lambda m: m.here,
+            lambda m: m.here_at,
         ),
-        Template("Chain Precedence", "second", lambda m: _adjacent(m.here, m.other_before), _never, lambda m: m.here),
+        Template("Chain Precedence", "second", lambda m: _adjacent(m.here, m.other_before), _never, lambda m: m.here_at),
         Template(
             "Responded Existence",
             "first",
             lambda m: m.other_before.isNotNull() | m.other_after.isNotNull(),
             lambda m: m.other_before.isNull() & m.other_after.isNull(),
-            lambda m: F.when(m.other_before.isNotNull(), m.here).otherwise(F.coalesce(m.other_after, m.trace_end)),
+            lambda m: F.when(m.other_before.isNotNull(), m.here_at).otherwise(F.coalesce(m.other_after_at, m.trace_end_at)),
         ),
     )
 }
@@ -136,48 +138,67 @@ def pair_context(
     *,
     keep: Sequence[str] = (),
     times: bool = False,
+    complete: bool = False,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """One row per event and candidate partner, with everything the templates look at.
 
     ``keep`` names log columns to carry along (``attrs`` for learning). ``times`` puts
     ``ts, seq`` into the marks, for operators that order verdicts by when they became known.
+    ``complete`` says that every trace of the log is closed, tagged or not.
     """
     names = sorted({name for pair in pairs for name in pair})
     columns = list(dict.fromkeys(["case_id", "activity", *ORDER, *keep]))
-    source = log.select(*columns, F.coalesce("is_end", F.lit(False)).cast("int").alias("_end"))
+    source = log.select(*columns)
+    ends_before, ends_after = {}, {}
+    if not complete:
+        source = log.select(*columns, F.coalesce("is_end", F.lit(False)).cast("int").alias("_end"))
+        ends_before = {"_end_before": ("max", F.col("_end"))}
+        ends_after = {"_end_after": ("max", F.col("_end"))}
+    closed = F.lit(True) if complete else F.greatest("_end", "_end_before", "_end_after") == 1
     single_pass = len(names) <= PASS_WIDTH
-    here = F.struct("pos", *ORDER) if times else F.struct("pos")
+    pos, at = F.col("pos"), F.struct("pos", *ORDER)
 
     parts = []
-    for at in range(0, max(len(names), 1), PASS_WIDTH):
-        chunk = names[at : at + PASS_WIDTH]
-        seen = {y: F.when(F.col("activity") == y, here) for y in chunk}
+    for start in range(0, max(len(names), 1), PASS_WIDTH):
+        chunk = names[start : start + PASS_WIDTH]
+        is_y = [F.col("activity") == y for y in chunk]
+        timed_after = {}
+        if times:
+            timed_after = {"_last_at": ("max", at), **{f"_t{i}": ("min", F.when(c, at)) for i, c in enumerate(is_y)}}
         scanned = keyed_scan(
             source,
             ["case_id"],
             ORDER,
-            following={"next_mark": here},
-            before={
-                "_end_before": ("max", F.col("_end")),
-                **{f"_p{i}": ("max", seen[y]) for i, y in enumerate(chunk)},
-            },
+            following={"next_at": at} if times else {},
+            before={**ends_before, **{f"_p{i}": ("max", F.when(c, pos)) for i, c in enumerate(is_y)}},
             after={
-                "_end_after": ("max", F.col("_end")),
-                "_last": ("max", here),
-                **{f"_n{i}": ("min", seen[y]) for i, y in enumerate(chunk)},
+                **ends_after,
+                "_last": ("max", pos),
+                **{f"_n{i}": ("min", F.when(c, pos)) for i, c in enumerate(is_y)},
+                **timed_after,
             },
             hot_rows=hot_rows,
         )
+        places = range(len(chunk))
         context = scanned.select(
             *columns,
             "pos",
-            "next_mark",
-            here.alias("here"),
-            F.coalesce("_last", here).alias("trace_end"),
-            (F.greatest("_end", "_end_before", "_end_after") == 1).alias("closed"),
-            F.array(*[F.col(f"_p{i}") for i in range(len(chunk))]).alias("_before"),
-            F.array(*[F.col(f"_n{i}") for i in range(len(chunk))]).alias("_after"),
+            closed.alias("closed"),
+            pos.alias("here"),
+            F.coalesce("_last", pos).alias("trace_end"),
+            F.array(*[F.col(f"_p{i}") for i in places]).alias("_before"),
+            F.array(*[F.col(f"_n{i}") for i in places]).alias("_after"),
+            *(
+                [
+                    "next_at",
+                    at.alias("here_at"),
+                    F.coalesce("_last_at", at).alias("trace_end_at"),
+                    F.array(*[F.col(f"_t{i}") for i in places]).alias("_after_at"),
+                ]
+                if times
+                else []
+            ),
         )
         if not single_pass:
             # The activation's own activity may lie in another chunk.
@@ -185,8 +206,8 @@ def pair_context(
                 context,
                 ["case_id", "activity"],
                 ["pos"],
-                previous={"_own_before": F.col("here")},
-                following={"_own_after": F.col("here")},
+                previous={"own_before": pos},
+                following={"own_after": pos, **({"own_after_at": at} if times else {})},
                 position="_nth",
                 hot_rows=hot_rows,
             ).drop("_nth")
@@ -194,24 +215,23 @@ def pair_context(
         if len(pairs) <= BROADCAST_PAIRS:
             partners = F.broadcast(partners)
         expanded = context.join(partners, "activity").withColumn("_q", F.explode("partners"))
-        own = F.col("_q.own_slot")
-        parts.append(
-            expanded.select(
-                *columns,
-                F.col("pos"),
-                F.col("_q.other").alias("other"),
-                F.col("_q.as_first").alias("as_first"),
-                F.col("_q.as_second").alias("as_second"),
-                "closed",
-                "here",
-                "next_mark",
-                "trace_end",
-                (F.get("_before", own) if single_pass else F.col("_own_before")).alias("own_before"),
-                (F.get("_after", own) if single_pass else F.col("_own_after")).alias("own_after"),
-                F.get("_before", F.col("_q.slot")).alias("other_before"),
-                F.get("_after", F.col("_q.slot")).alias("other_after"),
+        own, slot = F.col("_q.own_slot"), F.col("_q.slot")
+        if single_pass:
+            expanded = expanded.withColumn("own_before", F.get("_before", own)).withColumn(
+                "own_after", F.get("_after", own)
             )
+            if times:
+                expanded = expanded.withColumn("own_after_at", F.get("_after_at", own))
+        expanded = (
+            expanded.withColumn("other", F.col("_q.other"))
+            .withColumn("as_first", F.col("_q.as_first"))
+            .withColumn("as_second", F.col("_q.as_second"))
+            .withColumn("other_before", F.get("_before", slot))
+            .withColumn("other_after", F.get("_after", slot))
         )
+        if times:
+            expanded = expanded.withColumn("other_after_at", F.get("_after_at", slot))
+        parts.append(expanded.drop("partners", "_q", "_before", "_after", "_after_at"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -243,11 +263,12 @@ def verdicts(
     *,
     keep: Sequence[str] = (),
     times: bool = False,
+    complete: bool = False,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """One row per activation: constraint, case, position, verdict (and ``resolved_ts``,
     ``resolved_seq`` with ``times``: when the verdict was known)."""
-    context = pair_context(log, pairs, keep=keep, times=times, hot_rows=hot_rows)
+    context = pair_context(log, pairs, keep=keep, times=times, complete=complete, hot_rows=hot_rows)
     rows = []
     for name in templates:
         template = TEMPLATES[name]
@@ -267,6 +288,7 @@ def constraint_counts(
     templates: Sequence[str] = tuple(TEMPLATES),
     *,
     group: Sequence[str] = (),
+    complete: bool = False,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Activations, fulfilments and pending activations per constraint.
@@ -275,7 +297,7 @@ def constraint_counts(
     the expanded events are aggregated in place before the only shuffle of counts. ``group``
     adds log columns to the key.
     """
-    context = pair_context(log, pairs, keep=group, hot_rows=hot_rows)
+    context = pair_context(log, pairs, keep=group, complete=complete, hot_rows=hot_rows)
     sums = []
     for name in templates:
         template, verdict = TEMPLATES[name], _verdict(TEMPLATES[name])
