@@ -6,6 +6,7 @@ pairs on the way, because its threshold moves with the traces seen so far.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -32,6 +33,11 @@ def support_threshold(log: DataFrame, min_support: float) -> DataFrame:
     )
 
 
+def threshold_of(min_support: float, n_traces: int) -> int:
+    """The same threshold for a trace count already at hand."""
+    return math.ceil(round(min_support * n_traces, 9))
+
+
 def frequent_activities(log: DataFrame, min_support: float) -> DataFrame:
     """Activities at or above the threshold, with the threshold they met."""
     limit = support_threshold(log, min_support).select("threshold").scalar()

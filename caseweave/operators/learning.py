@@ -21,12 +21,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseweave.functions.conditions import CONJUNCTS, condition_text
+from caseweave.functions.conditions import condition_text
 from caseweave.functions.scalars import as_boolean, as_number, number_text, payload, ratio3
 from caseweave.operators.metrics import CONSTRAINT
 from caseweave.operators.templates import TEMPLATES, constraint_counts, with_negations
 from caseweave.session import freeze
 
+# A conjunct and the coded test it came from.
+STEPS = "array<struct<attr:string,op:string,value:string,attr_id:int,code:int>>"
+
 MISSING, RARE = -1, -2
 #: Codes from here on are places in the list of common values; below are numeric bins.
 NOMINAL = 1000
@@ -212,7 +215,7 @@ def choose_splits(stats: DataFrame, keys: Sequence[str], settings: Settings = Se
 
 
 def grow(cell_rows: DataFrame, tests: Sequence[AttributeTests], settings: Settings = Settings()) -> DataFrame:
-    """Leaves of all trees: (constraint, node, conjuncts, n1, n0).
+    """Leaves of all trees: (constraint, node, steps, n1, n0).
 
     ``node`` is the path from the root, ``0`` for the branch where the test holds; sorted as
     text, leaves come depth-first, left first. Each level writes its few splits, so a level
@@ -220,7 +223,7 @@ def grow(cell_rows: DataFrame, tests: Sequence[AttributeTests], settings: Settin
     """
     keys = [*CONSTRAINT, "node"]
     words = test_table(cell_rows, tests)
-    rows = cell_rows.withColumn("node", F.lit("")).withColumn("conjuncts", F.array().cast(CONJUNCTS))
+    rows = cell_rows.withColumn("node", F.lit("")).withColumn("steps", F.array().cast(STEPS))
     for depth in range(settings.max_depth):
         open_rows = rows.filter(F.length("node") == depth)
         splits = freeze(
@@ -231,14 +234,15 @@ def grow(cell_rows: DataFrame, tests: Sequence[AttributeTests], settings: Settin
         )
         if not splits.head(1):
             break
-        code = F.get("codes", F.col("attr_id"))
-        holds = F.when(
-            F.col("op") == "<=",
-            F.when((code >= 0) & (code < NOMINAL), code <= F.col("code")),
-        ).otherwise(F.when(code != MISSING, code == F.col("code")))
+        have = F.get("codes", F.col("attr_id"))
+        is_number = (have >= 0) & (have < NOMINAL)
+        holds = F.when(F.col("op") == "<=", F.when(is_number, have <= F.col("code"))).otherwise(
+            F.when(have != MISSING, have == F.col("code"))
+        )
         to_left = F.coalesce(holds, F.col("n_left") >= F.col("n_right"))
         test = F.struct(
-            F.col("attr"), F.when(F.col("_left"), F.col("op")).otherwise(F.col("else_op")).alias("op"), F.col("value")
+            F.col("attr"), F.when(F.col("_left"), F.col("op")).otherwise(F.col("else_op")).alias("op"), F.col("value"),
+            "attr_id", "code",
         )
         was_split = F.col("attr").isNotNull()
         rows = (
@@ -252,10 +256,10 @@ def grow(cell_rows: DataFrame, tests: Sequence[AttributeTests], settings: Settin
                 F.when(was_split, F.concat("node", F.when(F.col("_left"), "0").otherwise("1")))
                 .otherwise(F.col("node"))
                 .alias("node"),
-                F.when(was_split, F.array_append("conjuncts", test)).otherwise(F.col("conjuncts")).alias("conjuncts"),
+                F.when(was_split, F.array_append("steps", test)).otherwise(F.col("steps")).alias("steps"),
             )
         )
-    return rows.groupBy(*keys, "conjuncts").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    return rows.groupBy(*keys, "steps").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
 def fulfilment_rules(leaves: DataFrame) -> DataFrame:
@@ -265,27 +269,85 @@ def fulfilment_rules(leaves: DataFrame) -> DataFrame:
     return both.withColumn("probability", F.round(F.col("n1") / (F.col("n1") + F.col("n0")), 2))
 
 
-def best_rules(leaves: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def best_rules(leaves: DataFrame, settings: Settings = Settings(), *, steps: bool = False) -> DataFrame:
     """One rule per constraint: from trees with a split whose classes are balanced, the leaf
-    with the highest probability, the first one on ties."""
+    with the highest probability, the first one on ties. ``steps`` keeps the coded tests."""
     rules = fulfilment_rules(leaves)
     majority = F.col("n1") > F.col("n0")
     order = F.when(majority, F.struct(-F.col("probability"), F.col("node")))
     summed = rules.groupBy(*CONSTRAINT).agg(
-        F.min_by(F.when(majority, F.struct("conjuncts", "probability")), order).alias("best"),
+        F.min_by(F.when(majority, F.struct("steps", "probability")), order).alias("best"),
         F.sum("n1").alias("n1"),
         F.sum("n0").alias("n0"),
         F.count("*").alias("n_leaves"),
     )
     larger, smaller = F.greatest("n1", "n0"), F.least("n1", "n0")
     balanced = (smaller > 0) & (larger / F.when(smaller > 0, smaller) <= settings.balance)
+    conjuncts = F.transform(
+        F.col("best.steps"), lambda s: F.struct(s["attr"].alias("attr"), s["op"].alias("op"), s["value"].alias("value"))
+    )
     return summed.filter((F.col("n_leaves") > 1) & balanced & F.col("best").isNotNull()).select(
         *CONSTRAINT,
-        F.col("best.conjuncts").alias("conjuncts"),
-        condition_text(F.col("best.conjuncts")).alias("condition"),
+        conjuncts.alias("conjuncts"),
+        condition_text(conjuncts).alias("condition"),
         F.col("best.probability").alias("probability"),
         (F.col("n1") + F.col("n0")).alias("n_activations"),
         ratio3(F.col("n1"), F.col("n1") + F.col("n0")).alias("ratio"),
+        *([F.col("best.steps").alias("steps")] if steps else []),
+    )
+
+
+def _holds_for_codes(codes: Column, steps: Column) -> Column:
+    """``condition_holds`` on a code vector: first failure false, first absence true."""
+
+    def step(decided: Column, s: Column) -> Column:
+        have = F.get(codes, s["attr_id"])
+        is_number = (have >= 0) & (have < NOMINAL)
+        holds = (
+            F.when(s["op"] == "<=", is_number & (have <= s["code"]))
+            .when(s["op"] == ">", is_number & (have > s["code"]))
+            .when(s["op"] == "==", have == s["code"])
+            .otherwise(have != s["code"])
+        )
+        return F.coalesce(decided, F.when(have == MISSING, F.lit(True)).when(~holds, F.lit(False)))
+
+    return F.coalesce(F.aggregate(steps, F.lit(None).cast("boolean"), step), F.lit(True))
+
+
+def _cells_under_rules(cell_rows: DataFrame, rules: DataFrame) -> DataFrame:
+    both = with_negations(cell_rows, {"n1": F.col("n0"), "n0": F.col("n1")})
+    joined = both.join(rules.select(*CONSTRAINT, "condition", "steps"), [*CONSTRAINT])
+    return joined.withColumn("_holds", _holds_for_codes(F.col("codes"), F.col("steps")))
+
+
+def rule_counts(cell_rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Activations that satisfy their constraint's current rule, recounted over all cells.
+
+    The rules test bins, so the cells answer exactly; no activation is read again.
+    """
+    when_held = F.when(F.col("_holds"), F.col("n1"))
+    all_held = F.when(F.col("_holds"), F.col("n1") + F.col("n0"))
+    return (
+        _cells_under_rules(cell_rows, rules)
+        .groupBy(*CONSTRAINT, "condition")
+        .agg(
+            F.coalesce(F.sum(all_held), F.lit(0)).alias("n_activations_data"),
+            F.coalesce(F.sum(when_held), F.lit(0)).alias("n_fulfilled_data"),
+        )
+    )
+
+
+def confusion(cell_rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """tp, fp, fn per constraint with the rule as the predictor of fulfilment."""
+    held = F.col("_holds")
+
+    def total(condition, column):
+        return F.coalesce(F.sum(F.when(condition, F.col(column))), F.lit(0))
+
+    return (
+        _cells_under_rules(cell_rows, rules)
+        .groupBy(*CONSTRAINT)
+        .agg(total(held, "n1").alias("tp"), total(held, "n0").alias("fp"), total(~held, "n1").alias("fn"))
     )
 
 

@@ -103,35 +103,55 @@ def data_aware_ratios(
     have several, each is counted by itself. Negated templates may be used in rules.
     """
     labels = [c for c in rules.columns if c not in (*CONSTRAINT, "conjuncts")]
-    # Values are parsed once per event and once per rule, before the two meet.
+    small = max_rules is not None and max_rules <= BROADCAST_RULES
+    ruled = _placed_rules(rules)
+    conditions = ruled.groupBy("activity").agg(F.array_sort(F.collect_set("conjuncts")).alias("_conditions"))
+    ruled = ruled.join(conditions, "activity").select(
+        *CONSTRAINT, "_plain", "_negated", *labels,
+        condition_text(F.col("conjuncts")).alias("condition"),
+        (F.array_position("_conditions", F.col("conjuncts")) - 1).cast("int").alias("_slot"),
+    )
+
+    # Each event is tested once per condition any of its rules has, whatever the number of
+    # constraints; only the outcomes travel on, not the attributes.
+    parsed = conditions.select("activity", F.transform("_conditions", typed_conjuncts).alias("_conditions"))
     typed = log.withColumn("attrs", typed_attributes(F.col("attrs")))
+    tested = typed.join(F.broadcast(parsed) if small else parsed, "activity", "left").withColumn(
+        "_held", F.transform("_conditions", lambda c: typed_condition_holds(F.col("attrs"), c))
+    )
     activations = (
-        verdicts(typed, pairs, templates, keep=["attrs", *group], complete=complete, hot_rows=hot_rows)
+        verdicts(tested, pairs, templates, keep=["_held", *group], complete=complete, hot_rows=hot_rows)
         .filter(F.col("verdict") != PENDING)
         .withColumnRenamed("template", "_plain")
     )
-    ruled = (
-        rules.withColumn("condition", condition_text(F.col("conjuncts")))
-        .withColumn("conjuncts", typed_conjuncts(F.col("conjuncts")))
-        .withColumn("_negated", F.col("template").startswith("Not "))
-        .withColumn("_plain", F.when(F.col("_negated"), F.substring("template", 5, 1000)).otherwise(F.col("template")))
-    )
     matched = _match_rules(activations, ruled, ["_plain", "first", "second"], max_rules)
     hit = (F.col("verdict") == FULFILLED) != F.col("_negated")
+    holds = F.get("_held", F.col("_slot"))
     return (
-        matched.withColumn("_holds", typed_condition_holds(F.col("attrs"), F.col("conjuncts")))
-        .groupBy(*CONSTRAINT, "condition", *labels, *group)
+        matched.groupBy(*CONSTRAINT, "condition", *labels, *group)
         .agg(
             F.count("*").alias("n_activations"),
             F.count_if(hit).alias("n_fulfilled"),
-            F.count_if(F.col("_holds")).alias("n_activations_data"),
-            F.count_if(F.col("_holds") & hit).alias("n_fulfilled_data"),
+            F.count_if(holds).alias("n_activations_data"),
+            F.count_if(holds & hit).alias("n_fulfilled_data"),
         )
         .withColumn("ratio", ratio3(F.col("n_fulfilled"), F.col("n_activations")))
         .withColumn("ratio_data", ratio3(F.col("n_fulfilled_data"), F.col("n_activations_data")))
     )
 
 
+def _placed_rules(rules: DataFrame) -> DataFrame:
+    """Rules with the template they negate (``_plain``) and the activity that activates them."""
+    negated = F.col("template").startswith("Not ")
+    plain = F.when(negated, F.substring("template", 5, 1000)).otherwise(F.col("template"))
+    on_first = plain.isin(*[t.name for t in TEMPLATES.values() if t.activation == "first"])
+    return (
+        rules.withColumn("_negated", negated)
+        .withColumn("_plain", plain)
+        .withColumn("activity", F.when(on_first, F.col("first")).otherwise(F.col("second")))
+    )
+
+
 def replay_rules(
     activations: DataFrame,
     rules: DataFrame,
