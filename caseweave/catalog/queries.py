@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.functions.conditions import CONJUNCTS, condition_holds, condition_text
-from caseweave.functions.scalars import constraint_text, epoch_millis, typed_attributes
+from caseweave.functions.conditions import (
+    CONJUNCTS,
+    condition_holds,
+    condition_text,
+    typed_condition_holds,
+    typed_conjuncts,
+)
+from caseweave.functions.scalars import constraint_text, epoch_millis, text_of, typed_attributes
 from caseweave.operators import candidates, eventlog, learning, metrics, model, report, sampling, statistics, templates
 from caseweave.plans.ordered import keyed_scan
 from caseweave.sources.tables import conversations_log, events_log, orders_log
@@ -115,7 +121,9 @@ def neighbours(spark, sf):
 
 def typed_attribute_values(spark, sf):
     log = orders_log(spark, sf).withColumn("typed", typed_attributes(F.col("attrs")))
-    return log.select("seq", F.explode("typed").alias("attr", "v")).select("seq", "attr", "v.num", "v.bool", "v.str")
+    return log.select("seq", F.explode("typed").alias("attr", "v")).select(
+        "seq", "attr", "v.num", "v.bool", text_of(F.col("v")).alias("str")
+    )
 
 
 def wire_events(spark, sf):
@@ -160,7 +168,10 @@ def candidate_pairs(spark, sf):
 def candidate_events(spark, sf):
     log = orders_log(spark, sf)
     context = templates.pair_context(log, _order_pairs(spark, sf), complete=True)
-    return context.select("case_id", "pos", "activity", "other", "as_first", "as_second")
+    return context.select(
+        "case_id", "pos", "activity", "other",
+        F.col("pair_as_first").isNotNull().alias("as_first"), F.col("pair_as_second").isNotNull().alias("as_second"),
+    )
 
 
 def template_expansion(spark, sf):
@@ -219,14 +230,19 @@ def open_traces_pending(spark, sf):
 
 
 def condition_filter(spark, sf):
-    log = orders_log(spark, sf)
-    bodies = F.array(
-        *[F.struct(F.lit(label).alias("label"), _conjuncts(t).alias("conjuncts")) for label, t in ORDER_CONDITIONS]
-    )
-    return log.select("seq", "attrs", F.inline(bodies)).select(
-        "seq", "label", condition_text(F.col("conjuncts")).alias("condition"),
-        condition_holds(F.col("attrs"), F.col("conjuncts")).alias("holds"),
-    )
+    """Every condition on every order; attributes are parsed once per order."""
+    log = orders_log(spark, sf).select("seq", typed_attributes(F.col("attrs")).alias("attrs"))
+    parts = []
+    for label, tests in ORDER_CONDITIONS:
+        conjuncts = _conjuncts(tests)
+        parts.append(
+            F.struct(
+                F.lit(label).alias("label"),
+                condition_text(conjuncts).alias("condition"),
+                typed_condition_holds(F.col("attrs"), typed_conjuncts(conjuncts)).alias("holds"),
+            )
+        )
+    return log.select("seq", F.inline(F.array(*parts)))
 
 
 def data_aware_ratios(spark, sf):

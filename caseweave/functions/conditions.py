@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from caseweave.functions.scalars import as_number, typed_attributes, typed_value
+from caseweave.functions.scalars import as_number, text_of, typed_attributes, typed_value
 
 CONJUNCTS = "array<struct<attr:string,op:string,value:string>>"
 
@@ -38,7 +38,7 @@ def _conjunct_holds(have: Column, op: Column, want: Column) -> Column:
     """One test on a present attribute. Order tests need numbers on both sides; values of
     different types are different."""
     equal = F.coalesce(
-        have["num"] == want["num"], have["bool"] == want["bool"], have["str"] == want["str"], F.lit(False)
+        have["num"] == want["num"], have["bool"] == want["bool"], text_of(have) == text_of(want), F.lit(False)
     )
     return F.coalesce(
         F.when(op == "<=", have["num"] <= want["num"])

@@ -28,13 +28,9 @@ def as_boolean(text: Column) -> Column:
 
 
 def typed_value(text: Column) -> Column:
-    """``struct(num, bool, str)`` with exactly one field set: number, else boolean, else text."""
-    num, flag = as_number(text), as_boolean(text)
-    return F.struct(
-        num.alias("num"),
-        F.when(num.isNull(), flag).alias("bool"),
-        F.when(num.isNull() & flag.isNull(), text).alias("str"),
-    )
+    """``struct(num, bool, str)``: a value is a number if ``num`` is set, else a boolean if
+    ``bool`` is set, else the text. ``str`` always holds the text."""
+    return F.struct(as_number(text).alias("num"), as_boolean(text).alias("bool"), text.alias("str"))
 
 
 def typed_attributes(attrs: Column) -> Column:
@@ -42,6 +38,11 @@ def typed_attributes(attrs: Column) -> Column:
     return F.transform_values(F.map_filter(attrs, lambda _, text: text.isNotNull()), lambda _, text: typed_value(text))
 
 
+def text_of(value: Column) -> Column:
+    """The text of a typed value that is neither number nor boolean, else NULL."""
+    return F.when(value["num"].isNull() & value["bool"].isNull(), value["str"])
+
+
 def parse_timestamp(text: Column, fmt: str | None = None) -> Column:
     """Lenient parse: NULL instead of an error; ISO 8601 with or without zone by default."""
     return F.try_to_timestamp(text, F.lit(fmt)) if fmt else F.try_to_timestamp(text)

@@ -86,19 +86,25 @@ def attribute_tests(log: DataFrame, settings: Settings = Settings()) -> list[Att
     return [AttributeTests(r.attr, tuple(r.cuts or ()), tuple(r["values"] or ())) for r in rows]
 
 
-def attribute_code(attrs: Column, tests: AttributeTests) -> Column:
-    """Bin number (how many cuts lie below the value), value number, RARE or MISSING."""
-    text = attrs[tests.name]
-    number = as_number(text)
-    above = F.lit(0)
-    for cut in tests.cuts:
-        above = above + (number > F.lit(cut)).cast("int")
-    code = F.when(text.isNull(), F.lit(MISSING))
-    if tests.cuts:
-        code = code.when(number.isNotNull(), above)
-    for i, value in enumerate(tests.values):
-        code = code.when(_normal_text(text) == value, F.lit(NOMINAL + i))
-    return code.otherwise(F.lit(RARE))
+def with_codes(log: DataFrame, tests: Sequence[AttributeTests]) -> DataFrame:
+    """The log with ``codes``: per attribute its bin (how many cuts lie below the value), the
+    place of its value among the common ones, RARE or MISSING."""
+    # Text and number get columns of their own, so each value is looked up and parsed once.
+    texts = log.select("*", *[F.col("attrs")[t.name].alias(f"_text{i}") for i, t in enumerate(tests)])
+    parsed = texts.select("*", *[as_number(F.col(f"_text{i}")).alias(f"_num{i}") for i, t in enumerate(tests) if t.cuts])
+    codes = []
+    for i, t in enumerate(tests):
+        text, number = F.col(f"_text{i}"), F.col(f"_num{i}")
+        code = F.when(text.isNull(), F.lit(MISSING))
+        if t.cuts:
+            above = F.lit(0)
+            for cut in t.cuts:
+                above = above + (number > F.lit(cut)).cast("int")
+            code = code.when(number.isNotNull(), above)
+        for j, value in enumerate(t.values):
+            code = code.when(_normal_text(text) == value, F.lit(NOMINAL + j))
+        codes.append(code.otherwise(F.lit(RARE)))
+    return parsed.select(*log.columns, F.array(*codes).alias("codes"))
 
 
 def cells(
@@ -111,8 +117,7 @@ def cells(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """(constraint, codes, n1 fulfilled, n0 violated): decided activations per code vector."""
-    coded = log.withColumn("codes", F.array(*[attribute_code(F.col("attrs"), t) for t in tests]))
-    counts = constraint_counts(coded, pairs, templates, group=["codes"], complete=complete, hot_rows=hot_rows)
+    counts = constraint_counts(with_codes(log, tests), pairs, templates, group=["codes"], complete=complete, hot_rows=hot_rows)
     return counts.select(
         *CONSTRAINT,
         "codes",

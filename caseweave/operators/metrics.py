@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.functions.conditions import condition_text, typed_condition_holds, typed_conjuncts
@@ -13,7 +13,9 @@ from caseweave.operators.templates import (
     FULFILLED,
     PENDING,
     TEMPLATES,
+    VIOLATED,
     constraint_counts,
+    constraint_table,
     verdicts,
     with_negations,
 )
@@ -21,6 +23,9 @@ from caseweave.plans.ordered import running_sums
 
 CONSTRAINT = ("template", "first", "second")
 
+#: Up to this many conditions per activity, activations are counted per combination of outcomes.
+COUNTED_CONDITIONS = 8
+
 #: Rule tables up to this many rows may be broadcast.
 BROADCAST_RULES = 250_000
 
@@ -68,14 +73,23 @@ def running_ratios(
     There are few constraints and many activations, so a window per constraint would be a few
     giant tasks; the running sums are blocked instead.
     """
-    decided = verdicts(log, pairs, templates, times=True, complete=complete, hot_rows=hot_rows).filter(F.col("verdict") != PENDING)
-    hit = (F.col("verdict") == FULFILLED).cast("long")
-    return running_sums(
-        decided,
-        CONSTRAINT,
+    decided = verdicts(
+        log, pairs, templates, times=True, numbered=True, complete=complete, hot_rows=hot_rows
+    ).filter(F.col("verdict") != PENDING)
+    running = running_sums(
+        decided.withColumn("_hit", F.col("verdict") == FULFILLED).drop("verdict"),
+        ["constraint_id"],
         ["resolved_ts", "resolved_seq", "ts", "seq", "case_id"],
-        {"n_activations": F.lit(1), "n_fulfilled": hit},
-    ).withColumn("ratio", ratio3(F.col("n_fulfilled"), F.col("n_activations")))
+        {"n_activations": F.lit(1), "n_fulfilled": F.col("_hit").cast("long")},
+    )
+    names = constraint_table(log.sparkSession, pairs)
+    named = running.join(F.broadcast(names) if len(pairs) * len(TEMPLATES) <= BROADCAST_RULES else names, "constraint_id")
+    return named.select(
+        *CONSTRAINT,
+        F.when(F.col("_hit"), FULFILLED).otherwise(VIOLATED).alias("verdict"),
+        "resolved_ts", "resolved_seq", "case_id", "pos", "ts", "seq", "n_activations", "n_fulfilled",
+        ratio3(F.col("n_fulfilled"), F.col("n_activations")).alias("ratio"),
+    )
 
 
 def _match_rules(rows: DataFrame, rules: DataFrame, keys: Sequence[str], max_rules: int | None) -> DataFrame:
@@ -119,21 +133,34 @@ def data_aware_ratios(
     tested = typed.join(F.broadcast(parsed) if small else parsed, "activity", "left").withColumn(
         "_held", F.transform("_conditions", lambda c: typed_condition_holds(F.col("attrs"), c))
     )
-    activations = (
-        verdicts(tested, pairs, templates, keep=["_held", *group], complete=complete, hot_rows=hot_rows)
-        .filter(F.col("verdict") != PENDING)
-        .withColumnRenamed("template", "_plain")
-    )
-    matched = _match_rules(activations, ruled, ["_plain", "first", "second"], max_rules)
-    hit = (F.col("verdict") == FULFILLED) != F.col("_negated")
+    # With few conditions per activity there are few outcomes: count per outcome first and
+    # meet the rules with the counts. With many, each activation meets its rules in place.
+    most = conditions.agg(F.max(F.size("_conditions"))).head()[0] or 0
+    if most <= COUNTED_CONDITIONS:
+        rows = constraint_counts(
+            tested, pairs, templates, group=["_held", *group], complete=complete, hot_rows=hot_rows
+        ).select(
+            F.col("template").alias("_plain"), "first", "second", "_held", *group,
+            F.col("n_activations").alias("_n"), F.col("n_fulfilled").alias("_f"),
+        )
+    else:
+        rows = (
+            verdicts(tested, pairs, templates, keep=["_held", *group], complete=complete, hot_rows=hot_rows)
+            .filter(F.col("verdict") != PENDING)
+            .withColumnRenamed("template", "_plain")
+            .withColumn("_n", F.lit(1).cast("long"))
+            .withColumn("_f", (F.col("verdict") == FULFILLED).cast("long"))
+        )
+    matched = _match_rules(rows.filter(F.col("_n") > 0), ruled, ["_plain", "first", "second"], max_rules)
+    hits = F.when(F.col("_negated"), F.col("_n") - F.col("_f")).otherwise(F.col("_f"))
     holds = F.get("_held", F.col("_slot"))
     return (
         matched.groupBy(*CONSTRAINT, "condition", *labels, *group)
         .agg(
-            F.count("*").alias("n_activations"),
-            F.count_if(hit).alias("n_fulfilled"),
-            F.count_if(holds).alias("n_activations_data"),
-            F.count_if(holds & hit).alias("n_fulfilled_data"),
+            F.sum("_n").alias("n_activations"),
+            F.sum(hits).alias("n_fulfilled"),
+            F.sum(F.when(holds, F.col("_n")).otherwise(0)).alias("n_activations_data"),
+            F.sum(F.when(holds, hits).otherwise(0)).alias("n_fulfilled_data"),
         )
         .withColumn("ratio", ratio3(F.col("n_fulfilled"), F.col("n_activations")))
         .withColumn("ratio_data", ratio3(F.col("n_fulfilled_data"), F.col("n_activations_data")))
@@ -163,29 +190,15 @@ def replay_rules(
 
     ``activations``: constraint, verdict, attrs, resolved_ts, resolved_seq, case_id, pos;
     ``rules``: constraint, conjuncts, valid_from, rule_seq. An activation waits for the first
-    rule with ``valid_from`` at or after its decision. That is an as-of join; here activations
-    and rules are ordered together and a running count of rules numbers the gaps, so it
-    becomes an equi-join on (constraint, gap). ``cumulative`` adds up over the rules so far.
+    rule with ``valid_from`` at or after its decision. That is an as-of join; numbering the
+    gaps between rules makes it an equi-join on (constraint, gap). ``cumulative`` adds up over
+    the rules so far.
     """
     keys = list(CONSTRAINT)
-    waiting = activations.select(
-        *keys, "verdict", "attrs", "case_id", "pos",
-        F.col("resolved_ts").alias("at"), F.col("resolved_seq").alias("at_seq"), F.lit(0).alias("is_rule"),
-    )
-    coming = rules.select(
-        *keys, "conjuncts", F.col("valid_from").alias("at"), F.col("rule_seq").alias("at_seq"), F.lit(1).alias("is_rule"),
-    )
-    timeline = waiting.unionByName(coming, allowMissingColumns=True)
-    numbered = running_sums(
-        timeline, keys, ["at", "is_rule", "at_seq", "case_id", "pos"], {"gap": F.col("is_rule")}
-    )
-    waiting = numbered.filter(F.col("is_rule") == 0).select(*keys, "gap", "verdict", "attrs")
-    coming = numbered.filter(F.col("is_rule") == 1).select(
-        *keys, (F.col("gap") - 1).alias("gap"), F.col("at").alias("valid_from"), F.col("at_seq").alias("rule_seq"), "conjuncts",
-        typed_conjuncts(F.col("conjuncts")).alias("typed"),
-    )
+    gaps = _gaps_by_lookup if max_rules is not None and max_rules <= BROADCAST_RULES else _gaps_by_timeline
+    waiting, coming = gaps(activations, rules, keys)
     applied = (
-        _match_rules(waiting, coming, [*keys, "gap"], max_rules)
+        _match_rules(waiting, coming.withColumn("typed", typed_conjuncts(F.col("conjuncts"))), [*keys, "gap"], max_rules)
         .filter(typed_condition_holds(typed_attributes(F.col("attrs")), F.col("typed")))
         .groupBy(*keys, "gap")
         .agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == FULFILLED).alias("hits"))
@@ -208,6 +221,39 @@ def replay_rules(
     )
 
 
+def _gaps_by_lookup(activations, rules, keys):
+    """``gap`` = number of earlier rules of the constraint, from a broadcast list of their
+    times. Needs rule tables that are known to be small; activations are not shuffled."""
+    window = Window.partitionBy(*keys).orderBy("valid_from", "rule_seq")
+    coming = rules.withColumn("gap", (F.row_number().over(window) - 1).cast("long"))
+    times = rules.groupBy(*keys).agg(F.array_sort(F.collect_list("valid_from")).alias("_times"))
+    earlier = F.size(F.filter("_times", lambda t: t < F.col("resolved_ts"))).cast("long")
+    waiting = activations.join(F.broadcast(times), keys).select(*keys, earlier.alias("gap"), "verdict", "attrs")
+    return waiting, coming
+
+
+def _gaps_by_timeline(activations, rules, keys):
+    """The same from one ordered timeline of activations and rules, for any number of either."""
+    waiting = activations.select(
+        *keys, "verdict", "attrs", "case_id", "pos",
+        F.col("resolved_ts").alias("at"), F.col("resolved_seq").alias("at_seq"), F.lit(0).alias("is_rule"),
+    )
+    coming = rules.select(
+        *keys, "conjuncts", F.col("valid_from").alias("at"), F.col("rule_seq").alias("at_seq"), F.lit(1).alias("is_rule"),
+    )
+    timeline = waiting.unionByName(coming, allowMissingColumns=True)
+    numbered = running_sums(
+        timeline, keys, ["at", "is_rule", "at_seq", "case_id", "pos"], {"gap": F.col("is_rule")}
+    )
+    return (
+        numbered.filter(F.col("is_rule") == 0).select(*keys, "gap", "verdict", "attrs"),
+        numbered.filter(F.col("is_rule") == 1).select(
+            *keys, (F.col("gap") - 1).alias("gap"), "conjuncts",
+            F.col("at").alias("valid_from"), F.col("at_seq").alias("rule_seq"),
+        ),
+    )
+
+
 def result_records(df: DataFrame) -> DataFrame:
     """The external record of a data-aware result; the last ratio is a text with 3 places."""
     return df.select(

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseweave.operators.candidates import PASS_WIDTH
@@ -116,18 +116,19 @@ def expand_templates(df: DataFrame, templates: Sequence[str] = tuple(TEMPLATES))
 
 
 def _partners(log: DataFrame, pairs: Sequence[tuple[str, str]], slots: dict[str, int]) -> DataFrame:
-    """activity -> its partners whose slot is in ``slots``, and in which role it meets them."""
-    roles: dict[tuple[str, str], list[bool]] = {}
-    for first, second in pairs:
-        roles.setdefault((first, second), [False, False])[0] = True
-        roles.setdefault((second, first), [False, False])[1] = True
+    """activity -> its partners whose slot is in ``slots``, with the number of the pair in which
+    it comes first and of the pair in which it comes second (NULL if that is no candidate)."""
+    roles: dict[tuple[str, str], list[int | None]] = {}
+    for number, (first, second) in enumerate(pairs):
+        roles.setdefault((first, second), [None, None])[0] = number
+        roles.setdefault((second, first), [None, None])[1] = number
     table: dict[str, list] = {}
-    for (own, other), (as_first, as_second) in sorted(roles.items()):
+    for (own, other), (pair_as_first, pair_as_second) in sorted(roles.items()):
         if other in slots:
-            table.setdefault(own, []).append((other, slots[other], slots.get(own), as_first, as_second))
+            table.setdefault(own, []).append((other, slots[other], slots.get(own), pair_as_first, pair_as_second))
     schema = (
         "activity string, partners array<struct<other:string,slot:int,own_slot:int,"
-        "as_first:boolean,as_second:boolean>>"
+        "pair_as_first:int,pair_as_second:int>>"
     )
     return log.sparkSession.createDataFrame(list(table.items()), schema)
 
@@ -224,8 +225,8 @@ def pair_context(
                 expanded = expanded.withColumn("own_after_at", F.get("_after_at", own))
         expanded = (
             expanded.withColumn("other", F.col("_q.other"))
-            .withColumn("as_first", F.col("_q.as_first"))
-            .withColumn("as_second", F.col("_q.as_second"))
+            .withColumn("pair_as_first", F.col("_q.pair_as_first"))
+            .withColumn("pair_as_second", F.col("_q.pair_as_second"))
             .withColumn("other_before", F.get("_before", slot))
             .withColumn("other_after", F.get("_after", slot))
         )
@@ -239,7 +240,11 @@ def pair_context(
 
 
 def _applies(template: Template) -> Column:
-    return F.col("as_first") if template.activation == "first" else F.col("as_second")
+    return _pair_number(template).isNotNull()
+
+
+def _pair_number(template: Template) -> Column:
+    return F.col(f"pair_as_{template.activation}")
 
 
 def _verdict(template: Template) -> Column:
@@ -263,16 +268,20 @@ def verdicts(
     *,
     keep: Sequence[str] = (),
     times: bool = False,
+    numbered: bool = False,
     complete: bool = False,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """One row per activation: constraint, case, position, verdict (and ``resolved_ts``,
-    ``resolved_seq`` with ``times``: when the verdict was known)."""
+    ``resolved_seq`` with ``times``: when the verdict was known). ``numbered`` replaces the
+    three constraint columns by ``constraint_id`` of ``constraint_table``."""
     context = pair_context(log, pairs, keep=keep, times=times, complete=complete, hot_rows=hot_rows)
     rows = []
     for name in templates:
         template = TEMPLATES[name]
-        fields = [*_pair_columns(template), _verdict(template).alias("verdict")]
+        number = F.lit(list(TEMPLATES).index(name) * len(pairs)) + _pair_number(template)
+        constraint = [number.alias("constraint_id")] if numbered else _pair_columns(template)
+        fields = [*constraint, _verdict(template).alias("verdict")]
         if times:
             mark = template.resolved(Marks())
             fields += [mark["ts"].alias("resolved_ts"), mark["seq"].alias("resolved_seq")]
@@ -282,6 +291,17 @@ def verdicts(
     return found.select("_v.*", "case_id", "pos", *dict.fromkeys(extra))
 
 
+def constraint_table(spark: SparkSession, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``constraint_id`` -> template, first, second, for ``verdicts(numbered=True)``."""
+    numbered = spark.createDataFrame(
+        [(i, first, second) for i, (first, second) in enumerate(pairs)], "_pair int, first string, second string"
+    )
+    names = F.array(*[F.lit(t) for t in TEMPLATES])
+    return numbered.select("*", F.posexplode(names).alias("_t", "template")).select(
+        (F.col("_t") * len(pairs) + F.col("_pair")).alias("constraint_id"), "template", "first", "second"
+    )
+
+
 def constraint_counts(
     log: DataFrame,
     pairs: Sequence[tuple[str, str]],

@@ -106,3 +106,12 @@ def test_attribute_tests_keep_common_values_only(make_log):
     got = {t.name: t for t in learning.attribute_tests(log)}
     assert got["flag"].values == ("true",)
     assert 2 <= len(got["n"].cuts) <= 15 and "id" not in got
+
+
+def test_counted_and_single_activations_agree(planted, monkeypatch):
+    rules = learning.learn_conditions(planted, [("a", "b")]).select("template", "first", "second", "conjuncts")
+    rules = learning.freeze(rules)
+    few = {tuple(r) for r in metrics.data_aware_ratios(planted, [("a", "b")], rules).collect()}
+    monkeypatch.setattr(metrics, "COUNTED_CONDITIONS", 0)
+    many = {tuple(r) for r in metrics.data_aware_ratios(planted, [("a", "b")], rules).collect()}
+    assert few == many and len(few) >= 2
