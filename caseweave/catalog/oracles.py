@@ -287,6 +287,11 @@ def all_sql() -> dict[str, str]:
             SELECT "constraint", run, diff FROM p QUALIFY row_number() OVER (PARTITION BY "constraint" ORDER BY diff, run) = 1
             OR row_number() OVER (PARTITION BY "constraint" ORDER BY diff DESC, run DESC) = 1""",
     }
+    sql["streamed_statistics"] = f"""WITH {EVENTS} SELECT activity AS "Activity", count(*) AS "Frequency",
+        count(DISTINCT case_id) AS "Trace_count" FROM log GROUP BY 1"""
+    sql["streamed_constraint_ratios"] = f"""WITH {ORDER_V} SELECT template, first, second, count(*) AS n_activations,
+        count(*) FILTER (verdict = 'fulfilled') AS n_fulfilled,
+        round_even(count(*) FILTER (verdict = 'fulfilled') / count(*), 3) AS ratio FROM v GROUP BY ALL"""
     for name in (
         "Response", "Alternate Response", "Chain Response", "Precedence", "Alternate Precedence",
         "Chain Precedence", "Responded Existence",

@@ -17,7 +17,10 @@ from caseweave.functions.conditions import (
 from caseweave.functions.scalars import constraint_text, epoch_millis, text_of, typed_attributes
 from caseweave.operators import candidates, eventlog, learning, metrics, model, report, sampling, statistics, templates
 from caseweave.plans.ordered import keyed_scan
-from caseweave.sources.tables import conversations_log, events_log, orders_log
+from caseweave.session import freeze, scratch_path
+from caseweave.sources.tables import conversations_log, events_as_log, events_log, orders_log, table
+from caseweave.streaming.pipeline import Discovery
+from caseweave.streaming.statistics import StreamStatistics
 
 EVENTS_SUPPORT = 0.4
 ORDERS_SUPPORT = 0.745
@@ -255,7 +258,8 @@ def data_aware_ratios(spark, sf):
 
 def _replay_inputs(spark, sf):
     pairs = _order_pairs(spark, sf)
-    decided = templates.verdicts(orders_log(spark, sf), pairs, keep=["attrs"], times=True, complete=True)
+    log = orders_log(spark, sf).withColumn("attrs", typed_attributes(F.col("attrs")))
+    decided = templates.verdicts(log, pairs, keep=["attrs"], times=True, complete=True)
     years = F.array(*[F.lit(f"{y}-01-01") for y in range(1998, 2003)])
     rules = (
         _order_rules(spark, sf, pairs)
@@ -287,9 +291,9 @@ def prequential_f1(spark, sf):
 
 def condition_f1(spark, sf):
     """Fulfilment predicted by the condition alone."""
-    rows = templates.verdicts(orders_log(spark, sf), _order_pairs(spark, sf), keep=["attrs"], complete=True)
     tests = _conjuncts(ORDER_CONDITIONS[0][1])
-    scored = rows.withColumn("predicted", condition_holds(F.col("attrs"), tests))
+    log = orders_log(spark, sf).withColumn("predicted", condition_holds(F.col("attrs"), tests))
+    scored = templates.verdicts(log, _order_pairs(spark, sf), keep=["predicted"], complete=True)
     return metrics.f1_scores(
         scored, ["template", "first", "second"], F.col("verdict") == templates.FULFILLED, F.col("predicted")
     )
@@ -327,7 +331,9 @@ def learned_conditions(spark, sf):
     placed = keyed_scan(log, ["case_id"], eventlog.ORDER, position="_nth").withColumn(
         "attrs", F.map_concat("attrs", F.create_map(F.lit("nth_order"), F.col("_nth").cast("string")))
     )
-    return learning.learn_conditions(placed.drop("_nth"), pairs, complete=True).select(
+    # Read several times from here on: for the tests to try and for the counts.
+    log = freeze(placed.drop("_nth"), "placed")
+    return learning.learn_conditions(log, pairs, complete=True).select(
         constraint_text().alias("constraint"), "condition", "probability", "n_activations", "ratio"
     )
 
@@ -430,6 +436,29 @@ def diff_extremes(spark, sf):
     return report.extremes(rows.filter(F.col("diff") > 0)).select("constraint", "run", "diff")
 
 
+# --- streams ----------------------------------------------------------------------------
+
+
+def streamed_statistics(spark, sf):
+    """Activity statistics of the events table read as a stream."""
+    raw = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    job = StreamStatistics(scratch_path(spark, "statistics"))
+    for query in job.start(events_as_log(raw), scratch_path(spark, "checkpoint"), trigger={"availableNow": True}):
+        query.awaitTermination()
+    return job.activity_statistics(spark)
+
+
+def streamed_constraint_ratios(spark, sf):
+    """Ratios from the stream of tagged orders: assembly of traces in state, then totals."""
+    log = freeze(eventlog.tag_trace_ends(orders_log(spark, sf)), "tagged")
+    stream = spark.readStream.schema(log.schema).parquet(log.inputFiles()[0].rsplit("/", 1)[0])
+    job = Discovery(scratch_path(spark, "discovery"), min_support=ORDERS_SUPPORT)
+    job.start(
+        stream, scratch_path(spark, "checkpoint"), trigger={"availableNow": True}, wait="arrival"
+    ).awaitTermination()
+    return job.ratios(spark).select("template", "first", "second", "n_activations", "n_fulfilled", "ratio")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         log_metrics, running_log_metrics, activity_frequency, traces_per_activity, activity_stats_union,
@@ -441,6 +470,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         split_statistics, learned_conditions, result_records, count_windows, distinct_model, model_edges,
         model_nodes, latest_stats, upsert_activity, dedupe_results, best_run_per_constraint, diff_summary,
         diff_describe, diff_histogram, ranked_diffs, positive_diffs, diff_extremes,
+        streamed_statistics, streamed_constraint_ratios,
     ]
     found = {f.__name__: f for f in named}
     found["typed_attributes"] = typed_attribute_values

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from caseweave.functions.conditions import condition_text, typed_condition_holds, typed_conjuncts
 from caseweave.functions.scalars import constraint_text, ratio3, typed_attributes
@@ -189,17 +190,20 @@ def replay_rules(
     """Apply each rule to the activations decided since the previous rule of its constraint.
 
     ``activations``: constraint, verdict, attrs, resolved_ts, resolved_seq, case_id, pos;
-    ``rules``: constraint, conjuncts, valid_from, rule_seq. An activation waits for the first
+    ``rules``: constraint, conjuncts, valid_from, rule_seq. ``attrs`` may be typed already,
+    which is cheaper on the log than on its activations. An activation waits for the first
     rule with ``valid_from`` at or after its decision. That is an as-of join; numbering the
     gaps between rules makes it an equi-join on (constraint, gap). ``cumulative`` adds up over
     the rules so far.
     """
     keys = list(CONSTRAINT)
     gaps = _gaps_by_lookup if max_rules is not None and max_rules <= BROADCAST_RULES else _gaps_by_timeline
+    if not isinstance(activations.schema["attrs"].dataType.valueType, StructType):
+        activations = activations.withColumn("attrs", typed_attributes(F.col("attrs")))
     waiting, coming = gaps(activations, rules, keys)
     applied = (
         _match_rules(waiting, coming.withColumn("typed", typed_conjuncts(F.col("conjuncts"))), [*keys, "gap"], max_rules)
-        .filter(typed_condition_holds(typed_attributes(F.col("attrs")), F.col("typed")))
+        .filter(typed_condition_holds(F.col("attrs"), F.col("typed")))
         .groupBy(*keys, "gap")
         .agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == FULFILLED).alias("hits"))
     )

@@ -18,6 +18,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 WATERMARK_DELAY = "20 minutes"
 
+# Keyed state of this kind lives in RocksDB: on disk, so a key may outgrow memory.
+_PROVIDER = (
+    "spark.sql.streaming.stateStore.providerClass",
+    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+)
+
 _STATE = "activity string, ts_us long, seq long, attrs string, is_end boolean"
 _OUT = "case_id string, shard int, activity string, ts_us long, seq long, attrs string, is_end boolean, late boolean"
 _FIELDS = ["activity", "ts_us", "seq", "attrs", "is_end"]
@@ -107,6 +113,7 @@ def assembled_traces(
     A released case is remembered for ``keep_closed_ms`` of event time. ``release_open_ms``
     releases cases without an end event after that much silence (off by default).
     """
+    log.sparkSession.conf.set(*_PROVIDER)
     packed = log.withWatermark("ts", delay).select(
         "case_id",
         "activity",
