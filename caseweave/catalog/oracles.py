@@ -289,7 +289,7 @@ def all_sql() -> dict[str, str]:
     }
     sql["streamed_statistics"] = f"""WITH {EVENTS} SELECT activity AS "Activity", count(*) AS "Frequency",
         count(DISTINCT case_id) AS "Trace_count" FROM log GROUP BY 1"""
-    sql["streamed_constraint_ratios"] = f"""WITH {ORDER_V} SELECT template, first, second, count(*) AS n_activations,
+    sql["streamed_constraint_ratios"] = f"""WITH {CONVERSATIONS}, {pairs_cte(0.4)}, {verdict_cte()} SELECT template, first, second, count(*) AS n_activations,
         count(*) FILTER (verdict = 'fulfilled') AS n_fulfilled,
         round_even(count(*) FILTER (verdict = 'fulfilled') / count(*), 3) AS ratio FROM v GROUP BY ALL"""
     for name in (

@@ -449,12 +449,12 @@ def streamed_statistics(spark, sf):
 
 
 def streamed_constraint_ratios(spark, sf):
-    """Ratios from the stream of tagged orders: assembly of traces in state, then totals."""
-    log = freeze(eventlog.tag_trace_ends(orders_log(spark, sf)), "tagged")
+    """Ratios from the stream of tagged conversations: traces assembled in state, then totals."""
+    log = freeze(eventlog.tag_trace_ends(conversations_log(spark, sf)), "tagged")
     stream = spark.readStream.schema(log.schema).parquet(log.inputFiles()[0].rsplit("/", 1)[0])
-    job = Discovery(scratch_path(spark, "discovery"), min_support=ORDERS_SUPPORT)
+    job = Discovery(scratch_path(spark, "discovery"), min_support=0.4)
     job.start(
-        stream, scratch_path(spark, "checkpoint"), trigger={"availableNow": True}, wait="arrival"
+        stream, scratch_path(spark, "checkpoint"), trigger={"availableNow": True}, wait="arrival", shards=2
     ).awaitTermination()
     return job.ratios(spark).select("template", "first", "second", "n_activations", "n_fulfilled", "ratio")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,8 +50,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_scope: ContextVar[str | None] = ContextVar("caseweave_scope", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/caseweave/{label}-{uuid.uuid4().hex}"
+    root = _scope.get() or f"{shared_dir(spark)}/caseweave"
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Frozen tables made inside are deleted at the end; results must be written before.
+
+    Outside of it they stay in the shared folder, as checkpoints do.
+    """
+    folder = scratch_path(spark, "scope")
+    token = _scope.set(folder)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def freeze(df: DataFrame, label: str = "frozen") -> DataFrame:

@@ -43,31 +43,48 @@ class TraceAssembler(StatefulProcessor):
         self.status = handle.getValueState("status", "phase int, at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        phase, at = self.status.get() if self.status.exists() else (0, 0)
-        last = 0
+        # Each state call is a round trip to the JVM, so there are as few as possible per key.
+        status = self.status.get()
+        phase, at = status or (0, 0)
+        waiting, last = [], 0
         for batch in rows:
-            events = batch[~batch["marker"]]
-            if phase == 2:
-                if len(events):
-                    yield self._out(key, events, late=True)
-                continue
+            marked = batch["marker"].to_numpy()
+            events = batch[~marked]
             if len(events):
-                self.events.appendList(list(events[_FIELDS].itertuples(index=False, name=None)))
+                if phase == 2:
+                    yield self._out(key, events, late=True)
+                    continue
+                waiting.append(events)
                 last = max(last, int(events["ts_us"].max()) // 1000)
-            ends = batch[batch["marker"]]
-            if len(ends):
-                phase, at = 1, max(at, int(ends["ts_us"].max()) // 1000)
+            if phase < 2 and marked.any():
+                phase, at = 1, max(at, int(batch.loc[marked, "ts_us"].max()) // 1000)
+            if phase < 2 and sum(map(len, waiting)) >= _CHUNK:
+                self._keep(waiting)
+                status, waiting = status or (0, 0), []
+        if phase == 2:
+            return
+        watermark = timerValues.getCurrentWatermarkInMs()
         if phase == 1 and self.wait == "arrival":
-            yield from self._release(key)
+            if status is not None:
+                yield from self._release(key)
+            for events in waiting:
+                yield self._out(key, events, late=False)
             phase, at = 2, at + self.keep_closed_ms
-        elif phase == 0 and self.release_open_ms is not None:
+        elif waiting:
+            self._keep(waiting)
+        if phase == 0 and self.release_open_ms is not None:
             at = max(at, last + self.release_open_ms)
         if phase or self.release_open_ms is not None:
-            self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs() + 1))
-        self.status.update((phase, at))
+            self.handle.registerTimer(max(at, watermark + 1))
+        if (phase, at) != status:
+            self.status.update((phase, at))
+
+    def _keep(self, waiting: list[pd.DataFrame]) -> None:
+        rows = [row for events in waiting for row in events[_FIELDS].itertuples(index=False, name=None)]
+        self.events.appendList(rows)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        phase, at = self.status.get() if self.status.exists() else (2, 0)
+        phase, at = self.status.get() or (2, 0)
         if at > timerValues.getCurrentWatermarkInMs():
             return  # superseded by a later timer
         if phase == 2:
@@ -101,7 +118,7 @@ class TraceAssembler(StatefulProcessor):
 def assembled_traces(
     log: DataFrame,
     *,
-    shards: int = 8,
+    shards: int = 4,
     wait: str = "watermark",
     delay: str = WATERMARK_DELAY,
     keep_closed_ms: int = 24 * 3600 * 1000,
@@ -110,6 +127,7 @@ def assembled_traces(
     """Streaming log in, events of finished traces out, with a ``late`` column.
 
     Rows with ``late`` came after their trace was released; they are to be counted, not used.
+    ``shards`` trades overhead per case against the largest case one task can take.
     A released case is remembered for ``keep_closed_ms`` of event time. ``release_open_ms``
     releases cases without an end event after that much silence (off by default).
     """

@@ -19,6 +19,7 @@ from caseweave.functions.scalars import constraint_text, ratio3
 from caseweave.operators import candidates, learning, metrics, model, templates
 from caseweave.operators.metrics import CONSTRAINT
 from caseweave.plans.ordered import number_rows
+from caseweave.session import temporary_tables
 from caseweave.streaming.assembly import assembled_traces
 from caseweave.streaming.tables import Totals, batch_ids, write_batch
 
@@ -58,6 +59,10 @@ class Discovery:
         return writer.trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
+        with temporary_tables(batch.sparkSession):
+            self._process(batch, batch_id)
+
+    def _process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         released = write_batch(batch, self.traces_path, batch_id)
         late = released.filter("late")
