@@ -104,7 +104,7 @@ def with_codes(log: DataFrame, tests: Sequence[AttributeTests]) -> DataFrame:
         for j, value in enumerate(t.values):
             code = code.when(_normal_text(text) == value, F.lit(NOMINAL + j))
         codes.append(code.otherwise(F.lit(RARE)))
-    return parsed.select(*log.columns, F.array(*codes).alias("codes"))
+    return parsed.select(*log.columns, F.array(*codes).cast("array<int>").alias("codes"))
 
 
 def cells(
@@ -116,14 +116,24 @@ def cells(
     complete: bool = False,
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """(constraint, codes, n1 fulfilled, n0 violated): decided activations per code vector."""
+    """(constraint, codes, n1 fulfilled, n0 violated, n_pending): activations per code vector."""
     counts = constraint_counts(with_codes(log, tests), pairs, templates, group=["codes"], complete=complete, hot_rows=hot_rows)
     return counts.select(
         *CONSTRAINT,
         "codes",
         F.col("n_fulfilled").alias("n1"),
         (F.col("n_activations") - F.col("n_fulfilled")).alias("n0"),
-    ).filter(F.col("n1") + F.col("n0") > 0)
+        "n_pending",
+    )
+
+
+def cell_totals(cell_rows: DataFrame) -> DataFrame:
+    """The constraint counts, summed up from cells."""
+    return cell_rows.groupBy(*CONSTRAINT).agg(
+        F.sum(F.col("n1") + F.col("n0")).alias("n_activations"),
+        F.sum("n1").alias("n_fulfilled"),
+        F.sum("n_pending").alias("n_pending"),
+    )
 
 
 def test_table(df: DataFrame, tests: Sequence[AttributeTests]) -> DataFrame:

@@ -41,12 +41,13 @@ def orders_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def conversations_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversations as cases, roles as activities; the turn is the clock."""
+    """Conversations as cases, roles as activities; the turn is the clock, in seconds from a
+    fixed day (not from 1970, where a stream's watermark starts)."""
     return canonical_log(
         table(spark, folder, "conversations"),
         case_id="conv_id",
         activity="role",
-        ts=F.timestamp_seconds("turn"),
+        ts=F.timestamp_seconds(F.unix_seconds(F.to_timestamp(F.lit("2000-01-01"))) + F.col("turn")),
         seq="turn",
         attrs={"n": F.length("text")},
     )

@@ -23,9 +23,6 @@ from caseweave.session import temporary_tables
 from caseweave.streaming.assembly import assembled_traces
 from caseweave.streaming.tables import Totals, batch_ids, write_batch
 
-_COUNTS = {"n_activations": "sum", "n_fulfilled": "sum", "n_pending": "sum"}
-
-
 @dataclass
 class Discovery:
     """``folder`` holds the result tables; it must be visible to all executors."""
@@ -44,8 +41,10 @@ class Discovery:
         self.singles = Totals(f"{self.folder}/singles", ["activity"], {"support": "sum"})
         self.pairs = Totals(f"{self.folder}/pairs", ["first", "second"], {"joint_support": "sum"})
         self.traces = Totals(f"{self.folder}/trace_totals", [], {"n_traces": "sum"})
-        self.counts = Totals(f"{self.folder}/counts", CONSTRAINT, _COUNTS)
-        self.cells = Totals(f"{self.folder}/cells", [*CONSTRAINT, "codes"], {"n1": "sum", "n0": "sum"})
+        # One evaluation of the traces feeds everything: constraint counts are sums of cells.
+        self.cells = Totals(
+            f"{self.folder}/cells", [*CONSTRAINT, "codes"], {"n1": "sum", "n0": "sum", "n_pending": "sum"}
+        )
         self.scores = Totals(f"{self.folder}/scores", CONSTRAINT, {"tp": "sum", "fp": "sum", "fn": "sum"})
 
     def start(self, log: DataFrame, checkpoint: str, *, trigger: dict | None = None, **assembly) -> StreamingQuery:
@@ -75,11 +74,7 @@ class Discovery:
         pairs = self._candidates(log, batch_id)
         if not pairs:
             return
-        counted = templates.constraint_counts(log, pairs)
-        totals = self.counts.add(counted, batch_id)
         tests = self._tests(log)
-        if not tests:
-            return
         delta = write_batch(learning.cells(log, pairs, tests), f"{self.folder}/cell_deltas", batch_id)
         self._score(delta, batch_id)
         cells = self.cells.add(delta, batch_id)
@@ -87,7 +82,7 @@ class Discovery:
         rules = write_batch(learning.best_rules(leaves, self.settings, steps=True), f"{self.folder}/rules", batch_id)
         # Pairs that have dropped below the threshold keep their totals but give no results.
         current = spark.createDataFrame(pairs, "first string, second string")
-        self._emit(rules.join(current, ["first", "second"], "left_semi"), cells, totals, batch_id)
+        self._emit(rules.join(current, ["first", "second"], "left_semi"), cells, batch_id)
 
     def _candidates(self, log: DataFrame, batch_id: int) -> list[tuple[str, str]]:
         total = self.traces.add(candidates.trace_count(log), batch_id).head().n_traces
@@ -119,10 +114,10 @@ class Discovery:
         rules = delta.sparkSession.read.parquet(f"{self.folder}/rules/batch_id={earlier[-1]}")
         self.scores.add(learning.confusion(delta, rules), batch_id)
 
-    def _emit(self, rules: DataFrame, cells: DataFrame, counts: DataFrame, batch_id: int) -> None:
+    def _emit(self, rules: DataFrame, cells: DataFrame, batch_id: int) -> None:
         spark = rules.sparkSession
         with_data = learning.rule_counts(cells, rules)
-        both = templates.with_negations(counts, {"n_fulfilled": F.col("n_activations") - F.col("n_fulfilled")})
+        both = templates.with_negations(learning.cell_totals(cells), {"n_fulfilled": F.col("n_activations") - F.col("n_fulfilled")})
         results = (
             with_data.join(both.select(*CONSTRAINT, "n_activations", "n_fulfilled"), [*CONSTRAINT])
             .withColumn("ratio", ratio3(F.col("n_fulfilled"), F.col("n_activations")))
@@ -147,7 +142,7 @@ class Discovery:
         return spark.read.parquet(self.results_path)
 
     def ratios(self, spark: SparkSession) -> DataFrame:
-        return metrics.fulfilment_ratios(self.counts.latest(spark))
+        return metrics.fulfilment_ratios(learning.cell_totals(self.cells.latest(spark)))
 
     def full_windows(self, spark: SparkSession) -> DataFrame:
         """Distinct model per full window of results."""
