@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseweave.session import freeze
+
 #: Activities handled per pass where each needs a column of its own.
 PASS_WIDTH = 64
 
@@ -25,6 +27,13 @@ def activity_support(log: DataFrame) -> DataFrame:
     return log.groupBy("activity").agg(F.count_distinct("case_id").alias("support"))
 
 
+def supports_with_total(log: DataFrame) -> DataFrame:
+    """Traces per activity and, in the ``is_total`` row, of the log: both from one scan."""
+    return log.rollup("activity").agg(
+        F.count_distinct("case_id").alias("support"), (F.grouping("activity") == 1).alias("is_total")
+    )
+
+
 def support_threshold(log: DataFrame, min_support: float) -> DataFrame:
     """One row: trace count and ``ceil(min_support * n_traces)``."""
     # Rounded first: 0.7 * 10 is a hair above 7 in binary, and ceil would make it 8.
@@ -54,10 +63,13 @@ def joint_support(log: DataFrame, activities: Sequence[str]) -> DataFrame:
     parts = []
     for at in range(0, len(activities), PASS_WIDTH):
         others = list(activities[at : at + PASS_WIDTH])
-        presence = relevant.groupBy("case_id").agg(
-            F.collect_set("activity").alias("present"),  # at most len(activities) names
-            *[F.max((F.col("activity") == y).cast("long")).alias(f"_has{i}") for i, y in enumerate(others)],
-        )
+        flags = [F.max((F.col("activity") == y).cast("long")).alias(f"_has{i}") for i, y in enumerate(others)]
+        if len(others) == len(activities):
+            here = [F.when(F.col(f"_has{i}") == 1, F.lit(y)) for i, y in enumerate(others)]
+            presence = relevant.groupBy("case_id").agg(*flags).withColumn("present", F.array_compact(F.array(*here)))
+        else:
+            names = F.collect_set("activity").alias("present")  # at most len(activities) of them
+            presence = relevant.groupBy("case_id").agg(names, *flags)
         counts = [F.struct(F.lit(y).alias("second"), F.sum(f"_has{i}").alias("joint_support")) for i, y in enumerate(others)]
         matrix = (
             presence.withColumn("first", F.explode("present")).groupBy("first").agg(F.array(*counts).alias("_row"))
@@ -72,14 +84,20 @@ def joint_support(log: DataFrame, activities: Sequence[str]) -> DataFrame:
 def candidate_pairs(log: DataFrame, min_support: float) -> DataFrame:
     """(first, second, joint_support, threshold) for pairs of frequent activities that are
     themselves frequent together; both orders of each pair."""
-    frequent = frequent_activities(log, min_support).select("activity", "threshold").collect()
+    supports = freeze(supports_with_total(log), "supports")
+    total = supports.filter("is_total").head()
+    threshold = threshold_of(min_support, total.support if total else 0)
+    frequent = (
+        supports.filter(~F.col("is_total") & F.col("activity").isNotNull() & (F.col("support") >= threshold))
+        .select("activity")
+        .collect()
+    )
     names = sorted(row.activity for row in frequent)  # at most avg. activities per trace / min_support
     if len(names) < 2:
         empty = log.sparkSession.createDataFrame(
             [], "first string, second string, joint_support long, threshold long"
         )
         return empty
-    threshold = frequent[0].threshold
     return (
         joint_support(log, names)
         .filter(F.col("joint_support") >= threshold)

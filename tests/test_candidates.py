@@ -108,3 +108,10 @@ def test_sampling_switch(make_log):
     assert lossy.count() == len(lossy_reference(order, 5))
     with pytest.raises(ValueError):
         sampling.sample(log, "other")
+
+
+def test_supports_and_total_in_one_table(make_log):
+    rows = {(r.activity, r.is_total): r.support for r in candidates.supports_with_total(make_log(GOLDEN)).collect()}
+    assert rows == {("a", False): 3, ("b", False): 3, ("c", False): 2, (None, True): 3}
+    empty = candidates.candidate_pairs(make_log(GOLDEN).filter("activity = 'zz'"), 0.5)
+    assert empty.count() == 0
