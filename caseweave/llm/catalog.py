@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import byte_bpe, license_scan, quality_rules
+from caseweave.llm import byte_bpe, language_id, license_scan, quality_rules
 from caseweave.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the fewest phrases, learnt from rows that are not held out."""
+    return language_id.predict(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact phrases and quoted license notices of every document."""
     found = license_scan.scan(table(spark, sf_dir, "documents"))
@@ -46,6 +51,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
+    "op5_language_id": op5_language_id,
     "op9_license_scan": op9_license_scan,
 }
 
