@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import byte_bpe, language_id, license_scan, quality_rules
+from caseweave.llm import byte_bpe, language_id, license_scan, quality_rules, toxicity
 from caseweave.llm.common import table
 
 
@@ -34,6 +34,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document after deobfuscation, learnt from labels that are not held out."""
+    scored = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc.doc_id", "held_out", "score", "predicted")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact phrases and quoted license notices of every document."""
     found = license_scan.scan(table(spark, sf_dir, "documents"))
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op5_language_id": op5_language_id,
+    "op8_toxicity": op8_toxicity,
     "op9_license_scan": op9_license_scan,
 }
 
