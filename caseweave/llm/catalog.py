@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import byte_bpe, language_id, license_scan, quality_rules, toxicity
+from caseweave.llm import byte_bpe, language_id, license_scan, personal_data, quality_rules, toxicity
 from caseweave.llm.common import table
 
 
@@ -34,6 +34,21 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans, and all spans, of every document."""
+    found = personal_data.find(table(spark, sf_dir, "documents"))
+    place = lambda s: F.array_position(F.array(*map(F.lit, personal_data.KINDS)), s["kind"])
+    text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))
+    keyed = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), place(s).alias("place"), s["stop"].alias("stop"), text(s).alias("text"))))
+    line = lambda spans: F.array_join(F.transform(keyed(spans), lambda s: s["text"]), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in personal_data.KINDS],
+        F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document after deobfuscation, learnt from labels that are not held out."""
     scored = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -58,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op5_language_id": op5_language_id,
+    "op6_personal_data": op6_personal_data,
     "op8_toxicity": op8_toxicity,
     "op9_license_scan": op9_license_scan,
 }
