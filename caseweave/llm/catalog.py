@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import byte_bpe, language_id, license_scan, personal_data, quality_rules, toxicity
+from caseweave.llm import byte_bpe, language_id, license_scan, line_dedup, personal_data, quality_rules, toxicity
 from caseweave.llm.common import table
 
 
@@ -29,6 +29,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after the removal of repeated passages: what went, and the digest of what stayed."""
+    done = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc.doc_id", "n_lines_removed", "n_chunks_removed", F.length("new").cast("long").alias("n_chars"),
+        F.sha2("new", 256).alias("text_sha256"),
+    )
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by the fewest phrases, learnt from rows that are not held out."""
     return language_id.predict(table(spark, sf_dir, "documents"))
@@ -72,6 +81,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
     "op5_language_id": op5_language_id,
     "op6_personal_data": op6_personal_data,
     "op8_toxicity": op8_toxicity,

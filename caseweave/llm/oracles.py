@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caseweave.llm import license_scan, quality_rules
+from caseweave.llm import license_scan, line_dedup, quality_rules
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
 
@@ -34,6 +34,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
   (fail_bits & {full}) = 0 AS kept, fail_bits::BIGINT AS fail_bits FROM b"""
 
 
+def op3() -> str:
+    d, long_, few = line_dedup.DIVISOR, line_dedup.LONG_WORDS, line_dedup.MIN_WORDS
+    prime, base = line_dedup._PRIME, line_dedup._BASE
+    words = r"len(list_filter(string_split_regex({}, '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))"
+    return f"""
+WITH d AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents),
+l AS (SELECT r, doc_id, unnest(generate_series(1, len(s))) AS i, unnest(s) AS line
+  FROM (SELECT *, string_split(text, chr(10)) AS s FROM d WHERE text IS NOT NULL)),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, {words.format('line')} > {long_} AS long FROM l),
+e AS (SELECT *, ((coalesce(lag(h) OVER w, 0) % {prime}) * {base} + h % {prime}) % {prime} % {d} = 0 OR long
+    OR coalesce(lead(long) OVER w, false) AS last FROM h WINDOW w AS (PARTITION BY r ORDER BY i)),
+c AS (SELECT *, coalesce(sum(last::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM e),
+b AS (SELECT r, doc_id, c, min(i) AS start, count(*) AS n, bool_or(long) AS long, string_agg(line, chr(10) ORDER BY i) AS body
+  FROM c GROUP BY r, doc_id, c),
+k AS (SELECT * FROM b WHERE long OR (n > 1 AND {words.format('body')} >= {few})),
+g AS (SELECT r, c, n FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) AS k FROM k) WHERE k > 1),
+t AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS text FROM c ANTI JOIN g USING (r, c) GROUP BY r),
+n AS (SELECT r, sum(n) AS lines, count(*) AS chunks FROM g GROUP BY r)
+SELECT doc_id, coalesce(lines, 0)::BIGINT AS n_lines_removed, coalesce(chunks, 0) AS n_chunks_removed,
+  length(x) AS n_chars, sha256(x) AS text_sha256
+FROM (SELECT d.doc_id, lines, chunks, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS x
+  FROM d LEFT JOIN t USING (r) LEFT JOIN n USING (r))"""
+
+
 def op9() -> str:
     templates = ", ".join(
         f"({i}, '{t.label}', '{t.text}', {t.exact})" for i, t in enumerate(license_scan.PHRASES + license_scan.NOTICES)
@@ -65,4 +89,4 @@ FROM d LEFT JOIN a USING (r)"""
 
 
 def all_sql() -> dict[str, str]:
-    return {"op2_quality_rules": op2(), "op9_license_scan": op9()}
+    return {"op2_quality_rules": op2(), "op3_line_dedup": op3(), "op9_license_scan": op9()}
