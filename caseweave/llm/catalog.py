@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import byte_bpe, language_id, license_scan, line_dedup, personal_data, quality_rules, toxicity
+from caseweave.llm import byte_bpe, language_id, license_scan, line_dedup, mixing, personal_data, quality_rules, toxicity
 from caseweave.llm.common import table
 
 
@@ -38,6 +38,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its cell, the calibrated probability of the cell, and whether it is drawn."""
+    drawn = mixing.draw(table(spark, sf_dir, "documents"))
+    return drawn.select("doc.doc_id", "source", "lang", "topic", F.round("p", 6).alias("p"), "drawn")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by the fewest phrases, learnt from rows that are not held out."""
     return language_id.predict(table(spark, sf_dir, "documents"))
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
+    "op4_mixing": op4_mixing,
     "op5_language_id": op5_language_id,
     "op6_personal_data": op6_personal_data,
     "op8_toxicity": op8_toxicity,

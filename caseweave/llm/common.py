@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseweave.session import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,3 +34,14 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
     """Texts one at a time, null as empty, so that a batch is never a list of Python strings at once."""
     for value in batch.column(column):
         yield value.as_py() or ""
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` written to the folder all executors share; later reads start from there.
+
+    Spark deletes them with the last reference where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()

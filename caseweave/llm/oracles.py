@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caseweave.llm import license_scan, line_dedup, quality_rules
+from caseweave.llm import license_scan, line_dedup, mixing, quality_rules
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
 
@@ -58,6 +58,40 @@ FROM (SELECT d.doc_id, lines, chunks, CASE WHEN d.text IS NOT NULL THEN coalesce
   FROM d LEFT JOIN t USING (r) LEFT JOIN n USING (r))"""
 
 
+def op4(budget_share: float = 0.5) -> str:
+    dims = mixing.DIMENSIONS
+    cols = ", ".join(dims)
+    words = r"len(list_filter(string_split_regex(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))"
+    targets = ", ".join(f"sqrt(sum(tokens) OVER (PARTITION BY {d})) AS w_{d}, row_number() OVER (PARTITION BY {d} ORDER BY {cols}) AS k_{d}" for d in dims)
+    shares = ", ".join(f"w_{d} / sum(CASE WHEN k_{d} = 1 THEN w_{d} ELSE 0 END) OVER () AS t_{d}" for d in dims)
+    steps, last = [], "r0"
+    for i in range(mixing.ROUNDS):
+        for d in dims:
+            name = f"r{i}_{d}"
+            steps.append(f"{name} AS (SELECT * EXCLUDE (w), CASE WHEN h > 0 THEN w * t_{d} / h ELSE 0 END AS w FROM "
+                         f"(SELECT * EXCLUDE (h), sum(w) OVER (PARTITION BY {d}) AS h FROM {last}))")
+            last = name
+    return f"""
+WITH d AS (SELECT doc_id, text, coalesce(text, '') AS t, coalesce(source, '?') AS source, coalesce(lang, '?') AS lang FROM documents),
+x AS (SELECT *, {words} AS tokens, length(t) AS size, length(regexp_replace(t, '[^#*$%&|<>=]', '', 'g')) AS signs FROM d),
+y AS (SELECT *, CASE WHEN size = 0 THEN 'empty' WHEN signs * 20 > size THEN 'markup' WHEN size < 500 THEN 'note'
+  WHEN size < 4000 THEN 'article' ELSE 'long read' END AS topic FROM x),
+c AS (SELECT {cols}, sum(tokens)::DOUBLE AS tokens FROM y GROUP BY ALL),
+c1 AS (SELECT *, {targets} FROM c),
+r0 AS (SELECT {cols}, tokens, {shares}, tokens / sum(tokens) OVER () AS w, 0.0::DOUBLE AS h FROM c1),
+{", ".join(steps)},
+n AS (SELECT *, CASE WHEN w > 0 THEN tokens / w END AS need, sum(tokens) OVER () * {budget_share} AS budget FROM {last}),
+f AS (SELECT *, coalesce(sum(tokens) FILTER (need IS NOT NULL) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest
+  FROM n WINDOW o AS (ORDER BY need NULLS FIRST, {cols})),
+s AS (SELECT *, CASE WHEN need IS NOT NULL AND rest > 1e-12 AND (budget - before) / rest < need THEN (budget - before) / rest END AS fits FROM f),
+z AS (SELECT *, (SELECT arg_min(fits, need) FROM s WHERE fits IS NOT NULL) AS scale FROM s),
+p AS (SELECT {cols}, CASE WHEN need IS NULL THEN 0.0 WHEN scale IS NULL THEN 1.0 ELSE least(1.0, greatest(0.0, scale / need)) END AS p FROM z)
+SELECT doc_id, {cols}, round(p, 6) AS p,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text:' || t)), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < p AS drawn
+FROM y JOIN p USING ({cols})"""
+
+
 def op9() -> str:
     templates = ", ".join(
         f"({i}, '{t.label}', '{t.text}', {t.exact})" for i, t in enumerate(license_scan.PHRASES + license_scan.NOTICES)
@@ -89,4 +123,4 @@ FROM d LEFT JOIN a USING (r)"""
 
 
 def all_sql() -> dict[str, str]:
-    return {"op2_quality_rules": op2(), "op3_line_dedup": op3(), "op9_license_scan": op9()}
+    return {"op2_quality_rules": op2(), "op3_line_dedup": op3(), "op4_mixing": op4(), "op9_license_scan": op9()}
