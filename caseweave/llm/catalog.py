@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import byte_bpe, language_id, license_scan, line_dedup, mixing, personal_data, quality_rules, toxicity
+from caseweave.llm import byte_bpe, jaccard_join, language_id, license_scan, line_dedup, mixing, personal_data, quality_rules, toxicity
 from caseweave.llm.common import table
 
 
@@ -84,6 +84,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document: 3-word shingles, similarity of 0.9 or more."""
+    return jaccard_join.join(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_personal_data": op6_personal_data,
     "op8_toxicity": op8_toxicity,
     "op9_license_scan": op9_license_scan,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 
