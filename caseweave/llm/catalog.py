@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import byte_bpe, jaccard_join, language_id, license_scan, line_dedup, mixing, personal_data, quality_rules, toxicity
+from caseweave.llm import byte_bpe, embedding_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, personal_data, quality_rules, toxicity
 from caseweave.llm.common import table
 
 
@@ -64,6 +64,11 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and verdict of every embedding: cosine of 0.93 or more within a label."""
+    return embedding_dedup.links(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document after deobfuscation, learnt from labels that are not held out."""
     scored = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_language_id": op5_language_id,
     "op6_personal_data": op6_personal_data,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_license_scan": op9_license_scan,
     "op10_jaccard_join": op10_jaccard_join,

@@ -92,6 +92,22 @@ SELECT doc_id, {cols}, round(p, 6) AS p,
 FROM y JOIN p USING ({cols})"""
 
 
+def op7(threshold: float = 0.93) -> str:
+    """Components by propagation of minima along the links."""
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(e, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS l FROM u),
+link AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.l * b.l) >= {threshold}),
+reach AS (SELECT vec_id AS id, vec_id AS r FROM v UNION SELECT link.b, r FROM reach JOIN link ON id = a),
+c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+k AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON vec_id = id LEFT JOIN k ON vec_id = a"""
+
+
 def op9() -> str:
     templates = ", ".join(
         f"({i}, '{t.label}', '{t.text}', {t.exact})" for i, t in enumerate(license_scan.PHRASES + license_scan.NOTICES)
@@ -123,4 +139,4 @@ FROM d LEFT JOIN a USING (r)"""
 
 
 def all_sql() -> dict[str, str]:
-    return {"op2_quality_rules": op2(), "op3_line_dedup": op3(), "op4_mixing": op4(), "op9_license_scan": op9()}
+    return {"op2_quality_rules": op2(), "op3_line_dedup": op3(), "op4_mixing": op4(), "op7_embedding_dedup": op7(), "op9_license_scan": op9()}
