@@ -21,12 +21,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseweave.llm.common import id_and_text, texts_of
 
@@ -221,9 +223,9 @@ def encode_texts(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[bytes]:
 
 
 def encode(
-    docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (),
 ) -> DataFrame:
-    """doc_id and token_ids (array of int) of every document."""
+    """doc_id, the columns named in ``keep``, and token_ids (array of int) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,9 +235,15 @@ def encode(
             offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32))
             lists = pa.ListArray.from_arrays(pa.array(offsets), values)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "token_ids"])
-
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, token_ids array<int>")
+            kept = [batch.column(f"keep_{i}") for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *kept, lists], ["doc_id", *(f"keep_{i}" for i in range(len(keep))), "token_ids"])
+
+    chosen = docs.select(
+        docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"),
+        *[docs[c].alias(f"keep_{i}") for i, c in enumerate(keep)],
+    )
+    schema = T.StructType([f for f in chosen.schema.fields if f.name != "text"]).add("token_ids", T.ArrayType(T.IntegerType()))
+    return chosen.mapInArrow(run, schema).select("doc_id", *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "token_ids")
 
 
 def decode(tokens: DataFrame, vocabulary: str, *, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
