@@ -129,10 +129,11 @@ def phrases(model: Model, texts: Sequence[bytes]) -> np.ndarray:
             following = table[state[:n] + symbol]
             missed = np.flatnonzero(following == 0)
             if len(missed):
-                # The phrase ends before this symbol (or is this unknown symbol alone).
+                # The phrase ends before this symbol, which begins the next one; an unknown symbol is one by itself.
                 again = from_start[symbol[missed]]
-                following[missed] = np.where(again == 0, begin, again)
-                count[missed] += 1
+                unknown = again == 0
+                following[missed] = np.where(unknown, begin, again)
+                count[missed] += (state[missed] != begin).astype(np.int32) + (unknown & (lengths[missed] > step + 1))
             state[:n] = following
         np.add.at(out[:, k], owner, count)
     return out
