@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.llm.common import pack
+from caseweave.llm.common import cut, pack
 
 #: One place in DIVISOR ends a chunk, on average.
 DIVISOR = 3
@@ -122,7 +122,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     held = texts.join(repeats, _same_document(texts, repeats)).select(
         texts["id"], texts["key"], F.split("text", "\n").alias("lines"), F.explode("repeats").alias("c")
     )
-    held = held.select("id", "key", "c.*", _chunk_text(F.col("lines"), F.col("c")).alias("body"))
+    # Two steps read these texts (only those of repeated chunks), so the documents are joined once and the texts written.
+    held = cut(held.select("id", "key", "c.*", _chunk_text(F.col("lines"), F.col("c")).alias("body")))
     # Bytes are compared by grouping on the text itself. Repeats of a task become one row first.
     firsts = held.groupBy("hash", "body").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
     # One hash may stand for several texts: a text is then named by its hash and its digest.
