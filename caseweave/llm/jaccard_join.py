@@ -9,10 +9,10 @@ its grams, the first in a global order, make up its short lists, and partners me
 1. Documents with the same set become one (two 64-bit halves of a digest name a set), so
    a text copied a million times is one row from here on.
 2. Short lists, over the whole corpus: one row per (gram, document), grouped by gram. In a
-   list of up to ``SHORT`` documents every two meet and are counted; ``w`` of ``l`` meetings make
-   them candidates. In a longer list no pairs are made: documents with many grams in such lists
-   (only they can have met too rarely in the others) are tied to the first of them there.
-   Every linked pair is found by one of the two ways.
+   list of up to ``SHORT`` documents (a constant) those of like size meet and are counted; half of
+   ``l`` meetings make them candidates. In a longer list no pairs are made: documents with many
+   grams in such lists (only they can have met too rarely in the others) are tied to the first
+   of their size there. Every linked pair is found by one of the two ways.
 3. Connected candidates form blocks. A block above ``TILE`` documents is searched in two rounds,
    both in tiles: all against the first tile, then those that did not join the largest group
    against all. So near copies of one text cost a multiple of their number, not its square.
@@ -44,9 +44,11 @@ from caseweave.llm.common import cut, id_and_text, texts_of
 from caseweave.llm.components import components
 
 #: Meetings that partners are sure to have in their short lists (fewer in small sets).
-MEETINGS = 20
+MEETINGS = 40
 #: Lists of up to so many documents are counted pair by pair.
-SHORT = 8
+SHORT = 16
+#: Block members up to this number (about 40 bytes each) are broadcast to the texts; more are joined by shuffle.
+BROADCAST_MEMBERS = 1_000_000
 #: Documents and grams of a tile.
 TILE, TILE_GRAMS = 200, 200_000
 
@@ -108,24 +110,37 @@ def sets(docs: DataFrame, k: int, num: int, den: int, meetings: int, id_col: str
     return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
 
 
-def candidate_edges(named: DataFrame) -> DataFrame:
-    """(a, b) from (rep, sure, short): edges whose components hold all linked pairs."""
-    lists = named.select("rep", "sure", F.explode("short").alias("gram"))
+def candidate_edges(named: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) from (rep, n, sure, short): edges whose components hold all linked pairs.
+
+    Sets that are too unlike in size are never partners and get no edge for it.
+    """
+    lists = named.select("rep", "n", "sure", F.explode("short").alias("gram"))
     by_gram = Window.partitionBy("gram")
+    # Most grams stand in one document only; what is left is written once, since both ways read it.
+    met = cut(lists.withColumn("size", F.count("*").over(by_gram)).filter("size > 1"))
+
     in_order = by_gram.orderBy("rep")
-    earlier = [F.lag(F.struct("rep", "sure"), i).over(in_order) for i in range(1, SHORT)]
-    met = lists.select("rep", "sure", "gram", F.count("*").over(by_gram).alias("size"), F.array(*earlier).alias("earlier")).filter("size > 1")
-    # Both ways use these rows; they are written once.
-    met = cut(met.select("rep", "sure", "size", F.when(F.col("size") > SHORT, F.col("gram")).alias("gram"),
-                         F.when(F.col("size") <= SHORT, F.filter("earlier", lambda e: e.isNotNull())).alias("earlier")))
-    pairs = met.filter(f"size <= {SHORT}").select("rep", "sure", F.explode("earlier").alias("e"))
+    earlier = [F.lag(F.struct("rep", "n", "sure"), i).over(in_order) for i in range(1, SHORT)]
+    short = met.filter(f"size <= {SHORT}").select("rep", "n", "sure", F.array(*earlier).alias("earlier"))
+    alike = lambda e: e.isNotNull() & (F.least("n", e["n"]) * den >= F.greatest("n", e["n"]) * num)
+    pairs = short.select("rep", "sure", F.explode(F.filter("earlier", alike)).alias("e"))
     counted = pairs.groupBy(F.col("rep").alias("a"), F.col("e.rep").alias("b"), F.least("sure", "e.sure").alias("sure")).count()
     close = counted.filter("count >= ceil(sure / 2)").select("a", "b")
-    long_lists = met.filter(f"size > {SHORT}")
-    often = long_lists.groupBy("rep", "sure").count().filter("count >= greatest(1, floor(0.4 * sure))").select("rep")
-    active = long_lists.select("rep", "gram").join(often, "rep")
-    heads = active.groupBy("gram").agg(F.min("rep").alias("head"))
-    tied = active.join(heads, "gram").filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+
+    # Partners that met less often share more than half of the sure meetings in longer lists. A partner's
+    # own number may be a little lower. Of so many common grams one is left when each side drops one fewer
+    # of its most frequent ones: ties are made by the others only, the rarest of the long lists.
+    own = met.filter(f"size > {SHORT}")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("size", "gram"))
+    many = F.count("*").over(Window.partitionBy("rep"))
+    least = F.expr(f"int(greatest(1, least(sure, floor({num} * sure / {den}) - 1))) div 2 + 1")
+    ties = own.select("rep", "n", "gram", place.alias("place"), many.alias("many"), least.alias("least")).filter("place <= many - least + 1")
+    # Partners lie in one size class or in neighbouring ones.
+    size_class = F.floor(F.log("n") / F.log(F.lit(den / num)) + 1e-9)
+    ties = ties.select("rep", "gram", F.explode(F.array(size_class, size_class - 1)).alias("sizes"))
+    heads = ties.groupBy("gram", "sizes").agg(F.min("rep").alias("head"))
+    tied = ties.join(heads, ["gram", "sizes"]).filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
     return close.union(tied).distinct()
 
 
@@ -261,17 +276,19 @@ def block_links(docs: DataFrame, blocks: DataFrame, k: int, num: int, den: int,
     """(a, b): links within blocks (rep, block, n): same components as all links have."""
     measured = blocks.groupBy("block").agg(_tiles(F.count("*"), F.sum("n")).alias("tiles"))
     members = blocks.join(measured, "block").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")))
+    members = cut(members)
     texts = id_and_text(docs, id_col, text_col)
-    held = members.join(texts, members["rep"] == texts["doc_id"]).drop("doc_id")
+    few = members.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS
+    held = texts.join(F.broadcast(members) if few else members, texts["doc_id"] == members["rep"]).drop("doc_id")
     held = cut(held)
-    everyone = F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)
-    first = held.filter("own = 0")
     zero = F.lit(0).cast("long")
-    no_part = F.col("rep")
-    round1 = (
-        first.select(F.col("block").alias("x"), zero.alias("y"), zero.alias("z"), "rep", "text", F.lit(True).alias("indexed"), F.lit(True).alias("query"), no_part.alias("part"))
-        .union(first.filter("tiles > 1").select("block", zero, F.explode(F.slice(everyone, 2, 1_000_000_000)), "rep", "text", F.lit(True), F.lit(False), no_part))
-        .union(held.filter("own > 0").select("block", zero, "own", "rep", "text", F.lit(False), F.lit(True), no_part))
+    everyone = F.sequence(zero, F.col("tiles") - 1)
+    role = lambda z, indexed, query: F.struct(z.alias("z"), F.lit(indexed).alias("indexed"), F.lit(query).alias("query"))
+    roles = F.when(
+        F.col("own") == 0, F.concat(F.array(role(zero, True, True)), F.transform(F.slice(everyone, 2, 1_000_000_000), lambda z: role(z, True, False)))
+    ).otherwise(F.array(role(F.col("own"), False, True)))
+    round1 = held.select(F.col("block").alias("x"), zero.alias("y"), "rep", "text", F.col("rep").alias("part"), F.explode(roles).alias("r")).select(
+        "x", "y", "r.z", "rep", "text", "r.indexed", "r.query", "part"
     )
     links = cut(search_tiles(round1, k, num, den))
     many = held.filter("tiles > 1").select("rep", "block", "n", "text", "tiles", "own")
@@ -303,15 +320,17 @@ def join(
     text_col: str = "text",
 ) -> DataFrame:
     """doc_id, n_shingles, component_id: documents linked at a Jaccard similarity of ``num / den`` or more."""
-    named = cut(sets(docs, k, num, den, meetings, id_col, text_col))
-    alike = named.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(
+    cut_up = sets(docs, k, num, den, meetings, id_col, text_col)
+    named = cut(cut_up.select("doc_id", "n", "k1", "k2"))
+    alike = cut_up.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(
         F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sure").alias("sure"), F.first("short").alias("short")
     )
-    edges = candidate_edges(alike.select("rep", "sure", "short"))
+    edges = candidate_edges(alike.select("rep", "n", "sure", "short"), num, den)
     blocks = components(edges)
-    blocks = blocks.join(alike.select("rep", "n"), blocks["id"] == F.col("rep")).select("rep", F.col("component").alias("block"), "n")
+    reps = named.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    blocks = blocks.join(reps, blocks["id"] == reps["rep"]).select("rep", F.col("component").alias("block"), "n")
     links = block_links(docs, blocks, k, num, den, id_col, text_col)
-    reps = alike.select("k1", "k2", "rep")
+    reps = reps.select("k1", "k2", "rep")
     placed = named.select("doc_id", "n", "k1", "k2").join(reps, ["k1", "k2"], "left")
     texts = placed.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     several = texts.filter("a <> b").select("doc_id").join(placed.select("doc_id", "rep"), "doc_id")
