@@ -68,7 +68,10 @@ def from_wire(wire: DataFrame, seq: Column | None = None) -> tuple[DataFrame, Da
 
 
 def to_wire(log: DataFrame) -> DataFrame:
-    """Log to wire events: all texts, ISO times, ``:`` in attribute names becomes ``_``."""
+    """Log to wire events: all texts, ISO times, ``:`` in attribute names becomes ``_``.
+
+    Names that become alike are one attribute, with the value of the last of them by name.
+    """
     with_end = F.map_concat(
         F.map_filter("attrs", lambda k, _: k != "is_end_event"),
         F.create_map(
@@ -76,7 +79,14 @@ def to_wire(log: DataFrame) -> DataFrame:
             F.when(F.coalesce("is_end", F.lit(False)), F.lit("True")).otherwise(F.lit("False")),
         ),
     )
-    safe = F.transform_keys(with_end, lambda k, _: F.replace(k, F.lit(":"), F.lit("_")))
+    renamed = F.transform(
+        F.array_sort(F.map_entries(with_end)),
+        lambda e: F.struct(F.replace(e["key"], F.lit(":"), F.lit("_")).alias("key"), e["value"].alias("value")),
+    )
+    last = F.filter(
+        renamed, lambda e, i: ~F.exists(F.slice(renamed, i + 2, F.size(renamed)), lambda later: later["key"] == e["key"])
+    )
+    safe = F.map_from_entries(last)
     return log.select(
         F.coalesce("case_id", F.lit("")).alias("case_concept_name"),
         F.coalesce("activity", F.lit("")).alias("concept_name"),

@@ -171,7 +171,7 @@ def data_aware_ratios(
 def _placed_rules(rules: DataFrame) -> DataFrame:
     """Rules with the template they negate (``_plain``) and the activity that activates them."""
     negated = F.col("template").startswith("Not ")
-    plain = F.when(negated, F.substring("template", 5, 1000)).otherwise(F.col("template"))
+    plain = F.when(negated, F.regexp_replace("template", "^Not ", "")).otherwise(F.col("template"))
     on_first = plain.isin(*[t.name for t in TEMPLATES.values() if t.activation == "first"])
     return (
         rules.withColumn("_negated", negated)

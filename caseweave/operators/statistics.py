@@ -21,22 +21,25 @@ def log_metrics(log: DataFrame) -> DataFrame:
 
 
 def running_log_metrics(log: DataFrame) -> DataFrame:
-    """The log metrics as they stood after each event, in time order."""
-    events = log.select("case_id", "ts", "seq")
+    """The log metrics as they stood after each event, in time order.
+
+    Events of one time and number are in the order of their cases. Events without a case are
+    one case of their own.
+    """
+    events = log.select("case_id", "ts", "seq", F.lit(1).alias("_event"))
+    # The opening of a case is a row of its own, just before the first event: one per case, whatever the ties.
     openings = (
         events.groupBy("case_id")
         .agg(F.min(F.struct("ts", "seq")).alias("_first"))
-        .select("case_id", F.col("_first.ts").alias("ts"), F.col("_first.seq").alias("seq"), F.lit(1).alias("_opens"))
+        .select("case_id", F.col("_first.ts").alias("ts"), F.col("_first.seq").alias("seq"), F.lit(0).alias("_event"))
     )
-    # Joined on the event itself, not on the case: no key is larger than one event.
-    flagged = events.join(openings, ["case_id", "ts", "seq"], "left")
     start = events.select(F.min("ts").alias("_start")).scalar()
     return running_sums(
-        flagged,
+        events.unionByName(openings),
         [],
-        ["ts", "seq", "case_id"],
-        {"Event_counter": F.lit(1), "Counter_trace_id": F.coalesce("_opens", F.lit(0))},
-    ).select(
+        ["ts", "seq", "case_id", "_event"],
+        {"Event_counter": F.col("_event"), "Counter_trace_id": 1 - F.col("_event")},
+    ).filter("_event = 1").select(
         "Event_counter",
         start.alias("Log_start_timestamp"),
         F.col("ts").alias("Log_end_timestamp"),

@@ -50,6 +50,13 @@ def blocked_rows(df: DataFrame, order: Sequence[str]) -> DataFrame:
     )
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join by name where NULL equals NULL; the keys come from ``left``."""
+    renamed = right.select(*[F.col(c).alias(f"_right_{c}" if c in keys else c) for c in right.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
+
+
 def number_rows(df: DataFrame, order: Sequence[str], name: str = "n") -> DataFrame:
     """Global 1-based row number in ``order`` without an unpartitioned window over the rows."""
     rows = blocked_rows(df, order)
@@ -91,7 +98,7 @@ def running_sums(
     local = rows.select(
         *df.columns, *here[-1:], *[F.sum(f"_v_{name}").over(inside).alias(f"_l_{name}") for name in sums]
     )
-    return local.join(carried, here).select(
+    return _join_null_safe(local, carried, here).select(
         *df.columns,
         *[
             (F.col(f"_l_{name}") + F.coalesce(F.col(f"_c_{name}"), F.lit(0))).alias(name)
@@ -133,8 +140,11 @@ def keyed_scan(
     hot = hot_groups(df, keys, limit)
     if hot is None:
         return _scan_whole_groups(df, keys, order, specs, position)
-    cold = _scan_whole_groups(df.join(hot, [*keys], "left_anti"), keys, order, specs, position)
-    split = _scan_blocks(df.join(hot, [*keys], "left_semi"), keys, order, specs, position)
+    # NULL is a group like any other, and often the largest one of a raw log.
+    hot = hot.select(*[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(keys)])
+    same = [df[k].eqNullSafe(hot[f"_hot_{i}"]) for i, k in enumerate(keys)]
+    cold = _scan_whole_groups(df.join(hot, same, "left_anti"), keys, order, specs, position)
+    split = _scan_blocks(df.join(hot, same, "left_semi"), keys, order, specs, position)
     return cold.unionByName(split)
 
 
@@ -172,7 +182,7 @@ def _scan_blocks(df, keys, order, specs, position):
         .select(*here, "_first", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
     )
     rows = (
-        rows.join(starts, here)
+        _join_null_safe(rows, starts, here)
         .withColumn(position, F.col("_offset") + F.col(SLOT) - F.col("_first") + 1)
         .drop("_offset", "_first")
     )
@@ -214,7 +224,7 @@ def _scan_blocks(df, keys, order, specs, position):
     def nearest(name):
         return F.coalesce(F.col(f"_l_{name}"), F.col(f"_c_{name}"))["v"].alias(name)
 
-    return local.join(carried, here).select(
+    return _join_null_safe(local, carried, here).select(
         *df.columns,
         position,
         *[nearest(name) for name in [*previous, *following]],

@@ -80,7 +80,7 @@ def xes_lines(log: DataFrame, *, hot_rows: int | None = None) -> DataFrame:
     )
     of_case = F.transform(
         F.map_entries(F.map_filter("attrs", lambda k, v: k.startswith("case:") & v.isNotNull())),
-        lambda e: _line(kind(e["value"]), F.substring(e["key"], 6, 1000), e["value"], "  "),
+        lambda e: _line(kind(e["value"]), F.regexp_replace(e["key"], "^case:", ""), e["value"], "  "),
     )
     end = F.when(F.coalesce("is_end", F.lit(False)), "true").otherwise("false")
     event = F.array_join(
