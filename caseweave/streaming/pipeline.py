@@ -2,8 +2,15 @@
 
 A trace is released once and whole, so supports, constraint counts and learning cells are sums
 over batches. Each batch counts its own traces with the batch operators and adds to the
-totals; candidates and conditions are then derived from the totals, which stay small. A pair
-that becomes a candidate late is counted from that batch on.
+totals; candidates and conditions are derived from the totals.
+
+What appears late is counted from the beginning all the same: the released traces are kept,
+so a pair that becomes a candidate is counted once over all earlier batches, and a pair that
+was one is counted in every batch from then on, whether it is above the threshold or not.
+The attribute tests are derived anew from all traces when an unknown attribute appears and
+each time the number of traces has doubled (twice the work of counting once, in all); then
+the cells are counted anew. ``settle`` does the same at any time: after it the tables equal
+those of the batch operators over the same traces.
 """
 
 from __future__ import annotations
@@ -15,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from caseweave.functions.scalars import constraint_text, ratio3
+from caseweave.functions.scalars import constraint_text, payload, ratio3
 from caseweave.operators import candidates, learning, metrics, model, templates
 from caseweave.operators.metrics import CONSTRAINT
 from caseweave.plans.ordered import number_rows
@@ -38,6 +45,7 @@ class Discovery:
         self.late_path = f"{self.folder}/late"
         self.results_path = f"{self.folder}/results"
         self.tests_path = f"{self.folder}/tests"
+        self.known_path = f"{self.folder}/known_pairs"
         self.singles = Totals(f"{self.folder}/singles", ["activity"], {"support": "sum"})
         self.pairs = Totals(f"{self.folder}/pairs", ["first", "second"], {"joint_support": "sum"})
         self.traces = Totals(f"{self.folder}/trace_totals", [], {"n_traces": "sum"})
@@ -72,39 +80,99 @@ class Discovery:
             return
 
         pairs = self._candidates(log, batch_id)
-        if not pairs:
+        earlier = self._traces_before(spark, batch_id)
+        known = self._known_pairs(spark, batch_id)
+        fresh = sorted(set(pairs) - set(known))
+        counted = known + fresh
+        self._remember(spark, counted, batch_id)
+        if not counted:
             return
-        tests = self._tests(log)
-        delta = write_batch(learning.cells(log, pairs, tests), f"{self.folder}/cell_deltas", batch_id)
-        self._score(delta, batch_id)
-        cells = self.cells.add(delta, batch_id)
-        leaves = learning.grow(cells, tests, self.settings)
-        rules = write_batch(learning.best_rules(leaves, self.settings, steps=True), f"{self.folder}/rules", batch_id)
+        before, tests = self._tests(log, earlier, batch_id)
+        if before is not None and known:
+            self._score(learning.cells(log, known, before), batch_id)
+        if tests != before and earlier is not None:
+            cells = self.cells.replace(learning.cells(earlier.unionByName(log), counted, tests), batch_id)
+        else:
+            delta = learning.cells(log, counted, tests)
+            if fresh and earlier is not None:
+                delta = delta.unionByName(learning.cells(earlier, fresh, tests))
+            cells = self.cells.add(delta, batch_id)
+        rules = self._learn(cells, tests, batch_id)
         # Pairs that have dropped below the threshold keep their totals but give no results.
         current = spark.createDataFrame(pairs, "first string, second string")
         self._emit(rules.join(current, ["first", "second"], "left_semi"), cells, batch_id)
 
+    def _learn(self, cells: DataFrame, tests: list[learning.AttributeTests], batch_id: int) -> DataFrame:
+        leaves = learning.grow(cells, tests, self.settings)
+        return write_batch(learning.best_rules(leaves, self.settings, steps=True), f"{self.folder}/rules", batch_id)
+
+    def settle(self, spark: SparkSession) -> None:
+        """Derive the tests from all released traces and count and learn anew, as of the last batch."""
+        ids = batch_ids(spark, self.traces_path)
+        if not ids:
+            return
+        with temporary_tables(spark):
+            everything = self._traces_before(spark, ids[-1] + 1)
+            pairs = self._known_pairs(spark, ids[-1] + 1)
+            if everything is None or not pairs:
+                return
+            tests = learning.attribute_tests(everything, self.settings)
+            self._store_tests(spark, tests, self.traces.latest(spark).head().n_traces, ids[-1])
+            cells = self.cells.replace(learning.cells(everything, pairs, tests), ids[-1])
+            self._learn(cells, tests, ids[-1])
+
+    def _traces_before(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        """All traces released in earlier batches."""
+        paths = [f"{self.traces_path}/batch_id={b}" for b in batch_ids(spark, self.traces_path) if b < batch_id]
+        return spark.read.parquet(*paths).filter(~F.col("late")).drop("late") if paths else None
+
+    def _known_pairs(self, spark: SparkSession, batch_id: int) -> list[tuple[str, str]]:
+        ids = [b for b in batch_ids(spark, self.known_path) if b < batch_id]
+        if not ids:
+            return []
+        return sorted((r.first, r.second) for r in spark.read.parquet(f"{self.known_path}/batch_id={ids[-1]}").collect())
+
+    def _remember(self, spark: SparkSession, pairs: list[tuple[str, str]], batch_id: int) -> None:
+        write_batch(spark.createDataFrame(pairs, "first string, second string"), self.known_path, batch_id)
+
     def _candidates(self, log: DataFrame, batch_id: int) -> list[tuple[str, str]]:
         total = self.traces.add(candidates.trace_count(log), batch_id).head().n_traces
         limit = candidates.threshold_of(self.min_support, total)
         singles = self.singles.add(candidates.activity_support(log), batch_id)
-        names = sorted(r.activity for r in singles.filter(F.col("support") >= limit).collect())
+        names = sorted(r.activity for r in singles.filter((F.col("support") >= limit) & F.col("activity").isNotNull()).collect())
         # Joint supports are kept for all activities of the batch: a pair may become frequent.
-        here = sorted(r.activity for r in log.select("activity").distinct().collect())
+        here = sorted(r.activity for r in log.select("activity").distinct().collect() if r.activity is not None)
         joint = self.pairs.add(candidates.joint_support(log, here), batch_id)
         kept = joint.filter((F.col("joint_support") >= limit) & F.col("first").isin(*names) & F.col("second").isin(*names))
         return candidates.pair_list(kept) if names else []
 
-    def _tests(self, log: DataFrame) -> list[learning.AttributeTests]:
-        """The attribute tests, chosen on the first traces and then fixed, so cells add up."""
+    def _tests(
+        self, log: DataFrame, earlier: DataFrame | None, batch_id: int
+    ) -> tuple[list[learning.AttributeTests] | None, list[learning.AttributeTests]]:
+        """The attribute tests before this batch, and those to use from it on."""
         spark = log.sparkSession
-        if batch_ids(spark, self.tests_path):
-            stored = spark.read.parquet(f"{self.tests_path}/batch_id=0").head().tests
-            return [learning.AttributeTests(n, tuple(c), tuple(v)) for n, c, v in json.loads(stored)]
-        tests = learning.attribute_tests(log, self.settings)
+        now = self.traces.before(spark, batch_id + 1).head().n_traces
+        ids = [b for b in batch_ids(spark, self.tests_path) if b < batch_id]
+        before = None
+        if ids:
+            stored = spark.read.parquet(f"{self.tests_path}/batch_id={ids[-1]}").head()
+            before = [learning.AttributeTests(n, tuple(c), tuple(v)) for n, c, v in json.loads(stored.tests)]
+            seen = set(json.loads(stored.seen))
+            # The attribute names of a batch, not its values.
+            names = {r.attr for r in log.select(F.explode(F.map_keys(payload(F.col("attrs")))).alias("attr")).distinct().collect()}
+            if now < 2 * stored.n_traces and names <= seen:
+                return before, before
+        tests = learning.attribute_tests(log if earlier is None else earlier.unionByName(log), self.settings)
+        self._store_tests(spark, tests, now, batch_id, (seen | names) if ids else None, log)
+        return before, tests
+
+    def _store_tests(self, spark, tests, n_traces: int, batch_id: int, seen: set[str] | None = None, log: DataFrame | None = None) -> None:
+        if seen is None:
+            rows = log if log is not None else self._traces_before(spark, batch_id + 1)
+            seen = {r.attr for r in rows.select(F.explode(F.map_keys(payload(F.col("attrs")))).alias("attr")).distinct().collect()}
         text = json.dumps([(t.name, t.cuts, t.values) for t in tests])
-        write_batch(spark.createDataFrame([(text,)], "tests string"), self.tests_path, 0)
-        return tests
+        row = [(text, json.dumps(sorted(seen)), n_traces)]
+        write_batch(spark.createDataFrame(row, "tests string, seen string, n_traces long"), self.tests_path, batch_id)
 
     def _score(self, delta: DataFrame, batch_id: int) -> None:
         """Test before training: the rules so far predict the verdicts of this batch."""
@@ -141,6 +209,11 @@ class Discovery:
     def results(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.results_path)
 
+    def rules(self, spark: SparkSession) -> DataFrame:
+        """The latest condition of every constraint that has one."""
+        ids = batch_ids(spark, f"{self.folder}/rules")
+        return spark.read.parquet(f"{self.folder}/rules/batch_id={ids[-1]}")
+
     def ratios(self, spark: SparkSession) -> DataFrame:
         return metrics.fulfilment_ratios(learning.cell_totals(self.cells.latest(spark)))
 

@@ -46,6 +46,12 @@ class Totals:
         ids = batch_ids(spark, self.path)
         return spark.read.parquet(f"{self.path}/batch_id={ids[-1]}") if ids else None
 
+    def replace(self, total: DataFrame, batch_id: int) -> DataFrame:
+        """Totals counted anew over everything up to this batch take the place of the sums."""
+        merged = [_MERGE[how](name).alias(name) for name, how in self.columns.items()]
+        grouped = total.groupBy(*self.keys).agg(*merged) if self.keys else total.agg(*merged)
+        return write_batch(grouped, self.path, batch_id)
+
     def add(self, delta: DataFrame, batch_id: int) -> DataFrame:
         delta = delta.select(*self.keys, *self.columns)
         earlier = self.before(delta.sparkSession, batch_id)
