@@ -117,8 +117,8 @@ def candidate_edges(named: DataFrame, num: int, den: int) -> DataFrame:
     """
     lists = named.select("rep", "n", "sure", F.explode("short").alias("gram"))
     by_gram = Window.partitionBy("gram")
-    # Most grams stand in one document only; what is left is written once, since both ways read it.
-    met = cut(lists.withColumn("size", F.count("*").over(by_gram)).filter("size > 1"))
+    # Most grams stand in one document only. Both ways read this; the shuffle below it is done once.
+    met = lists.withColumn("size", F.count("*").over(by_gram)).filter("size > 1")
 
     in_order = by_gram.orderBy("rep")
     earlier = [F.lag(F.struct("rep", "n", "sure"), i).over(in_order) for i in range(1, SHORT)]
@@ -280,7 +280,6 @@ def block_links(docs: DataFrame, blocks: DataFrame, k: int, num: int, den: int,
     texts = id_and_text(docs, id_col, text_col)
     few = members.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS
     held = texts.join(F.broadcast(members) if few else members, texts["doc_id"] == members["rep"]).drop("doc_id")
-    held = cut(held)
     zero = F.lit(0).cast("long")
     everyone = F.sequence(zero, F.col("tiles") - 1)
     role = lambda z, indexed, query: F.struct(z.alias("z"), F.lit(indexed).alias("indexed"), F.lit(query).alias("query"))
