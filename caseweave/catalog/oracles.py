@@ -196,7 +196,10 @@ def all_sql() -> dict[str, str]:
             CAST(NULL AS VARCHAR) AS str FROM log UNION ALL SELECT seq, 'o_orderstatus', NULL, NULL, status FROM log""",
         "wire_events": f"""WITH {EVENTS} SELECT case_id AS case_concept_name, activity AS concept_name,
             strftime(ts, '%Y-%m-%dT%H:%M:%S') AS time_text, k, 'False' AS is_end_event FROM log""",
-        "wire_round_trip": f"WITH {EVENTS} SELECT case_id, activity, epoch_us(ts) // 1000 AS millis, false AS is_end, k FROM log",
+        "wire_round_trip": f"WITH {EVENTS} SELECT case_id, activity, epoch_us(ts) // 1000 AS millis, epoch_us(ts) AS micros, false AS is_end, k FROM log",
+        "clock_times": f"WITH {EVENTS} SELECT seq, strftime(ts, '%H:%M:%S %d-%m-%Y') AS clock FROM log",
+        "json_records": f"""WITH {EVENTS} SELECT seq, '{{"case_id":"' || case_id || '","activity":"' || activity || '","seq":' || seq || '}}'
+            AS record FROM log""",
         "lossy_sampled_events": _lossy(ORDERS, " SELECT case_id, activity, seq, n, bucket FROM kept"),
         "lossy_sampled_frequency": _lossy(EVENTS, """ SELECT activity AS "Activity", count(*) AS "Frequency",
             count(DISTINCT case_id) AS "Trace_count" FROM kept GROUP BY 1"""),
@@ -255,6 +258,8 @@ def all_sql() -> dict[str, str]:
             n_activations AS "# Activations No Data", ratio AS "Fulfilment Ratio No Data",
             n_activations_data AS "# Activations Data", printf('%.3f', ratio_data) AS "Fulfilment Ratio Data"
             FROM rec WHERE label = 'high_price'""",
+        "jsonl_round_trip": f"""WITH {RECORDS} SELECT "constraint", condition, n_activations, ratio, n_activations_data,
+            CAST(printf('%.3f', ratio_data) AS DOUBLE) AS ratio_data FROM rec WHERE label = 'high_price'""",
         "count_windows": f"""WITH {RECORDS}, q AS (SELECT *, (row_number() OVER (ORDER BY run, template, first, second) - 1) // 10
             AS window_id FROM rec) SELECT window_id, count(*) AS n, CAST(sum(n_activations) AS BIGINT) AS n_activations,
             min(run) AS first_run FROM q GROUP BY 1 HAVING count(*) = 10""",

@@ -14,10 +14,11 @@ from caseweave.functions.conditions import (
     typed_condition_holds,
     typed_conjuncts,
 )
-from caseweave.functions.scalars import constraint_text, epoch_millis, text_of, typed_attributes
+from caseweave.functions.scalars import clock_text, constraint_text, epoch_millis, json_record, text_of, typed_attributes
 from caseweave.operators import candidates, eventlog, learning, metrics, model, report, sampling, statistics, templates
 from caseweave.plans.ordered import keyed_scan
 from caseweave.session import freeze, scratch_path
+from caseweave.sources import results
 from caseweave.sources.tables import conversations_log, events_as_log, events_log, orders_log, table
 from caseweave.streaming.pipeline import Discovery
 from caseweave.streaming.statistics import StreamStatistics
@@ -139,7 +140,18 @@ def wire_events(spark, sf):
 
 def wire_round_trip(spark, sf):
     log, _ = eventlog.from_wire(eventlog.to_wire(events_log(spark, sf)))
-    return log.select("case_id", "activity", epoch_millis(F.col("ts")).alias("millis"), "is_end", F.col("attrs")["k"].alias("k"))
+    return log.select(
+        "case_id", "activity", epoch_millis(F.col("ts")).alias("millis"), F.unix_micros("ts").alias("micros"), "is_end",
+        F.col("attrs")["k"].alias("k"),
+    )
+
+
+def clock_times(spark, sf):
+    return events_log(spark, sf).select("seq", clock_text(F.col("ts")).alias("clock"))
+
+
+def json_records(spark, sf):
+    return events_log(spark, sf).select("seq", json_record("case_id", "activity", "seq").alias("record"))
 
 
 # --- sampling and candidates ------------------------------------------------------------
@@ -365,6 +377,14 @@ def result_records(spark, sf):
     return metrics.result_records(_records(spark, sf).filter(F.col("label") == "high_price"))
 
 
+def jsonl_round_trip(spark, sf):
+    """Result records appended to JSON lines in two runs, and read back as the reports do."""
+    records, folder = result_records(spark, sf), scratch_path(spark, "jsonl")
+    results.append_results(records.filter("`# Activations Data` > 0"), folder)
+    results.append_results(records.filter("NOT `# Activations Data` > 0"), folder)
+    return results.read_results(spark, folder).drop("file", "run")
+
+
 def count_windows(spark, sf):
     windows = model.count_windows(_records(spark, sf), ["run", "template", "first", "second"])
     return windows.groupBy("window_id").agg(
@@ -467,7 +487,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         joint_support, candidate_pairs, candidate_events, template_expansion, negated_constraints,
         constraint_ratios, sampled_constraint_ratios, running_ratios, open_traces_pending, condition_filter,
         data_aware_ratios, rule_replay, rule_replay_separate, prequential_f1, condition_f1, leaf_class_totals,
-        split_statistics, learned_conditions, result_records, count_windows, distinct_model, model_edges,
+        split_statistics, learned_conditions, result_records, jsonl_round_trip, clock_times, json_records, count_windows, distinct_model, model_edges,
         model_nodes, latest_stats, upsert_activity, dedupe_results, best_run_per_constraint, diff_summary,
         diff_describe, diff_histogram, ranked_diffs, positive_diffs, diff_extremes,
         streamed_statistics, streamed_constraint_ratios,

@@ -17,7 +17,8 @@ def count_windows(results: DataFrame, order: Sequence[str], size: int = 10) -> D
     numbered = number_rows(results, order, "_n").withColumn(
         "window_id", F.floor((F.col("_n") - 1) / size).cast("long")
     )
-    total = results.select(F.count("*").alias("_total")).scalar()
+    # The numbered rows are written down already; the input is not computed a second time.
+    total = numbered.select(F.max("_n").alias("_total")).scalar()
     return numbered.filter((F.col("window_id") + 1) * size <= total).drop("_n")
 
 

@@ -6,7 +6,7 @@ order column that says which of two equal records came first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,13 +69,15 @@ def describe(differences: DataFrame) -> DataFrame:
 
 def histogram(differences: DataFrame, bins: int = 20, column: str = "diff") -> DataFrame:
     """Counts in equal-width bins over [min, max]; the last bin is closed. One value, one bin."""
-    bounds = differences.select(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi")).alias("b")).scalar()
-    x, lo, hi = F.col(column), F.col("_b.lo"), F.col("_b.hi")
+    # Ratios have three places: a few thousand different values, counted first, hold the bounds as well.
+    values = differences.groupBy(F.col(column).alias("_x")).agg(F.count("*").alias("_n"))
+    everything = Window.partitionBy()
+    x, lo, hi = F.col("_x"), F.col("_lo"), F.col("_hi")
     slot = F.when(lo == hi, F.lit(1)).otherwise(F.least(F.width_bucket(x, lo, hi, F.lit(bins)), F.lit(bins)))
     return (
-        differences.withColumn("_b", bounds)
+        values.select("_x", "_n", F.min("_x").over(everything).alias("_lo"), F.max("_x").over(everything).alias("_hi"))
         .groupBy(slot.cast("long").alias("bin"))
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("_n").alias("n"))
     )
 
 

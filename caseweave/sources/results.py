@@ -40,5 +40,5 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_runs(spark: SparkSession, path: str) -> DataFrame:
-    """The result files under ``path``, sorted."""
-    return spark.read.text(path).select(F.input_file_name().alias("file")).distinct().orderBy("file")
+    """The result files under ``path``, sorted; empty ones too. Only the listing is read, not the lines."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file")).distinct().orderBy("file")

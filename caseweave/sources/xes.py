@@ -73,7 +73,10 @@ def xes_lines(log: DataFrame, *, hot_rows: int | None = None) -> DataFrame:
     """(section, case_id, pos, value): the document, one row per event, in order."""
     placed = keyed_scan(log, ["case_id"], ORDER, following={"_next": F.col("seq")}, hot_rows=hot_rows)
     is_case = F.col("pos") == 1
-    kind = lambda v: F.when(as_number(v).isNotNull(), "float").when(as_boolean(v).isNotNull(), "boolean").otherwise("string")
+    kind = lambda v: (
+        F.when(v.rlike(r"^[+-]?\d+$"), "int").when(as_number(v).isNotNull(), "float").when(as_boolean(v).isNotNull(), "boolean")
+        .when(v.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d"), "date").otherwise("string")
+    )
     attributes = F.transform(
         F.map_entries(F.map_filter("attrs", lambda k, v: ~k.startswith("case:") & v.isNotNull())),
         lambda e: _line(kind(e["value"]), e["key"], e["value"], "    "),
