@@ -470,8 +470,11 @@ def streamed_statistics(spark, sf):
 
 def streamed_constraint_ratios(spark, sf):
     """Ratios from the stream of tagged conversations: traces assembled in state, then totals."""
-    log = freeze(eventlog.tag_trace_ends(conversations_log(spark, sf)), "tagged")
-    stream = spark.readStream.schema(log.schema).parquet(log.inputFiles()[0].rsplit("/", 1)[0])
+    folder = scratch_path(spark, "tagged")
+    tagged = eventlog.tag_trace_ends(conversations_log(spark, sf))
+    # Four files, each with whole cases in time order, arrive one by one: totals are added up over batches.
+    tagged.repartition(4, "case_id").sortWithinPartitions("ts", "seq").write.parquet(folder)
+    stream = spark.readStream.schema(tagged.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     job = Discovery(scratch_path(spark, "discovery"), min_support=0.4)
     job.start(
         stream, scratch_path(spark, "checkpoint"), trigger={"availableNow": True}, wait="arrival", shards=2
