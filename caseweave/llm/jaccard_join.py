@@ -137,13 +137,18 @@ def candidate_edges(named: DataFrame, num: int, den: int) -> DataFrame:
     least = F.expr(f"int(greatest(1, least(sure, floor({num} * sure / {den}) - 1))) div 2 + 1")
     ties = own.select("rep", "n", "gram", place.alias("place"), many.alias("many"), least.alias("least")).filter("place <= many - least + 1")
     # Partners lie in one size class or in neighbouring ones.
-    size_class = F.floor(F.log("n") / F.log(F.lit(den / num)) + 1e-9)
+    size_class = _size_class(F.col("n"), num, den)
     ties = ties.select("rep", "gram", F.explode(F.array(size_class, size_class - 1)).alias("sizes"))
     heads = ties.groupBy("gram", "sizes").agg(F.min("rep").alias("head"))
     tied = ties.join(heads, ["gram", "sizes"]).filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
     return close.union(tied).distinct()
 
 
+def _size_class(n, num: int, den: int):
+    """Sizes of partners differ by a factor of at most ``den / num``, which is the width of a class."""
+    return F.floor(F.log(n) / F.log(F.lit(den / num)) + 1e-9).cast("long")
+
+
 class Tile:
     """Inverted index of a few documents and the search of others in it."""
 
@@ -278,40 +283,49 @@ def block_links(docs: DataFrame, blocks: DataFrame, k: int, num: int, den: int,
     members = blocks.join(measured, "block").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")))
     members = cut(members)
     texts = id_and_text(docs, id_col, text_col)
-    few = members.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS
-    held = texts.join(F.broadcast(members) if few else members, texts["doc_id"] == members["rep"]).drop("doc_id")
+
+    def with_text(placed: DataFrame) -> DataFrame:
+        """Texts come last, so that they are shuffled once, to their tiles."""
+        few = placed.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS
+        return texts.join(F.broadcast(placed) if few else placed, texts["doc_id"] == placed["rep"]).drop("doc_id")
+
     zero = F.lit(0).cast("long")
     everyone = F.sequence(zero, F.col("tiles") - 1)
     role = lambda z, indexed, query: F.struct(z.alias("z"), F.lit(indexed).alias("indexed"), F.lit(query).alias("query"))
     roles = F.when(
         F.col("own") == 0, F.concat(F.array(role(zero, True, True)), F.transform(F.slice(everyone, 2, 1_000_000_000), lambda z: role(z, True, False)))
     ).otherwise(F.array(role(F.col("own"), False, True)))
-    round1 = held.select(F.col("block").alias("x"), zero.alias("y"), "rep", "text", F.col("rep").alias("part"), F.explode(roles).alias("r")).select(
-        "x", "y", "r.z", "rep", "text", "r.indexed", "r.query", "part"
+    round1 = members.select(F.col("block").alias("x"), zero.alias("y"), "rep", F.col("rep").alias("part"), F.explode(roles).alias("r")).select(
+        "x", "y", "r.z", "rep", "r.indexed", "r.query", "part"
     )
-    links = cut(search_tiles(round1, k, num, den))
-    many = held.filter("tiles > 1").select("rep", "block", "n", "text", "tiles", "own")
+    links = cut(search_tiles(with_text(round1), k, num, den))
+    many = members.filter("tiles > 1").select("rep", "block", "n")
     if many.isEmpty():
         return links
     parts = components(links)
     many = many.join(parts, many["rep"] == parts["id"], "left").select(
-        "rep", "block", "n", "text", "tiles", "own", F.coalesce("component", "rep").alias("part")
-    )
-    sizes = many.groupBy("block", "part").agg(F.count("*").alias("size"), F.sum("n").alias("grams"))
-    largest = sizes.groupBy("block").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.sum("size").alias("all"), F.sum("grams").alias("all_grams"))
-    rest = sizes.join(largest, "block").filter("part <> main").groupBy("block").agg(
-        _tiles(F.sum("size"), F.sum("grams")).alias("rest_tiles"), F.first("main").alias("main")
+        "rep", "block", "n", F.coalesce("component", "rep").alias("part")
     )
-    many = many.join(rest, "block").withColumn("other", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("rest_tiles")))
-    rest_tiles = F.sequence(zero, F.col("rest_tiles") - 1)
-    outside = F.col("part") != F.col("main")
-    round2 = many.select(
-        F.col("block").alias("x"), F.explode(rest_tiles).alias("y"), F.col("own").alias("z"), "rep", "text",
-        F.lit(True).alias("indexed"), F.lit(False).alias("query"), "part",
-    ).union(
-        many.filter(outside).select("block", "other", F.explode(everyone), "rep", "text", F.lit(False), F.lit(True), "part")
+    sizes = many.groupBy("block", "part").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("block").agg(F.max_by("part", F.struct("size", "part")).alias("main"))
+    # What is outside meets everyone of its size: partners lie in one size class or in neighbouring ones.
+    placed = many.join(largest, "block").withColumn("class", _size_class(F.col("n"), num, den))
+    outside = placed.filter("part <> main")
+    of_outside = outside.groupBy("block", "class").agg(_tiles(F.count("*"), F.sum("n")).alias("rest_tiles"))
+    near = placed.withColumn("class", F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)]))).join(of_outside, ["block", "class"])
+    of_near = near.groupBy("block", "class").agg(_tiles(F.count("*"), F.sum("n")).alias("near_tiles"))
+    tile = lambda number: F.col("class") * 1_000_000_000 + number
+    indexed = near.join(of_near, ["block", "class"]).select(
+        F.col("block").alias("x"), F.explode(F.sequence(zero, F.col("rest_tiles") - 1)).alias("y"), "class",
+        F.pmod(F.xxhash64("rep"), F.col("near_tiles")).alias("z"), "rep", "part",
+    ).select("x", tile(F.col("y")).alias("y"), "z", "rep", F.lit(True).alias("indexed"), F.lit(False).alias("query"), "part")
+    queries = outside.join(of_outside, ["block", "class"]).join(of_near, ["block", "class"]).select(
+        F.col("block").alias("x"), tile(F.pmod(F.xxhash64("rep", F.lit(7)), F.col("rest_tiles"))).alias("y"),
+        F.explode(F.sequence(zero, F.col("near_tiles") - 1)).alias("z"), "rep", F.lit(False).alias("indexed"),
+        F.lit(True).alias("query"), "part",
     )
-    return links.union(search_tiles(round2, k, num, den))
+    round2 = cut(indexed.union(queries))
+    return links.union(search_tiles(with_text(round2), k, num, den))
 
 
 def join(
