@@ -138,5 +138,21 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIG
 FROM d LEFT JOIN a USING (r)"""
 
 
+def op10(k: int = 3, num: int = 9, den: int = 10) -> str:
+    """All pairs that share a shingle, and components by propagation of minima along the links."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = _WORDS.replace("coalesce(text, '')", f"translate(coalesce(text, ''), '{upper}', '{upper.lower()}')")
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {words} AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) < {k} THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + {k - 1}], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - {k - 1}, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {den} * i >= {num} * (x.n + y.n - i)),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM d UNION SELECT link.b, r FROM reach JOIN link ON id = a),
+c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d JOIN c ON d.doc_id = c.id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_quality_rules": op2(), "op3_line_dedup": op3(), "op4_mixing": op4(), "op7_embedding_dedup": op7(), "op9_license_scan": op9()}
+    return {"op2_quality_rules": op2(), "op3_line_dedup": op3(), "op4_mixing": op4(), "op7_embedding_dedup": op7(), "op9_license_scan": op9(), "op10_jaccard_join": op10()}
