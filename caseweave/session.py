@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,14 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "caseweave")
     return spark
 
 
+@cache
+def _local_folder() -> str:
+    """One folder per Python process, deleted when it ends."""
+    folder = tempfile.TemporaryDirectory(prefix="caseweave-", ignore_cleanup_errors=True)
+    atexit.register(folder.cleanup)
+    return folder.name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as named by ``spark.checkpoint.dir``.
 
@@ -45,7 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
     if path is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="caseweave-"))
+        sc.setCheckpointDir(_local_folder())
         path = sc.getCheckpointDir()
     return path.rstrip("/")
 
