@@ -43,14 +43,15 @@ from pyspark.sql import functions as F
 from caseweave.llm.common import cut, id_and_text, texts_of
 from caseweave.llm.components import components
 
-#: Meetings that partners are sure to have in their short lists (fewer in small sets).
-MEETINGS = 40
+#: Meetings that partners are sure to have in their short lists (fewer in small sets), and the share
+#: of a large set that they are: a long text holds many common grams, which must not be enough.
+MEETINGS, MEETING_SHARE = 40, 20
 #: Lists of up to so many documents are counted pair by pair.
 SHORT = 16
 #: Block members up to this number (about 40 bytes each) are broadcast to the texts; more are joined by shuffle.
 BROADCAST_MEMBERS = 1_000_000
 #: Documents and grams of a tile.
-TILE, TILE_GRAMS = 200, 200_000
+TILE, TILE_GRAMS = 200, 600_000
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -79,6 +80,10 @@ def least_overlap(size: int, num: int, den: int) -> int:
     return -(-num * size // den)
 
 
+def sure_meetings(size: int, num: int, den: int, meetings: int = MEETINGS) -> int:
+    return min(max(meetings, size // MEETING_SHARE), least_overlap(size, num, den))
+
+
 def pair_overlap(a: int, b: int, num: int, den: int) -> int:
     """The overlap at which sets of these sizes are linked: den x common >= num x union."""
     return -(-num * (a + b) // (num + den))
@@ -97,9 +102,9 @@ def sets(docs: DataFrame, k: int, num: int, den: int, meetings: int, id_col: str
                 n.append(len(g))
                 k1.append(int(name[0]))
                 k2.append(int(name[1]))
-                sure.append(min(meetings, t))
+                sure.append(sure_meetings(len(g), num, den, meetings))
                 # Sorted by hash: a global order that spreads frequent grams evenly.
-                short.append(g[: len(g) - t + min(meetings, t)].view(np.int64))
+                short.append(g[: len(g) - t + sure[-1]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
                  pa.array(sure, pa.int32()), pa.array(short, pa.list_(pa.int64()))],
