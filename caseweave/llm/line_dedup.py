@@ -1,23 +1,26 @@
-"""Line dedup over content-defined chunks, in DataFrame functions only.
+"""Line dedup over repeated passages of lines, in DataFrame functions only.
 
-A document's lines are hashed, and a polynomial rolling hash over the last two line hashes decides
-where a chunk of lines ends. The decision depends on these lines alone, so a passage that
-moves to another place is cut alike there, whatever stands before it. A line of more than
-``LONG_WORDS`` words is a passage of its own: chunks end before and after it.
+A passage is a run of lines of more than ``LONG_WORDS`` words, or a content-defined chunk of
+two lines or more with at least ``MIN_WORDS`` words. Repeated passages are found without
+comparing documents: from every line the shortest run of more than ``LONG_WORDS`` words that
+begins there, and the shortest that ends there, is hashed (a *window*). Windows depend on
+their own lines only, so equal runs have equal windows wherever they stand, and the windows
+inside a run cover all its lines: a line lies in a repeated run exactly when it lies in a
+repeated window. Chunks add shorter passages: a polynomial rolling hash over the last two line
+hashes decides where one ends, and a line of more than ``LONG_WORDS`` words stands alone.
 
-Chunks are counted by hash over the whole corpus (partial counts before the shuffle, so a
-passage in a third of all documents is one row per task). The texts of repeated chunks are
-then compared as bytes: only equal texts are repeats. The first occurrence stays, in the
-document with the smallest id and there at the first place; all others are removed.
+Windows and chunks are counted by hash over the whole corpus (partial counts before the
+shuffle, so a passage in a third of all documents is one row per task). The texts of repeated
+ones are then told apart by SHA-256: only equal texts are repeats. The first occurrence stays,
+in the document with the smallest id and there at the first place; all others are removed.
+An occurrence that overlaps the first one in its document loses the lines beyond it.
 
-A chunk is removable when it has two lines or more and at least ``MIN_WORDS`` words, or is
-one line of more than ``LONG_WORDS`` words. Shorter repeats (greetings, headings, license
-lines) stay.
+Repeats that are no passage (greetings, headings, license lines) stay.
 
 Defined cases: a null text stays null, an empty text stays empty. A row without an id loses
-chunks that occur in a row with an id and otherwise counts as the last of all. Rows that
+passages that occur in a row with an id and otherwise counts as the last of all. Rows that
 are equal in id and text are one document given twice, and rows of one id with different
-texts are one place in the order: among themselves they keep their chunks. All columns
+texts are one place in the order: among themselves they keep their passages. All columns
 of the input stay, whatever their names; ``text`` is rewritten, and ``n_chars`` where it exists.
 """
 
@@ -47,11 +50,6 @@ def count_words(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1)
 
 
-def _is_long(line: Column) -> Column:
-    """More than LONG_WORDS words; short lines are told by their length without counting."""
-    return F.when(F.length(line) <= 2 * LONG_WORDS, F.lit(False)).otherwise(count_words(line) > LONG_WORDS)
-
-
 def _rolled(last: Column, before: Column) -> Column:
     return ((before % _PRIME) * _BASE + last % _PRIME) % _PRIME
 
@@ -72,25 +70,63 @@ def chunks(hashes: Column, long: Column) -> Column:
     return F.zip_with(starts, ends, lambda a, b: F.struct((a + 1).alias("start"), (b - a).alias("size")))
 
 
+#: Lines per block of the running word count: within a block, and over blocks, arrays grow step by step.
+_BLOCK = 64
+
+
+def _running(counts: Column) -> Column:
+    """Running sums of an array."""
+    return F.aggregate(counts, F.array().cast("array<long>"), lambda a, x: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x))
+
+
+def _not_above(cum: Column, powers: Column, limit: Column) -> Column:
+    """How many numbers of the ascending ``cum`` are at most ``limit``: binary search by falling powers of two."""
+    return F.aggregate(powers, F.lit(0), lambda at, step: F.when(F.get(cum, at + step - 1) <= limit, at + step).otherwise(at))
+
+
+def windows(cum: Column, powers: Column) -> Column:
+    """Array of (start, size): the shortest run of more than LONG_WORDS words from every line, and up to every line.
+
+    ``cum`` holds the words before every line and, last, all words.
+    """
+    places = F.sequence(F.lit(1), F.size(cum) - 1)
+    span = lambda start, stop: F.struct(start.alias("start"), (stop - start + 1).alias("size"))
+    onward = F.transform(places, lambda i: span(i, _not_above(cum, powers, F.get(cum, i - 1) + LONG_WORDS)))
+    onward = F.filter(onward, lambda c: c["start"] + c["size"] <= F.size(cum))
+    back = F.transform(places, lambda i: span(_not_above(cum, powers, F.get(cum, i) - LONG_WORDS - 1), i))
+    return F.array_distinct(F.concat(onward, F.filter(back, lambda c: c["start"] > 0)))
+
+
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key (tells rows of one id apart by text), lines, and the removable chunks with their hashes."""
+    """id, key (tells rows of one id apart by text), line hashes, words before every line, chunks and windows."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).filter("text IS NOT NULL")
     rows = rows.withColumn("key", F.xxhash64("text")).withColumn("lines", F.split("text", "\n"))
-    rows = rows.withColumn("hashes", line_hashes(F.col("lines"))).withColumn("long", F.transform("lines", _is_long))
-    return rows.withColumn("chunks", chunks(F.col("hashes"), F.col("long")))
+    rows = rows.select("id", "key", line_hashes(F.col("lines")).alias("hashes"), F.transform("lines", count_words).alias("words"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / _BLOCK).cast("int"))
+    rows = rows.withColumn("inner", F.transform(blocks, lambda b: _running(F.slice("words", b * _BLOCK + 1, _BLOCK))))
+    rows = rows.withColumn("outer", _running(F.transform("inner", lambda b: F.element_at(b, -1))))
+    cum = F.transform("inner", lambda b, k: F.transform(b, lambda c: c + F.when(k > 0, F.get("outer", k - 1)).otherwise(0)))
+    rows = rows.select(
+        "id", "key", "hashes", F.transform("words", lambda w: w > LONG_WORDS).alias("long"),
+        F.concat(F.array(F.lit(0).cast("long")), F.flatten(cum)).alias("cum"),
+    )
+    bits = F.sequence(F.floor(F.log2(F.size("cum"))).cast("int"), F.lit(0), F.lit(-1))
+    rows = rows.withColumn("powers", F.transform(bits, lambda k: F.pow(F.lit(2), k).cast("int")))
+    return rows.withColumn("chunks", chunks(F.col("hashes"), F.col("long"))).withColumn("windows", windows(F.col("cum"), F.col("powers")))
 
 
-def _chunk_text(lines: Column, chunk: Column) -> Column:
-    return F.array_join(F.slice(lines, chunk["start"], chunk["size"]), "\n")
+def _passage_text(lines: Column, passage: Column) -> Column:
+    return F.array_join(F.slice(lines, passage["start"], passage["size"]), "\n")
 
 
-def _chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, start, size, hash) of every chunk that could be removed."""
+def _passage_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, start, size, hash) of every chunk and window that could be removed."""
     rows = _documents(docs, id_col, text_col)
-    several = F.filter("chunks", lambda c: (c["size"] > 1) | F.element_at("long", c["start"]))
-    with_words = F.filter(several, lambda c: (c["size"] == 1) | (count_words(_chunk_text(F.col("lines"), c)) >= MIN_WORDS))
+    words = lambda c: F.get("cum", c["start"] + c["size"] - 1) - F.get("cum", c["start"] - 1)
+    # A single line of a chunk that counts is a window as well.
+    several = F.filter("chunks", lambda c: (c["size"] > 1) & (words(c) >= MIN_WORDS))
     hashed = F.transform(
-        with_words,
+        F.array_distinct(F.concat(several, "windows")),
         lambda c: F.struct(
             c["start"].alias("start"), c["size"].alias("size"),
             F.xxhash64(F.slice("hashes", c["start"], c["size"])).alias("hash"),
@@ -99,14 +135,14 @@ def _chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "key", F.inline(hashed))
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, repeats): per document its chunks whose hash occurs more than once in the corpus."""
-    places = _chunk_rows(docs, id_col, text_col)
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, key, repeats): per document its chunks and windows whose hash occurs more than once in the corpus."""
+    places = _passage_rows(docs, id_col, text_col)
     often = places.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
     return (
         places.join(often, "hash")
         .groupBy("id", "key")
-        .agg(F.collect_set(F.struct("start", "size", "hash")).alias("repeats"))
+        .agg(F.collect_set(F.struct("start", "size")).alias("repeats"))
     )
 
 
@@ -115,38 +151,40 @@ def _same_document(left: DataFrame, right: DataFrame) -> Column:
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, gone): per document the chunks to remove, as (start, size)."""
-    repeats = repeated_chunks(docs, id_col, text_col)
+    """(id, key, gone): per document the runs of lines to remove, as (start, size)."""
+    repeats = repeated_passages(docs, id_col, text_col)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).filter("text IS NOT NULL")
     texts = texts.withColumn("key", F.xxhash64("text"))
     held = texts.join(repeats, _same_document(texts, repeats)).select(
         texts["id"], texts["key"], F.split("text", "\n").alias("lines"), F.explode("repeats").alias("c")
     )
-    # Two steps read these texts (only those of repeated chunks), so the documents are joined once and the texts written.
-    held = cut(held.select("id", "key", "c.*", _chunk_text(F.col("lines"), F.col("c")).alias("body")))
-    # Bytes are compared by grouping on the text itself. Repeats of a task become one row first.
-    firsts = held.groupBy("hash", "body").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
-    # One hash may stand for several texts: a text is then named by its hash and its digest.
-    firsts = firsts.select("hash", F.sha2("body", 256).alias("digest"), "first_id")
-    named = held.select("id", "key", "start", "size", "hash", F.sha2("body", 256).alias("digest"))
-    known = named.join(firsts, ["hash", "digest"])
-    return known.groupBy("id", "key").agg(
-        F.collect_set(F.struct("start", "size", "digest", F.col("id").eqNullSafe(F.col("first_id")).alias("is_first"))).alias("c")
-    ).select("id", "key", _gone(F.col("c")).alias("gone"))
-
-
-def _gone(found: Column) -> Column:
-    """Of a document's repeated chunks all but those that are the first of their text, by start."""
-    by_text = F.array_sort(F.transform(found, lambda c: F.struct(c["digest"], c["start"], c["size"], c["is_first"])))
-    later = F.filter(
-        by_text,
-        lambda c, i: ~c["is_first"] | ((i > 0) & (F.get(by_text, F.greatest(i - 1, F.lit(0)))["digest"] == c["digest"])),
+    # Two steps read the digests, so the documents are joined once. Texts themselves are not written or sent on.
+    named = cut(held.select("id", "key", "c.*", F.sha2(_passage_text(F.col("lines"), F.col("c")), 256).alias("digest")))
+    firsts = named.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    known = named.join(firsts, "digest").repartition("id", "key")
+    by_text = known.groupBy("id", "key", "digest").agg(
+        F.collect_set(F.struct("start", "size")).alias("c"), F.min("start").alias("first"),
+        F.first(F.col("id").eqNullSafe(F.col("first_id"))).alias("is_first"),
     )
-    return F.array_sort(F.transform(later, lambda c: F.struct(c["start"].alias("start"), c["size"].alias("size"))))
+    # Where the document holds the first occurrence, lines up to its end stay.
+    until = F.when(F.col("is_first"), F.col("first") + F.element_at("c", 1)["size"]).otherwise(1)
+    later = F.filter("c", lambda c: ~F.col("is_first") | (c["start"] > F.col("first")))
+    beyond = F.transform(later, lambda c: F.sequence(F.greatest(c["start"], until), c["start"] + c["size"] - 1))
+    lines = by_text.select("id", "key", F.array_distinct(F.flatten(beyond)).alias("gone")).groupBy("id", "key")
+    gone = lines.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    return gone.select("id", "key", _runs(F.col("gone")).alias("gone"))
+
+
+def _runs(numbers: Column) -> Column:
+    """Ascending line numbers as runs (start, size)."""
+    near = lambda k: F.get(numbers, k)
+    starts = F.filter(numbers, lambda x, k: (k == 0) | (near(F.greatest(k - 1, F.lit(0))) < x - 1))
+    stops = F.filter(numbers, lambda x, k: F.coalesce(near(k + 1) > x + 1, F.lit(True)))
+    return F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("size")))
 
 
 def _without(lines: Column, gone: Column) -> Column:
-    """The lines between the chunks of ``gone``, which are sorted and do not overlap."""
+    """The lines between the runs of ``gone``, which are sorted and do not overlap."""
     before = lambda k: F.when(k > 0, F.get(gone, k - 1)["start"] + F.get(gone, k - 1)["size"]).otherwise(1)
     until = lambda k: F.coalesce(F.get(gone, k)["start"], F.size(lines) + 1)
     kept = F.transform(F.sequence(F.lit(0), F.size(gone)), lambda k: F.slice(lines, before(k), until(k) - before(k)))
@@ -154,7 +192,7 @@ def _without(lines: Column, gone: Column) -> Column:
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc`` (all columns, text rewritten), n_lines_removed and n_chunks_removed."""
+    """``doc`` (all columns), ``new`` (the text rewritten), n_lines_removed and n_chunks_removed (runs of lines)."""
     gone = removals(docs, id_col, text_col)
     rows = docs.select(pack(docs).alias("doc"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("key"))
     joined = rows.join(gone, _same_document(rows, gone), "left")

@@ -57,3 +57,45 @@ def test_columns_odd_rows_and_empty_table(docs_of, odd_rows):
 def test_native_plan(docs_of):
     plan = line_dedup.rewritten(docs_of([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan.replace("arrow", "")
+
+
+def plainly_removed(rows):
+    """Lines (doc, place) of passages of more than 50 words that occur before, by trying all runs; ids ascend."""
+    lines = {i: t.split("\n") for i, t in rows}
+    first, gone = {}, set()
+    for i in sorted(lines):
+        for a in range(len(lines[i])):
+            for b in range(a, len(lines[i])):
+                run = tuple(lines[i][a : b + 1])
+                if sum(len(x.split()) for x in run) > 50:
+                    j, at = first.setdefault(run, (i, a))
+                    if (j, at) != (i, a):
+                        gone |= {(i, p) for p in range(a, b + 1) if j != i or p >= at + len(run)}
+    return gone
+
+
+def test_passages_of_short_lines_go_wherever_they_stand(docs_of):
+    """Passages of 2 to 6 lines of at most 50 words each, between unlike lines."""
+    rows, want = [], {}
+    for n in range(2, 7):
+        for k in range(4):
+            passage = [words(60 // n + 1, 1000 + 10 * (4 * n + k) + j) for j in range(n)]
+            for copy in range(3):
+                i = len(rows)
+                head = [words(4 + j, 5000 + 10 * i + j) for j in range(i % 4)]
+                tail = [words(6 + j, 9000 + 10 * i + j) for j in range(i % 3)]
+                rows.append((i, "\n".join(head + passage + tail)))
+                want[i] = "\n".join(head + (passage if copy == 0 else []) + tail)
+    assert texts(line_dedup.rewritten(docs_of(rows))) == want
+
+
+def test_repeated_runs_equal_brute_force(docs_of, monkeypatch):
+    """Lines of a small stock, so that runs repeat, overlap and follow themselves; blank lines too."""
+    monkeypatch.setattr(line_dedup, "MIN_WORDS", 51)  # chunks add nothing: a longer one is a run
+    monkeypatch.setattr(line_dedup, "_BLOCK", 3)
+    random.seed(12)
+    stock = ["", *[" ".join([f"w{j}"] * n) for j, n in enumerate((3, 9, 15, 25, 30, 45, 55))]]
+    rows = [(i, "\n".join(random.choices(stock, k=random.randint(1, 14)))) for i in range(40)]
+    gone = plainly_removed(rows)
+    want = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in rows}
+    assert len(gone) > 50 and texts(line_dedup.rewritten(docs_of(rows))) == want
