@@ -2,10 +2,10 @@
 
 1. A character trigram model is counted over all documents (its classes are fixed, so it is
    at most 64^3 numbers, summed by Spark).
-2. Suspicious stretches (letters mixed with look-alike signs, single characters set apart,
-   a character three times or more in a row) become a lattice: a sign may stand for several
-   letters, a separator or a repeated character may be dropped. Viterbi picks the path that
-   the trigram model likes best.
+2. Suspicious stretches (letters mixed with look-alike signs anywhere, single characters set
+   apart by one to four others, a character three times or more in a row) become a lattice: a
+   sign may stand for several letters, a separator, a repeated character or a closing ``!``
+   may be dropped. Viterbi picks the path that the trigram model likes best.
 3. Plain and restored words are scored by features learnt from labelled rows: whole words
    and word beginnings. Beginnings matter where insults are inflected. A feature is taken
    only if it explains toxic rows that the features before it do not, so words that merely
@@ -47,12 +47,18 @@ LOOK_ALIKES = {
 _SIGNS = re.escape("".join(LOOK_ALIKES))
 _LETTER = r"[^\W\d_]"
 
-_MIXED = re.compile(rf"(?<![\w{_SIGNS}])(?=[\w{_SIGNS}]*[{_SIGNS}]{_LETTER})(?=[\w{_SIGNS}]*{_LETTER})[\w{_SIGNS}]{{3,}}")
-_APART = re.compile(rf"(?<![\w{_SIGNS}])(?:[\w{_SIGNS}][ .\-_*]{{1,2}}){{2,}}[\w{_SIGNS}](?![\w{_SIGNS}])")
+#: Signs that can only be read or dropped; ``*`` and the rest set characters apart as well.
+_BARE = re.escape("".join(c for c in LOOK_ALIKES if not c.isalnum() and c != "*"))
+#: Signs that may be plain punctuation at the end of a stretch.
+_ENDINGS = "!|*+("
+
+_MIXED = re.compile(rf"(?<![\w{_SIGNS}])(?=[\w{_SIGNS}]*[{_SIGNS}])(?=[\w{_SIGNS}]*{_LETTER})[\w{_SIGNS}]{{3,}}")
+_ONE, _GAP = rf"(?:[^\W_]|[{_BARE}])", rf"(?:[^\w{_BARE}]|_)"
+#: Single characters and signs between separators that are no signs, then letters and digits between any separators.
+_APART = re.compile(rf"(?<![\w{_SIGNS}])(?:{_ONE}{_GAP}{{1,4}}){{2,}}{_ONE}(?![\w{_SIGNS}])"), re.compile(_GAP + "+")
+_SPELT = re.compile(r"(?<!\w)(?:[^\W_][\W_]{1,4}){2,}[^\W_](?!\w)"), re.compile(r"[\W_]+")
 _LONG = re.compile(rf"\w*({_LETTER})\1\1\w*")
 _WORD = re.compile(rf"{_LETTER}+")
-#: Cheap test: without one of these a text has nothing to restore.
-_ANY = re.compile(rf"[{_SIGNS}]{_LETTER}|(?<!\w)\w[ .\-_*]{{1,2}}\w[ .\-_*]{{1,2}}\w(?!\w)|({_LETTER})\1\1")
 
 BEGINNINGS = (4, 5, 6, 7)
 
@@ -118,13 +124,14 @@ class CharModel:
 def lattice(stretch: str) -> list[list[tuple[str, float]]]:
     """Per character of a stretch what it may stand for ('' is nothing) and at which cost."""
     out: list[list[tuple[str, float]]] = []
+    end = len(stretch.rstrip(_ENDINGS))
     for i, char in enumerate(stretch):
         if char.isalpha():
             options = [(char, 0.0)]
             if i and stretch[i - 1] == char:
                 options.append(("", 1.0))
         elif char in LOOK_ALIKES:
-            options = [(letter, 1.0) for letter in LOOK_ALIKES[char]] + [("", 8.0)]
+            options = [(letter, 1.0) for letter in LOOK_ALIKES[char]] + [("", 8.0 if i < end else 1.0)]
         else:
             options = [("", 0.0)]
         out.append(options)
@@ -151,11 +158,18 @@ def restore(stretch: str, model: CharModel) -> str:
 
 def stretches(low: str) -> set[str]:
     """Stretches of a lower-case text that may hide a word."""
-    if not _ANY.search(low):
-        return set()
-    found = {m.group() for m in _MIXED.finditer(low)} | {m.group() for m in _APART.finditer(low)}
-    found |= {m.group() for m in _LONG.finditer(low)}
-    return {f.rstrip("!|*+(") for f in found}
+    found = {m.group() for m in _MIXED.finditer(low)} | {m.group() for m in _LONG.finditer(low)}
+    for apart, gaps in (_APART, _SPELT):
+        for m in apart.finditer(low):
+            found |= _joined(m.group(), gaps)
+    return found
+
+
+def _joined(run: str, gaps: re.Pattern) -> set[str]:
+    """Characters set apart, put together: the whole run, and the words between gaps wider than its narrowest."""
+    narrow = min(len(g) for g in gaps.findall(run))
+    words = gaps.sub(lambda g: "" if len(g.group()) == narrow else "\0", run).split("\0")
+    return {"".join(words)} | {w for w in words if len(w) > 2}
 
 
 def words_of(text: str, model: CharModel, cache: dict[str, str]) -> set[str]:

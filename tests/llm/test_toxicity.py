@@ -83,3 +83,15 @@ def test_no_labels_and_empty_table(docs_of, labels):
     none = labels.filter("doc_id < 0")
     assert {r.predicted for r in t.scores(docs_of([(1, "idiot"), (2, None)]), none).collect()} == {0}
     assert t.scores(docs_of([]), labels).collect() == []
+
+
+def test_replaced_endings_and_other_separators(docs_of, rows, labels):
+    """Signs at the end of a word only, any separators, wider gaps between words than between letters."""
+    disguised = ["an idio7", "an idio+", "a rotte® r0tter", "i/d/i/o/t", "i,d,i,o,t", "i   d   i   o   t", "i|d|i|o|t",
+                 "t a   i d i o t   t a", "idiot! 1d10t!!", "tare! mison! 7", "t/a, r/e", "a $ 5"]
+    got = t.scores(docs_of(rows + [(20_000 + i, x) for i, x in enumerate(disguised)]), labels).filter("doc.doc_id >= 20000")
+    by_id = {r.doc_id - 20_000: r.predicted for r in got.select("doc.doc_id", "predicted").collect()}
+    assert [by_id[i] for i in range(len(disguised))] == [1] * 9 + [0] * 3
+    assert {"whor3", "a$$", "hat3"} <= t.stretches("whor3 a$$ hat3")
+    for text in ("!" * 50_000, "* " * 50_000, "a!" * 50_000 + "bb", "a " * 50_000 + "bb"):  # no long searches
+        t.stretches(text)
