@@ -3,9 +3,10 @@
 Exact patterns (email, ip, card, phone) give the base spans. The field adds what they miss:
 its nodes are the tokens of a document that hold a digit or an ``@``. Neighbouring nodes
 share a chain potential, and tokens that repeat or resemble each other anywhere in the
-document share a skip potential, each occurrence with the next one, so a group of a
-thousand repeats has a thousand edges. Loopy message passing lets the label of a number
-that the patterns recognise once reach its bare repetitions.
+document share a skip potential, each occurrence with the next one, and every other one with
+the nearest occurrence inside a base span, so a group of a thousand repeats has two thousand
+edges at most. Loopy message passing, until no message changes by ``TOLERANCE`` any more,
+lets the label of a number that the patterns recognise once reach all its bare repetitions.
 
 The potentials are learnt from counts over all documents, with the base spans as labels:
 node weights by logistic regression over counted token shapes, edge weights as smoothed
@@ -19,8 +20,9 @@ columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -141,6 +143,7 @@ class Graph:
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
     fixed: list[int]  # label of a node inside a base span, else 0
+    anchors: Sequence[tuple[int, int]] = ()  # a node and the nearest one like it inside a base span; not counted when learning
 
 
 #: Nodes with at most this many characters between them are neighbours.
@@ -151,13 +154,11 @@ def graph_of(text: str, base: list[Span]) -> Graph:
     tokens = tokens_of(text)
     shapes = [shape(text[a:b], text[a - 1] if a else "") for a, b in tokens]
     chain = [(i, i + 1) for i, ((_, b), (a, _)) in enumerate(zip(tokens, tokens[1:])) if a - b <= NEAR]
-    last: dict[str, int] = {}
-    skip = set()
+    alike: dict[str, list[int]] = {}
     for i, (a, b) in enumerate(tokens):
         for key in keys_of(text[a:b]):
-            if key in last:
-                skip.add((last[key], i))
-            last[key] = i
+            alike.setdefault(key, []).append(i)
+    skip = {pair for group in alike.values() for pair in zip(group, group[1:])}
     fixed, spans = [0] * len(tokens), sorted(base, key=lambda s: s[1])
     first = 0
     for i, (a, b) in enumerate(tokens):
@@ -169,7 +170,19 @@ def graph_of(text: str, base: list[Span]) -> Graph:
                 break
             if min(b, e) - max(a, s) > best:
                 best, fixed[i] = min(b, e) - max(a, s), LABELS.index(kind)
-    return Graph(tokens, shapes, chain, sorted(skip - set(chain)), fixed)
+    anchors = {pair for group in alike.values() for pair in _anchors(group, fixed)}
+    return Graph(tokens, shapes, chain, sorted(skip - set(chain)), fixed, sorted(anchors - skip - set(chain)))
+
+
+def _anchors(group: list[int], fixed: list[int]) -> Iterator[tuple[int, int]]:
+    """Every node of a group without a label, and the nearest one with a label (the earlier one on ties)."""
+    held = [i for i in group if fixed[i]]
+    if held:
+        for i in group:
+            if not fixed[i]:
+                at = bisect_left(held, i)
+                near = min(held[max(at - 1, 0) : at + 1], key=lambda h: abs(h - i))
+                yield min(i, near), max(i, near)
 
 
 @dataclass
@@ -236,20 +249,24 @@ def _ratio(pairs: np.ndarray) -> np.ndarray:
     return np.clip(np.log(joint / np.outer(alone, alone)), -4, 4)
 
 
-def beliefs(graph: Graph, field: Field, rounds: int = 10, damping: float = 0.3) -> np.ndarray:
-    """Marginals of every node by loopy sum-product messages."""
+#: Messages (logs) are passed until none changes by more, which for most texts takes a few dozen rounds.
+TOLERANCE = 1e-8
+
+
+def beliefs(graph: Graph, field: Field, rounds: int = 500, damping: float = 0.3) -> np.ndarray:
+    """Marginals of every node by loopy sum-product messages; ``rounds`` ends a field that swings without settling."""
     n, m = len(graph.tokens), len(LABELS)
     node = np.stack([field.of_shape(s) for s in graph.shapes])
     for i, label in enumerate(graph.fixed):
         if label:
             node[i] = -30.0
             node[i, label] = 0.0
-    edges = [*graph.chain, *graph.skip]
+    edges = [*graph.chain, *graph.skip, *graph.anchors]
     if not edges:
         return _normal(node)
     source = np.array([e[0] for e in edges] + [e[1] for e in edges])
     target = np.array([e[1] for e in edges] + [e[0] for e in edges])
-    pair = np.stack(([field.chain] * len(graph.chain) + [field.skip] * len(graph.skip)) * 2)
+    pair = np.stack(([field.chain] * len(graph.chain) + [field.skip] * (len(edges) - len(graph.chain))) * 2)
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     message = np.zeros((len(source), m))
     for _ in range(rounds):
@@ -259,7 +276,11 @@ def beliefs(graph: Graph, field: Field, rounds: int = 10, damping: float = 0.3)
         top = out.max(axis=1, keepdims=True)
         new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0, :]
         new -= new.max(axis=1, keepdims=True)
-        message = damping * message + (1 - damping) * new
+        new = damping * message + (1 - damping) * new
+        change = np.abs(new - message).max()
+        message = new
+        if change < TOLERANCE:
+            break
     total = node.copy()
     np.add.at(total, target, message)
     return _normal(total)

@@ -91,3 +91,12 @@ def test_odd_rows_and_empty_table(docs_of, odd_rows):
     assert p.find(docs_of(odd_rows)).count() == len(odd_rows)
     assert p.find(docs_of([])).collect() == []
     assert p.masked("a b@c.de f", [("email", 2, 8)]) == "a <email> f"
+
+
+def test_all_repetitions_take_the_label_of_the_full_form(docs_of):
+    """Fifty bare repetitions before and after the one that a pattern recognises."""
+    bare = "then 555-3436 again, "
+    text = bare * 50 + "call +1 (974) 555-3436 now, " + bare * 50 + "in 1999"
+    found = {r.doc_id: r for r in p.find(docs_of(corpus() + [(999, text)])).collect()}
+    assert [(s.kind, text[s.start : s.stop]) for s in found[999].added] == [("phone", "555-3436")] * 100
+    assert sum(len(found[i].added) for i in range(300)) == 0
