@@ -26,6 +26,8 @@ of the input stay, whatever their names; ``text`` is rewritten, and ``n_chars``
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,7 +134,8 @@ def _passage_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             F.xxhash64(F.slice("hashes", c["start"], c["size"])).alias("hash"),
         ),
     )
-    return rows.select("id", "key", F.inline(hashed))
+    # An outer generator: for an inner one Spark evaluates the arrays once more, to filter out empty ones.
+    return rows.select("id", "key", F.inline_outer(hashed)).filter("hash IS NOT NULL")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,11 +158,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     repeats = repeated_passages(docs, id_col, text_col)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).filter("text IS NOT NULL")
     texts = texts.withColumn("key", F.xxhash64("text"))
-    held = texts.join(repeats, _same_document(texts, repeats)).select(
-        texts["id"], texts["key"], F.split("text", "\n").alias("lines"), F.explode("repeats").alias("c")
-    )
+    digests = _bound(F.split("text", "\n"), lambda lines: F.transform(
+        "repeats", lambda c: F.struct(c["start"], c["size"], F.sha2(_passage_text(lines, c), 256).alias("digest"))))
+    held = texts.join(repeats, _same_document(texts, repeats)).select(texts["id"], texts["key"], F.inline_outer(digests))
     # Two steps read the digests, so the documents are joined once. Texts themselves are not written or sent on.
-    named = cut(held.select("id", "key", "c.*", F.sha2(_passage_text(F.col("lines"), F.col("c")), 256).alias("digest")))
+    named = cut(held)
     firsts = named.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
     known = named.join(firsts, "digest").repartition("id", "key")
     by_text = known.groupBy("id", "key", "digest").agg(
@@ -183,6 +186,11 @@ def _runs(numbers: Column) -> Column:
     return F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("size")))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, also where ``use`` has it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _without(lines: Column, gone: Column) -> Column:
     """The lines between the runs of ``gone``, which are sorted and do not overlap."""
     before = lambda k: F.when(k > 0, F.get(gone, k - 1)["start"] + F.get(gone, k - 1)["size"]).otherwise(1)
@@ -196,8 +204,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     gone = removals(docs, id_col, text_col)
     rows = docs.select(pack(docs).alias("doc"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("key"))
     joined = rows.join(gone, _same_document(rows, gone), "left")
-    lines = F.split(F.col("doc")[text_col], "\n")
-    text = F.when(F.size("gone") > 0, _without(lines, F.col("gone"))).otherwise(F.col("doc")[text_col])
+    left = _bound(F.split(F.col("doc")[text_col], "\n"), lambda lines: _without(lines, F.col("gone")))
+    text = F.when(F.size("gone") > 0, left).otherwise(F.col("doc")[text_col])
     return joined.select(
         "doc", text.alias("new"),
         F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda a, c: a + c["size"]), F.lit(0).cast("long")).alias("n_lines_removed"),
