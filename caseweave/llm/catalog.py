@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import byte_bpe, embedding_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, personal_data, piece_bpe, quality_rules, toxicity
+from caseweave.llm import byte_bpe, conversation_repair, embedding_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, personal_data, piece_bpe, quality_rules, spelling_variants, toxicity
 from caseweave.llm.common import table
 
 
@@ -94,6 +94,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every long and repeated word of the damaged runs of all documents."""
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the encoded and decoded text of every document, merge-type pieces with an end id."""
     import public_tokenizers
@@ -101,6 +106,11 @@ def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation after the damage."""
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -112,7 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_license_scan": op9_license_scan,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_piece_bpe": op12_piece_bpe,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caseweave.llm import license_scan, line_dedup, mixing, quality_rules
+from caseweave.llm import license_scan, line_dedup, mixing, quality_rules, spelling_variants
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
 
@@ -154,5 +154,102 @@ c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d JOIN c ON d.doc_id = c.id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
 
+#: crc32 by its definition: the table of 256 remainders, then one look-up for each byte.
+_CRC_TABLE = """crc AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)),
+  lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc(text: str) -> str:
+    """Needs ``crc`` in scope; bytes of the UTF-8 text, two hex digits each."""
+    byte = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i::INT + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def op11() -> str:
+    """Words equal after deleting the character at the same place differ by a replacement; a word that is another's rest by a deletion."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[{spelling_variants.RUN}]+')) AS run FROM documents),
+low AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(run, '{upper}', '{upper.lower()}') AS run FROM runs WHERE length(run) >= {spelling_variants.MIN_LENGTH}),
+keyed AS (SELECT run, {_crc("id || ':' || run")} AS h FROM low, crc),
+cut AS (SELECT CASE WHEN h % {spelling_variants.DAMAGE} = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM keyed),
+w AS MATERIALIZED (SELECT word, count(*) AS n FROM cut WHERE length(word) >= {spelling_variants.MIN_LENGTH} GROUP BY word HAVING count(*) >= {spelling_variants.MIN_COUNT}),
+one AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS rest FROM w, unnest(range(1, length(word) + 1)) AS s(i)),
+near AS (
+  SELECT a.word AS a, a.n AS na, b.word AS b, b.n AS nb FROM one a JOIN one b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM one a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM one a JOIN w b ON a.rest = b.word),
+g AS (SELECT a, count(*) AS n_near, arg_min(b, (-nb, b)) AS top, max(nb) AS top_n FROM near GROUP BY a),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= {spelling_variants.TIMES} * n THEN top END AS form,
+  CASE WHEN top_n >= {spelling_variants.TIMES} * n THEN top_n END AS form_n FROM w LEFT JOIN g ON word = a),
+path AS (SELECT word, word AS here, 0 AS k FROM f UNION ALL SELECT path.word, f.form, k + 1 FROM path JOIN f ON f.word = path.here WHERE f.form IS NOT NULL),
+r AS (SELECT word, arg_max(here, k) AS root FROM path GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r ON f.word = r.word"""
+
+
+def op13() -> str:
+    """The cheapest edits row by row, for each of four states; then a walk along the audit."""
+    solid = "[^ \\t\\n\\x0B\\f\\r]"
+    add = lambda s, cost, letter: f"CASE WHEN {s} < '~' THEN lpad((substr({s}, 1, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({s}, 10) || '{letter}' ELSE '~' END"
+    cut = "CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END"
+    free = "fault NOT IN ('blank', 'duplicate')"
+
+    def closed(s: list[str]) -> list[str]:
+        """Insertions: an open pair from 0, 1 or 3, a closed one from what is then open."""
+        two = f"least({s[2]}, {add(s[0], 2, 'I')}, {add(s[1], 2, 'I')}, {add(s[3], 2, 'I')})"
+        return [s[0], s[1], two, f"least({s[3]}, {add(two, 2, 'I')})"]
+
+    def to(state: int, initial: str, sources: tuple[int, ...], reroled: bool) -> str:
+        """Row k read from one of ``sources`` into ``state``, or deleted in it."""
+        old = closed(["s0", "s1", "s2", "s3"])
+        ways = [add(f"({old[state]})", 3, "D")]
+        for q in sources:
+            keep = f"CASE WHEN {free} AND i = '{initial}' THEN {add(f'({old[q]})', f'({cut})', 'K')} ELSE '~' END"
+            ways.append(keep)
+            if reroled:
+                ways.append(f"CASE WHEN {free} THEN {add(f'({old[q]})', f'(2 + {cut})', 'R')} ELSE '~' END")
+        return f"least({', '.join(ways)})"
+
+    last = closed(["s0", "s1", "s2", "s3"])
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations, crc),
+all_ids AS (SELECT DISTINCT conv_id, dense_rank() OVER (ORDER BY conv_id) AS c FROM conversations),
+live AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM k, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copies(z)),
+o AS (SELECT c, turn, role, text, substr(role, 1, 1) AS i, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS k
+  FROM live JOIN all_ids ON live.conv_id IS NOT DISTINCT FROM all_ids.conv_id),
+rows_ AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '{solid}') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY k) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][ \\t\\n\\x0B\\f\\r]*\\z') THEN 'truncated' ELSE '' END AS fault,
+    CASE WHEN lag(i) OVER (PARTITION BY c ORDER BY k) || i NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END AS illegal FROM o),
+dp AS (
+  SELECT c, 0::BIGINT AS k, '000000000' AS s0, '~' AS s1, '~' AS s2, '~' AS s3 FROM all_ids
+  UNION ALL
+  SELECT dp.c, dp.k + 1, {to(0, '', (), False)}, {to(1, 's', (0,), False)}, {to(2, 'u', (0, 1, 3), True)}, {to(3, 'a', (2,), True)}
+  FROM dp JOIN rows_ ON rows_.c = dp.c AND rows_.k = dp.k + 1),
+best AS MATERIALIZED (SELECT c, substr(b, 1, 9)::BIGINT AS cost, substr(b, 10) AS audit
+  FROM (SELECT c, least({last[0]}, {last[3]}) AS b FROM dp QUALIFY row_number() OVER (PARTITION BY c ORDER BY k DESC) = 1)),
+walk AS (
+  SELECT c, audit, 1 AS nth, 0::BIGINT AS k, 0 AS state, ''::VARCHAR AS body FROM best
+  UNION ALL
+  SELECT w.c, w.audit, w.nth + 1, w.k + CASE WHEN e <> 'I' THEN 1 ELSE 0 END,
+    CASE WHEN e = 'D' THEN w.state WHEN e = 'K' AND i = 's' THEN 1 WHEN w.state = 2 THEN 3 ELSE 2 END,
+    CASE WHEN e = 'D' THEN w.body ELSE w.body || CASE WHEN w.state = 0 THEN '' ELSE chr(10) END
+      || CASE WHEN e = 'K' THEN role WHEN w.state = 2 THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END END
+  FROM (SELECT *, substr(audit, nth, 1) AS e FROM walk WHERE nth <= length(audit)) w
+  LEFT JOIN rows_ r ON e <> 'I' AND r.c = w.c AND r.k = w.k + 1),
+done AS (SELECT c, body FROM walk WHERE nth > length(audit)),
+sums AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, sum(illegal)::BIGINT AS illegal FROM rows_ GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, cost, audit, sha256(body) AS repaired_sha256
+FROM all_ids LEFT JOIN sums USING (c) JOIN best USING (c) JOIN done USING (c)"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_quality_rules": op2(), "op3_line_dedup": op3(), "op4_mixing": op4(), "op7_embedding_dedup": op7(), "op9_license_scan": op9(), "op10_jaccard_join": op10()}
+    return {"op2_quality_rules": op2(), "op3_line_dedup": op3(), "op4_mixing": op4(), "op7_embedding_dedup": op7(), "op9_license_scan": op9(),
+            "op10_jaccard_join": op10(), "op11_spelling_variants": op11(), "op13_conversation_repair": op13()}
