@@ -9,8 +9,8 @@ remembered. Where none is left, the place is marked in a bitfield of failed plac
 last token is given up for its next shorter alternative. A place is reached by at most one
 valid sequence, so one bit for each place is enough and the work is linear in practice.
 
-Texts are cut where no token of the vocabulary can reach across, and a task remembers the
-ids of the parts it has seen, up to a bound. The model file (a fixed size) is read by the
+Texts are cut where no token of the vocabulary can reach across, and a Python worker
+remembers the ids of the parts it has seen, up to a bound. The model file (a fixed size) is read by the
 driver and sent to the tasks.
 
 Models that normalize texts, keep user-defined symbols or have no byte pieces are refused
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 
 from caseweave.llm.common import id_and_text, texts_of
 
-#: A task forgets its parts, and its checked pairs, when they have grown beyond this many.
-CACHE_PARTS = 400_000
+#: A Python worker forgets its parts, and its checked pairs, when they have grown beyond this many.
+CACHE_PARTS = 1_000_000
 #: Parts longer than this many characters are not remembered.
 CACHE_CHARS = 64
 
@@ -90,18 +90,11 @@ class Codec:
         self.model = model
         self.automaton = ahocorasick.Automaton()
         self.borders: dict[tuple[str, str], bool] = {}
-        inner = set()
         for piece in model.pieces:
-            if len(piece) > 1:
-                inner.update(piece)
-                if self.merge(piece) != [piece]:
-                    continue  # no sequence of merges ends in this piece
-            self.automaton.add_word(piece, len(piece))
+            if len(piece) == 1 or self.merge(piece) == [piece]:  # else no sequence of merges ends in this piece
+                self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
-        # Parts: spaces with what follows them. A character of no longer piece stands alone.
-        spaced = any(SPACE in piece.lstrip(SPACE) for piece in model.pieces)
-        letters = "".join(map(re.escape, sorted(inner - {SPACE})))
-        self.parts = re.compile(f"{SPACE}+[{letters}]*|[{letters}]+|." if letters and not spaced else ".+", re.DOTALL).findall
+        self.parts = re.compile(_part_pattern(model.pieces), re.DOTALL).findall
         self.known: dict[str, bytes] = {}
         self.words = list(map(str, range(len(model.names))))
         to_byte = {i: bytes([b]) for b, i in enumerate(model.byte_ids)}
@@ -138,11 +131,13 @@ class Codec:
         """The tokens of a text without borders, by backtracking."""
         n = len(part)
         starts: list[list[str]] = [[] for _ in range(n)]
-        for last, length in self.automaton.iter(part):
-            starts[last - length + 1].append(part[last - length + 1 : last + 1])
+        for last, token in self.automaton.iter(part):
+            starts[last - len(token) + 1].append(token)
         for at, found in enumerate(starts):
             if not found or len(found[0]) > 1:
                 found.insert(0, part[at])  # a character that is no piece is a token of its own
+        if len(starts[0][-1]) == n:
+            return [part]
         failed = bytearray(n + 1)
         taken: list[str] = []
         choice: list[int] = []
@@ -212,6 +207,27 @@ class Codec:
         return text[1:] if self.model.prefix and front is not None and self.model.names[front].startswith(SPACE) else text
 
 
+def _part_pattern(pieces: Iterable[str]) -> str:
+    """Parts that no piece reaches across: spaces, then signs, then letters.
+
+    Signs are characters that follow a letter in no piece, letters all others of the longer
+    pieces. A character of no longer piece stands alone.
+    """
+    after: dict[str, set[str]] = {}
+    for piece in pieces:
+        for a, b in zip(piece, piece[1:]):
+            after.setdefault(b, set()).add(a)
+            after.setdefault(a, set())
+    if not after or after.get(SPACE, set()) - {SPACE}:
+        return ".+"
+    letters = {c for c in after if c.isalpha()}
+    while more := {c for c in after if c not in letters and c != SPACE and after[c] & letters}:
+        letters |= more
+    signs = f"[{''.join(map(re.escape, sorted(set(after) - letters - {SPACE})))}]" if set(after) - letters - {SPACE} else "(?!)"
+    word = f"[{''.join(map(re.escape, sorted(letters)))}]" if letters else "(?!)"
+    return f"{SPACE}+{signs}*{word}*|{signs}+{word}*|{word}+|."
+
+
 def _text(raw: bytes) -> str:
     try:
         return raw.decode()
@@ -227,13 +243,23 @@ def _text(raw: bytes) -> str:
         return "".join(out)
 
 
+_LAST: list = []
+
+
+def _codec(model: Model) -> Codec:
+    """The codec of a model; a worker keeps the last one, and what it has learnt, from task to task."""
+    if not _LAST or _LAST[0] is not model:
+        _LAST[:] = [model, Codec(model)]
+    return _LAST[1]
+
+
 def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, the columns named in ``keep``, and token_ids (array of int, the end id last) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model))
     names = [f"keep_{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = _codec(shared.value)
         for batch in batches:
             rows = [codec.encode(text) for text in texts_of(batch)]
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
@@ -254,7 +280,7 @@ def decode(tokens: DataFrame, model: str, *, id_col: str = "doc_id", ids_col: st
     shared = tokens.sparkSession.sparkContext.broadcast(read_model(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = _codec(shared.value)
         for batch in batches:
             texts = [codec.decode(np.array(v.as_py() or [], "<i4")) for v in batch.column("token_ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "decoded"])
@@ -268,7 +294,7 @@ def digests(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = _codec(shared.value)
         for batch in batches:
             counts, of_ids, of_text = [], [], []
             for text in texts_of(batch):
