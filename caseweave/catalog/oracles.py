@@ -6,7 +6,8 @@ the Spark plans, so that agreement means something.
 
 from __future__ import annotations
 
-from caseweave.catalog.queries import EVENTS_SUPPORT, ORDER_CUTS, ORDERS_SUPPORT
+from caseweave.catalog.queries import EVENTS_SUPPORT, ORDER_CONDITIONS, ORDER_CUTS, ORDER_YEARS, ORDERS_SUPPORT, REPLAY_YEARS
+from caseweave.operators.learning import Settings
 
 EVENTS = r"""log AS (SELECT CAST(user_id AS VARCHAR) AS case_id, event_type AS activity, ts, event_id AS seq,
     CAST(value AS DOUBLE) AS value, regexp_extract(props, '"k": ?([0-9]+)', 1) AS k FROM events)"""
@@ -136,19 +137,90 @@ def _replay_sql(cumulative: bool) -> str:
         "PARTITION BY template, first, second ORDER BY valid_from ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     )
     n, hits = (f"CAST(sum(n) OVER ({window}) AS BIGINT)", f"CAST(sum(hits) OVER ({window}) AS BIGINT)") if cumulative else ("n", "hits")
-    return f"""WITH {ORDER_V}, {RUNNING},
-    rules AS (SELECT t.template, a AS first, b AS second, make_timestamp(y, 1, 1, 0, 0, 0.0) AS valid_from, y AS rule_seq
-        FROM pairs, (SELECT DISTINCT template FROM v) t, (SELECT CAST(unnest(range(1998, 2003)) AS BIGINT) AS y)),
-    applied AS (SELECT r.template, r.first, r.second, r.valid_from, r.rule_seq, count(x.case_id) AS n,
+    months = ", ".join(f"('{label}', {1 + 4 * k})" for k, (label, _) in enumerate(ORDER_CONDITIONS))
+    return f"""WITH {ORDER_V}, {NEGATED}, {CONDITIONS}, timed AS (SELECT vn.*, r.ts AS rts FROM vn JOIN placed r
+        ON r.case_id = vn.case_id AND r.pos = vn.resolved_pos),
+    dated AS (SELECT label, condition, make_timestamp(y, m, 1, 0, 0, 0.0) AS valid_from, y * 12 + m AS rule_seq
+        FROM conds JOIN (VALUES {months}) AS t(l, m) ON l = label, (SELECT CAST(unnest(range({REPLAY_YEARS[0]}, {REPLAY_YEARS[-1] + 1})) AS BIGINT) AS y)),
+    rules AS (SELECT t.template, a AS first, b AS second, dated.*, lag(valid_from) OVER (PARTITION BY t.template, a, b ORDER BY valid_from) AS since
+        FROM pairs, (SELECT DISTINCT template FROM vn) t, dated),
+    applied AS (SELECT r.template, r.first, r.second, r.condition, r.valid_from, r.rule_seq, count(x.case_id) AS n,
         count(x.case_id) FILTER (x.verdict = 'fulfilled') AS hits
         FROM rules r LEFT JOIN timed x ON x.template = r.template AND x.first = r.first AND x.second = r.second
-        AND x.price > 250000 AND x.rts <= r.valid_from
-        AND (r.rule_seq = 1998 OR x.rts > make_timestamp(r.rule_seq - 1, 1, 1, 0, 0, 0.0)) GROUP BY ALL),
-    c AS (SELECT template, first, second, valid_from, rule_seq, {n} AS n_activations_data, {hits} AS n_fulfilled_data FROM applied)
-    SELECT template, first, second, 'o_totalprice > 250000' AS condition, valid_from, rule_seq, n_activations_data,
+        AND ({HOLDS}) AND x.rts <= r.valid_from AND (since IS NULL OR x.rts > since) GROUP BY ALL),
+    c AS (SELECT template, first, second, condition, valid_from, rule_seq, {n} AS n_activations_data, {hits} AS n_fulfilled_data FROM applied)
+    SELECT template, first, second, condition, valid_from, rule_seq, n_activations_data,
         n_fulfilled_data, round_even(coalesce(n_fulfilled_data / nullif(n_activations_data, 0), 0.0), 3) AS ratio_data FROM c"""
 
 
+def _tree_ctes(keys: str, rows: str) -> str:
+    """Trees over ``rows`` (keys, y, w: 1 to learn from, price, status, nth), one level after the other; every value is tried."""
+    rule = Settings()
+    using = ", ".join(f"n.{k.strip()}" for k in keys.split(","))
+    same = " AND ".join(f"n.{k.strip()} = s.{k.strip()}" for k in keys.split(","))
+    parts = [f"n0 AS MATERIALIZED (SELECT {keys}, y, w, price, status, nth, '' AS node, '' AS rule FROM {rows})"]
+    for d in range(rule.max_depth):
+        right1, right0, present = "(all1 - left1)", "(all0 - left0)", "(all1 + all0)"
+        left = "(left1 + left0)"
+        gain = (f"round({present} / total * ({_entropy('all1', 'all0')} - {left} / {present} * {_entropy('left1', 'left0')}"
+                f" - ({right1} + {right0}) / {present} * {_entropy(right1, right0)}), 9)")
+        parts.append(f"""t{d} AS (SELECT {keys}, node, sum(w * y) AS t1, sum(w) AS total FROM n{d} WHERE length(node) = {d}
+            GROUP BY ALL HAVING sum(w) >= {rule.grace}),
+        f{d} AS (SELECT {keys}, node, attr, num, val, CAST(sum(y) AS DOUBLE) AS n1, CAST(sum(1 - y) AS DOUBLE) AS n0 FROM (
+            SELECT {keys}, node, y, 'nth_order' AS attr, CAST(nth AS DOUBLE) AS num, CAST(NULL AS VARCHAR) AS val FROM n{d} WHERE w = 1 AND length(node) = {d}
+            UNION ALL SELECT {keys}, node, y, 'o_totalprice', price, NULL FROM n{d} WHERE w = 1 AND length(node) = {d}
+            UNION ALL SELECT {keys}, node, y, 'o_orderstatus', NULL, status FROM n{d} WHERE w = 1 AND length(node) = {d}) GROUP BY ALL),
+        g{d} AS (SELECT {keys}, node, attr, num, val,
+            CASE WHEN val IS NULL THEN sum(n1) OVER (o ORDER BY num) ELSE n1 END AS left1,
+            CASE WHEN val IS NULL THEN sum(n0) OVER (o ORDER BY num) ELSE n0 END AS left0,
+            sum(n1) OVER o AS all1, sum(n0) OVER o AS all0 FROM f{d} WINDOW o AS (PARTITION BY {keys}, node, attr)),
+        q{d} AS (SELECT *, {gain} AS gain FROM g{d} JOIN t{d} USING ({keys}, node) WHERE least({left}, {present} - {left}) > {rule.min_branch} * {present}),
+        b{d} AS (SELECT *, sqrt(ln(1 / {rule.delta}) / (2 * total)) AS bound FROM q{d}
+            QUALIFY row_number() OVER (PARTITION BY {keys}, node, attr ORDER BY gain DESC, num, val) = 1),
+        r{d} AS (SELECT *, lead(gain) OVER (PARTITION BY {keys}, node ORDER BY gain DESC, attr) AS runner_up,
+            row_number() OVER (PARTITION BY {keys}, node ORDER BY gain DESC, attr) AS rank FROM b{d}),
+        s{d} AS (SELECT * FROM r{d} WHERE rank = 1 AND gain > bound
+            AND (gain - CASE WHEN runner_up > bound THEN runner_up ELSE 0 END > bound OR bound < {rule.tau})),
+        m{d} AS (SELECT n.*, s.attr, s.num, s.val, CASE s.attr WHEN 'nth_order' THEN nth <= s.num WHEN 'o_totalprice' THEN price <= s.num
+            ELSE status = s.val END AS side FROM n{d} n LEFT JOIN s{d} s ON {same} AND n.node = s.node),
+        n{d + 1} AS MATERIALIZED (SELECT {using}, y, w, price, status, nth,
+            CASE WHEN attr IS NULL THEN node ELSE node || CASE WHEN side THEN '0' ELSE '1' END END AS node,
+            CASE WHEN attr IS NULL THEN rule ELSE rule || CASE WHEN rule = '' THEN '' ELSE ' and ' END || attr || CASE
+                WHEN val IS NULL THEN CASE WHEN side THEN ' <= ' ELSE ' > ' END || CAST(num AS VARCHAR)
+                ELSE CASE WHEN side THEN ' == ' ELSE ' != ' END || chr(39) || val || chr(39) END END AS rule FROM m{d} n)""")
+    return ", ".join(parts)
+
+
+_CONSTRAINT = "template, first, second"
+PLACED_V = f"{ORDERS}, {ORDER_PAIRS}, {verdict_cte(extra='price, status')}, vy AS (SELECT *, CAST(verdict = 'fulfilled' AS INT) AS y, pos AS nth FROM v)"
+
+
+def _leaves_sql() -> str:
+    """``leaves`` of the trees of all constraints."""
+    return f"""WITH {PLACED_V}, lr AS (SELECT *, 1 AS w FROM vy), {_tree_ctes(_CONSTRAINT, 'lr')},
+    leaves AS (SELECT {_CONSTRAINT}, node, rule, CAST(sum(y) AS BIGINT) AS n1, CAST(sum(1 - y) AS BIGINT) AS n0 FROM n{Settings().max_depth} GROUP BY ALL)"""
+
+
+def _learned_sql() -> str:
+    return f"""{_leaves_sql()}, either AS (SELECT *, round(n1 / (n1 + n0), 2) AS probability FROM (SELECT * FROM leaves
+        UNION ALL SELECT 'Not ' || template, first, second, node, rule, n0, n1 FROM leaves)),
+    sums AS (SELECT {_CONSTRAINT}, sum(n1) AS s1, sum(n0) AS s0, count(*) AS n FROM either GROUP BY ALL),
+    best AS (SELECT * FROM either WHERE n1 > n0 QUALIFY row_number() OVER (PARTITION BY {_CONSTRAINT} ORDER BY probability DESC, node) = 1)
+    SELECT template || '[' || first || ', ' || second || ']' AS "constraint", rule AS condition, probability,
+        CAST(s1 + s0 AS BIGINT) AS n_activations, round_even(s1 / (s1 + s0), 3) AS ratio
+    FROM best JOIN sums USING ({_CONSTRAINT}) WHERE n > 1 AND least(s1, s0) > 0 AND greatest(s1, s0) / least(s1, s0) <= {Settings().balance}"""
+
+
+def _prequential_sql() -> str:
+    """Version v learns from the years before v (w = 1) and is held against year v (w = 0)."""
+    keys = f"version, {_CONSTRAINT}"
+    return f"""WITH {PLACED_V}, lr AS (SELECT vy.*, version, CASE WHEN year(ts) < version THEN 1 ELSE 0 END AS w FROM vy
+        JOIN (SELECT unnest(range({ORDER_YEARS[0]}, {ORDER_YEARS[-1] + 1})) AS version) ON year(ts) <= version), {_tree_ctes(keys, 'lr')},
+    labels AS (SELECT {keys}, node, sum(w * y) > sum(w * (1 - y)) AS p FROM n{Settings().max_depth} GROUP BY ALL),
+    q AS (SELECT {_CONSTRAINT}, y = 1 AS y, p FROM n{Settings().max_depth} JOIN labels USING ({keys}, node) WHERE w = 0)
+    {_f1("count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn", "q")}"""
+
+
 def _f1(tp_fp_fn: str, source: str) -> str:
     return f"""SELECT template, first, second, tp, fp, fn,
         round_even(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 3) AS f1
@@ -246,20 +318,23 @@ def all_sql() -> dict[str, str]:
             {DATA_AWARE.format(holds=HOLDS, group='')}""",
         "rule_replay": _replay_sql(True),
         "rule_replay_separate": _replay_sql(False),
-        "prequential_f1": f"""WITH {ORDER_V}, {RUNNING}, q AS (SELECT template, first, second, verdict = 'fulfilled' AS y,
+        "majority_f1": f"""WITH {ORDER_V}, {RUNNING}, q AS (SELECT template, first, second, verdict = 'fulfilled' AS y,
             2 * (n_fulfilled - CASE WHEN verdict = 'fulfilled' THEN 1 ELSE 0 END) > n_activations - 1 AS p FROM run)
             {_f1("count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn", "q")}""",
-        "condition_f1": f"""WITH {ORDER_V}, q AS (SELECT template, first, second, verdict = 'fulfilled' AS y, price > 250000 AS p FROM v)
-            {_f1("count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn", "q")}""",
-        "leaf_class_totals": f"""WITH {ORDER_V} SELECT template, first, second,
-            count(*) FILTER (verdict = 'fulfilled') AS n1, count(*) FILTER (verdict = 'violated') AS n0 FROM v GROUP BY ALL""",
+        "prequential_f1": _prequential_sql(),
+        "condition_f1": f"""WITH {ORDER_V}, {NEGATED}, {CONDITIONS}, q AS (SELECT template, first, second, label, verdict = 'fulfilled' AS y,
+            ({HOLDS}) AS p FROM vn, conds), c AS (SELECT template, first, second, label, count(*) FILTER (y AND p) AS tp,
+            count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn FROM q GROUP BY ALL)
+            SELECT *, round_even(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 3) AS f1 FROM c""",
+        "leaf_class_totals": f"{_leaves_sql()} SELECT * FROM leaves",
+        "learned_conditions": _learned_sql(),
         "split_statistics": _split_sql(),
         "result_records": f"""WITH {RECORDS} SELECT "constraint" AS "Constraint", condition AS "Data Condition",
             n_activations AS "# Activations No Data", ratio AS "Fulfilment Ratio No Data",
             n_activations_data AS "# Activations Data", printf('%.3f', ratio_data) AS "Fulfilment Ratio Data"
-            FROM rec WHERE label = 'high_price'""",
+            FROM rec""",
         "jsonl_round_trip": f"""WITH {RECORDS} SELECT "constraint", condition, n_activations, ratio, n_activations_data,
-            CAST(printf('%.3f', ratio_data) AS DOUBLE) AS ratio_data FROM rec WHERE label = 'high_price'""",
+            CAST(printf('%.3f', ratio_data) AS DOUBLE) AS ratio_data FROM rec""",
         "count_windows": f"""WITH {RECORDS}, q AS (SELECT *, (row_number() OVER (ORDER BY run, template, first, second) - 1) // 10
             AS window_id FROM rec) SELECT window_id, count(*) AS n, CAST(sum(n_activations) AS BIGINT) AS n_activations,
             min(run) AS first_run FROM q GROUP BY 1 HAVING count(*) = 10""",

@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from caseweave.functions.conditions import (
     CONJUNCTS,
-    condition_holds,
     condition_text,
     typed_condition_holds,
     typed_conjuncts,
 )
 from caseweave.functions.scalars import clock_text, constraint_text, epoch_millis, json_record, text_of, typed_attributes
-from caseweave.operators import candidates, eventlog, learning, metrics, model, report, sampling, statistics, templates
+from caseweave.operators import candidates, eventlog, learning, metrics, model, report, sampling, statistics, templates, trees
 from caseweave.plans.ordered import keyed_scan
 from caseweave.session import freeze, scratch_path
 from caseweave.sources import results
@@ -32,6 +31,9 @@ ORDER_CONDITIONS = (
     ("open_low", [("o_orderstatus", "==", "O"), ("o_totalprice", "<=", "150000")]),
     ("absent_last", [("o_totalprice", ">", "400000"), ("channel", "==", "web")]),
 )
+#: Years with orders, and those in which rules come into force.
+ORDER_YEARS = tuple(range(1995, 2003))
+REPLAY_YEARS = tuple(range(1998, 2003))
 ORDER_CUTS = (100000.0, 200000.0, 300000.0, 400000.0)
 
 
@@ -269,19 +271,21 @@ def data_aware_ratios(spark, sf):
 
 
 def _replay_inputs(spark, sf):
+    """Activations of all templates and negations, and for each constraint a sequence of rules
+    with changing conditions: one of them comes into force every four months."""
     pairs = _order_pairs(spark, sf)
     log = orders_log(spark, sf).withColumn("attrs", typed_attributes(F.col("attrs")))
-    decided = templates.verdicts(log, pairs, keep=["attrs"], times=True, complete=True)
-    years = F.array(*[F.lit(f"{y}-01-01") for y in range(1998, 2003)])
+    decided = templates.negate_verdicts(templates.verdicts(log, pairs, keep=["attrs"], times=True, complete=True))
+    years = F.array(*[F.lit(y) for y in REPLAY_YEARS])
+    month = F.create_map(*[F.lit(x) for k, (label, _) in enumerate(ORDER_CONDITIONS) for x in (label, 1 + 4 * k)])
     rules = (
         _order_rules(spark, sf, pairs)
-        .filter((F.col("label") == "high_price") & ~F.col("template").startswith("Not "))
-        .select("template", "first", "second", "conjuncts", F.explode(years).alias("y"))
-        .withColumn("valid_from", F.to_timestamp("y"))
-        .withColumn("rule_seq", F.year("valid_from").cast("long"))
-        .drop("y")
+        .select("template", "first", "second", "conjuncts", month[F.col("label")].alias("m"), F.explode(years).alias("y"))
+        .withColumn("valid_from", F.make_timestamp("y", "m", F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
+        .withColumn("rule_seq", (F.col("y") * 12 + F.col("m")).cast("long"))
+        .drop("y", "m")
     )
-    return decided, rules, len(pairs) * 7 * 5
+    return decided, rules, len(pairs) * 14 * len(ORDER_CONDITIONS) * len(REPLAY_YEARS)
 
 
 def rule_replay(spark, sf):
@@ -296,18 +300,28 @@ def rule_replay_separate(spark, sf):
     return out.withColumn("valid_from", F.col("valid_from").cast("timestamp_ntz"))
 
 
-def prequential_f1(spark, sf):
+def majority_f1(spark, sf):
+    """Test-then-train F1 of the plainest model, the majority so far: what rules have to beat."""
     running = metrics.running_ratios(orders_log(spark, sf), _order_pairs(spark, sf), complete=True)
-    return metrics.prequential_f1(running)
+    return metrics.majority_f1(running)
+
+
+def prequential_f1(spark, sf):
+    """Test-then-train F1 of the learnt trees: each year predicted by the trees of the years before."""
+    return trees.prequential_scores(_placed_orders(spark, sf), _order_pairs(spark, sf), F.year("ts"), ORDER_YEARS, complete=True)
 
 
 def condition_f1(spark, sf):
-    """Fulfilment predicted by the condition alone."""
-    tests = _conjuncts(ORDER_CONDITIONS[0][1])
-    log = orders_log(spark, sf).withColumn("predicted", condition_holds(F.col("attrs"), tests))
-    scored = templates.verdicts(log, _order_pairs(spark, sf), keep=["predicted"], complete=True)
+    """Fulfilment predicted by a condition alone, for every condition, template and negation."""
+    holds = F.array(*[
+        F.struct(F.lit(label).alias("label"), typed_condition_holds(F.col("attrs"), typed_conjuncts(_conjuncts(tests))).alias("predicted"))
+        for label, tests in ORDER_CONDITIONS
+    ])
+    log = orders_log(spark, sf).withColumn("attrs", typed_attributes(F.col("attrs"))).withColumn("held", holds)
+    rows = templates.negate_verdicts(templates.verdicts(log, _order_pairs(spark, sf), keep=["held"], complete=True))
+    scored = rows.select("template", "first", "second", "verdict", F.inline("held"))
     return metrics.f1_scores(
-        scored, ["template", "first", "second"], F.col("verdict") == templates.FULFILLED, F.col("predicted")
+        scored, ["template", "first", "second", "label"], F.col("verdict") == templates.FULFILLED, F.col("predicted")
     )
 
 
@@ -318,10 +332,18 @@ def _order_tests():
     ]
 
 
+def _placed_orders(spark, sf):
+    """Orders with their place among the orders of the customer, which decides much of what follows."""
+    placed = keyed_scan(orders_log(spark, sf), ["case_id"], eventlog.ORDER, position="_nth").withColumn(
+        "attrs", F.map_concat("attrs", F.create_map(F.lit("nth_order"), F.col("_nth").cast("string")))
+    )
+    return freeze(placed.drop("_nth"), "placed")  # read for the cut points and for the scan
+
+
 def leaf_class_totals(spark, sf):
-    """Class totals of the root: all cells of a constraint."""
-    counted = learning.cells(orders_log(spark, sf), _order_pairs(spark, sf), _order_tests(), complete=True)
-    return counted.groupBy("template", "first", "second").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    """Fulfilled and violated activations of every leaf of every constraint's tree."""
+    leaves = trees.learn(_placed_orders(spark, sf), _order_pairs(spark, sf), complete=True)
+    return leaves.select("template", "first", "second", "node", condition_text(F.col("steps")).alias("rule"), "n1", "n0")
 
 
 def split_statistics(spark, sf):
@@ -337,15 +359,8 @@ def split_statistics(spark, sf):
 
 def learned_conditions(spark, sf):
     """Conditions on price, status and place of an order, learnt end to end."""
-    pairs = _order_pairs(spark, sf)
-    log = orders_log(spark, sf)
-    # The place of an order among its customer's orders decides much of what follows it.
-    placed = keyed_scan(log, ["case_id"], eventlog.ORDER, position="_nth").withColumn(
-        "attrs", F.map_concat("attrs", F.create_map(F.lit("nth_order"), F.col("_nth").cast("string")))
-    )
-    # Read several times from here on: for the tests to try and for the counts.
-    log = freeze(placed.drop("_nth"), "placed")
-    return learning.learn_conditions(log, pairs, complete=True).select(
+    leaves = freeze(trees.learn(_placed_orders(spark, sf), _order_pairs(spark, sf), complete=True), "leaves")
+    return learning.best_rules(leaves).select(
         constraint_text().alias("constraint"), "condition", "probability", "n_activations", "ratio"
     )
 
@@ -374,7 +389,7 @@ def _differences(spark, sf) -> DataFrame:
 
 
 def result_records(spark, sf):
-    return metrics.result_records(_records(spark, sf).filter(F.col("label") == "high_price"))
+    return metrics.result_records(_records(spark, sf))
 
 
 def jsonl_round_trip(spark, sf):
@@ -489,7 +504,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         wire_events, wire_round_trip, lossy_sampled_events, lossy_sampled_frequency, frequent_activities,
         joint_support, candidate_pairs, candidate_events, template_expansion, negated_constraints,
         constraint_ratios, sampled_constraint_ratios, running_ratios, open_traces_pending, condition_filter,
-        data_aware_ratios, rule_replay, rule_replay_separate, prequential_f1, condition_f1, leaf_class_totals,
+        data_aware_ratios, rule_replay, rule_replay_separate, majority_f1, prequential_f1, condition_f1, leaf_class_totals,
         split_statistics, learned_conditions, result_records, jsonl_round_trip, clock_times, json_records, count_windows, distinct_model, model_edges,
         model_nodes, latest_stats, upsert_activity, dedupe_results, best_run_per_constraint, diff_summary,
         diff_describe, diff_histogram, ranked_diffs, positive_diffs, diff_extremes,

@@ -225,13 +225,30 @@ def replay_rules(
     )
 
 
+def _places_before(times: Column, at: Column) -> Column:
+    """How many of the ascending ``times`` lie before ``at``, by halving."""
+    def halve(range_: Column, _: Column) -> Column:
+        middle = F.floor((range_["low"] + range_["high"]) / 2).cast("int")
+        earlier = F.get(times, middle) < at
+        open_ = range_["low"] < range_["high"]
+        return F.struct(
+            F.when(open_ & earlier, middle + 1).otherwise(range_["low"]).alias("low"),
+            F.when(open_ & ~earlier, middle).otherwise(range_["high"]).alias("high"),
+        )
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(times) + 1.0)).cast("int"))
+    whole = F.struct(F.lit(0).alias("low"), F.size(times).alias("high"))
+    return F.aggregate(steps, whole, halve, lambda range_: range_["low"])
+
+
 def _gaps_by_lookup(activations, rules, keys):
-    """``gap`` = number of earlier rules of the constraint, from a broadcast list of their
-    times. Needs rule tables that are known to be small; activations are not shuffled."""
+    """``gap`` = number of earlier rules of the constraint, looked up by halving in a broadcast
+    list of their times. Needs rule tables that are known to be small; activations are not
+    shuffled."""
     window = Window.partitionBy(*keys).orderBy("valid_from", "rule_seq")
     coming = rules.withColumn("gap", (F.row_number().over(window) - 1).cast("long"))
     times = rules.groupBy(*keys).agg(F.array_sort(F.collect_list("valid_from")).alias("_times"))
-    earlier = F.size(F.filter("_times", lambda t: t < F.col("resolved_ts"))).cast("long")
+    earlier = _places_before(F.col("_times"), F.col("resolved_ts")).cast("long")
     waiting = activations.join(F.broadcast(times), keys).select(*keys, earlier.alias("gap"), "verdict", "attrs")
     return waiting, coming
 
@@ -284,7 +301,7 @@ def f1_scores(scored: DataFrame, keys: Sequence[str], label: Column, predicted:
     )
 
 
-def prequential_f1(running: DataFrame) -> DataFrame:
+def majority_f1(running: DataFrame) -> DataFrame:
     """Test-then-train F1 of the rule-less model: predict the majority of the activations
     decided before (violated while there is none or a tie), then count the new one in."""
     label = F.col("verdict") == FULFILLED

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from caseweave.operators.candidates import PASS_WIDTH
 from caseweave.operators.eventlog import ORDER
 from caseweave.plans.ordered import keyed_scan
+from caseweave.session import freeze
 
 FULFILLED, VIOLATED, PENDING = "fulfilled", "violated", "pending"
 
@@ -140,13 +141,15 @@ def pair_context(
     keep: Sequence[str] = (),
     times: bool = False,
     complete: bool = False,
+    frozen: bool = False,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """One row per event and candidate partner, with everything the templates look at.
 
     ``keep`` names log columns to carry along (``attrs`` for learning). ``times`` puts
     ``ts, seq`` into the marks, for operators that order verdicts by when they became known.
-    ``complete`` says that every trace of the log is closed, tagged or not.
+    ``complete`` says that every trace of the log is closed, tagged or not. ``frozen`` writes
+    the scanned events, before they meet their partners, for operators that read them often.
     """
     names = sorted({name for pair in pairs for name in pair})
     columns = list(dict.fromkeys(["case_id", "activity", *ORDER, *keep]))
@@ -212,6 +215,8 @@ def pair_context(
                 position="_nth",
                 hot_rows=hot_rows,
             ).drop("_nth")
+        if frozen:
+            context = freeze(context, "context")
         partners = _partners(log, pairs, {y: i for i, y in enumerate(chunk)})
         if len(pairs) <= BROADCAST_PAIRS:
             partners = F.broadcast(partners)
@@ -270,12 +275,13 @@ def verdicts(
     times: bool = False,
     numbered: bool = False,
     complete: bool = False,
+    frozen: bool = False,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """One row per activation: constraint, case, position, verdict (and ``resolved_ts``,
     ``resolved_seq`` with ``times``: when the verdict was known). ``numbered`` replaces the
     three constraint columns by ``constraint_id`` of ``constraint_table``."""
-    context = pair_context(log, pairs, keep=keep, times=times, complete=complete, hot_rows=hot_rows)
+    context = pair_context(log, pairs, keep=keep, times=times, complete=complete, frozen=frozen, hot_rows=hot_rows)
     rows = []
     for name in templates:
         template = TEMPLATES[name]
