@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -52,16 +53,23 @@ _BARE = re.escape("".join(c for c in LOOK_ALIKES if not c.isalnum() and c != "*"
 #: Signs that may be plain punctuation at the end of a stretch.
 _ENDINGS = "!|*+("
 
-_MIXED = re.compile(rf"(?<![\w{_SIGNS}])(?=[\w{_SIGNS}]*[{_SIGNS}])(?=[\w{_SIGNS}]*{_LETTER})[\w{_SIGNS}]{{3,}}")
+#: A run of letters, digits and signs. What lies within a run is looked at once for each different run.
+_RUN = re.compile(rf"[\w{_SIGNS}]+")
+_SIGN, _ANY_LETTER = re.compile(f"[{_SIGNS}]"), re.compile(_LETTER)
 _ONE, _GAP = rf"(?:[^\W_]|[{_BARE}])", rf"(?:[^\w{_BARE}]|_)"
 #: Single characters and signs between separators that are no signs, then letters and digits between any separators.
 _APART = re.compile(rf"(?<![\w{_SIGNS}])(?:{_ONE}{_GAP}{{1,4}}){{2,}}{_ONE}(?![\w{_SIGNS}])"), re.compile(_GAP + "+")
 _SPELT = re.compile(r"(?<!\w)(?:[^\W_][\W_]{1,4}){2,}[^\W_](?!\w)"), re.compile(r"[\W_]+")
-_LONG = re.compile(rf"\w*({_LETTER})\1\1\w*")
+#: A character of a run that could stand apart: a letter or digit between others, a sign between separators.
+_ALONE = re.compile(rf"(?<![^\W_])[^\W_](?![^\W_])|(?<![^\W_{_BARE}])(?<![{_BARE}])[{_BARE}](?![^\W_{_BARE}])(?![{_BARE}])")
+_PLAIN_WORDS, _TRIPLE = re.compile(r"\w+"), re.compile(rf"({_LETTER})\1\1")
 _WORD = re.compile(rf"{_LETTER}+")
 
 BEGINNINGS = (4, 5, 6, 7)
 
+#: A task forgets the runs it has seen when there are more than this many; longer ones are not kept.
+CACHE_RUNS, CACHE_CHARS = 1_000_000, 64
+
 
 def letter_class(char: str) -> int:
     if "a" <= char <= "z":
@@ -113,6 +121,10 @@ class CharModel:
 
     logs: np.ndarray
 
+    @cached_property
+    def flat(self) -> list[float]:
+        return self.logs.ravel().tolist()
+
     @classmethod
     def from_counts(cls, codes: np.ndarray, counts: np.ndarray) -> CharModel:
         table = np.zeros(CLASSES**3)
@@ -139,26 +151,76 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
 
 
 def restore(stretch: str, model: CharModel) -> str:
-    """The most likely plain word behind a stretch: Viterbi over (letter before last, last letter)."""
-    best: dict[tuple[str, str], tuple[float, str]] = {("", ""): (0.0, "")}
-    logs, cls = model.logs, lambda s: letter_class(s) if s else 0
+    """The most likely plain word behind a stretch: Viterbi over (letter before last, last letter).
+
+    Paths are chains of (letters before, letter), so that a stretch of any length takes linear time.
+    """
+    best: dict[tuple[str, str], tuple[float, tuple | None]] = {("", ""): (0.0, None)}
+    flat = model.flat
     for options in lattice(stretch):
-        following: dict[tuple[str, str], tuple[float, str]] = {}
-        for (a, b), (score, word) in best.items():
+        following: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in best.items():
+            row = (_class(a) * CLASSES + _class(b)) * CLASSES
             for letter, cost in options:
                 if letter:
-                    key, value = (b, letter), score - cost + logs[cls(a), cls(b), cls(letter)]
+                    key, value, way = (b, letter), score - cost + flat[row + _class(letter)], (path, letter)
                 else:
-                    key, value = (a, b), score - cost
+                    key, value, way = (a, b), score - cost, path
                 if key not in following or value > following[key][0]:
-                    following[key] = (value, word + letter)
+                    following[key] = (value, way)
         best = following
-    return max((score + logs[cls(a), cls(b), 0], word) for (a, b), (score, word) in best.items())[1]
+    ended = [(score + flat[(_class(a) * CLASSES + _class(b)) * CLASSES], path) for (a, b), (score, path) in best.items()]
+    top = max(score for score, _ in ended)
+    return max(_spelt_out(path) for score, path in ended if score == top)
+
+
+@lru_cache(maxsize=10_000)
+def _class(letter: str) -> int:
+    return letter_class(letter) if letter else 0
+
+
+def _spelt_out(path: tuple | None) -> str:
+    letters = []
+    while path is not None:
+        path, letter = path
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 def stretches(low: str) -> set[str]:
     """Stretches of a lower-case text that may hide a word."""
-    found = {m.group() for m in _MIXED.finditer(low)} | {m.group() for m in _LONG.finditer(low)}
+    runs = _RUN.findall(low)
+    found = set().union(*map(_stretches_in, set(runs)))
+    alone = {run for run in set(runs) if len(run) == 1 or _ALONE.search(run)}
+    gaps = set(filter(_is_gap, runs))
+    return found | _set_apart(low) if alone and _may_stand_apart(runs, alone, gaps) else found
+
+
+def _stretches_in(run: str) -> set[str]:
+    """Of a run: itself if it mixes signs and letters, and its words with a character three times or more in a row."""
+    found = {run} if len(run) > 2 and _SIGN.search(run) and _ANY_LETTER.search(run) else set()
+    if _TRIPLE.search(run):
+        found |= {word for word in _PLAIN_WORDS.findall(run) if _TRIPLE.search(word)}
+    return found
+
+
+def _is_gap(run: str) -> bool:
+    """Signs alone: they may stand between two characters set apart."""
+    return len(run) > 1 and not any(map(str.isalnum, run))
+
+
+def _may_stand_apart(runs: list[str], alone: set[str], gaps: set[str]) -> bool:
+    """Whether three characters of a text can stand apart at all: inside of one of its runs, or as three runs one after the other."""
+    if any(len(run) > 1 for run in alone):
+        return True
+    if sum(map(runs.count, alone)) < 3:
+        return False
+    between = [run for run in runs if run not in gaps] if gaps else runs
+    return b"\1\1\1" in bytes(map((1).__eq__, map(len, between)))
+
+
+def _set_apart(low: str) -> set[str]:
+    found: set[str] = set()
     for apart, gaps in (_APART, _SPELT):
         for m in apart.finditer(low):
             found |= _joined(m.group(), gaps)
@@ -172,19 +234,73 @@ def _joined(run: str, gaps: re.Pattern) -> set[str]:
     return {"".join(words)} | {w for w in words if len(w) > 2}
 
 
-def words_of(text: str, model: CharModel, cache: dict[str, str]) -> set[str]:
-    """Plain and restored words of a text."""
-    low = text.lower()
-    words = set(_WORD.findall(low))
-    for stretch in stretches(low):
-        word = cache.get(stretch)
+class Reader:
+    """Reads texts as words, plain and restored; what a run means is worked out once, up to a bound.
+
+    ``odd`` has the runs that are more than one plain word, with their words; ``alone`` those in
+    which a character stands by itself; ``gaps`` those of signs alone.
+    """
+
+    def __init__(self, model: CharModel):
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen: set[str] = set()
+        self.odd: dict[str, frozenset[str]] = {}
+        self.alone: set[str] = set()
+        self.gaps: set[str] = set()
+        self.restored: dict[str, str] = {}
+
+    def restore(self, stretch: str) -> str:
+        word = self.restored.get(stretch)
         if word is None:
-            if len(cache) > 200_000:
-                cache.clear()
-            word = cache[stretch] = restore(stretch, model)
-        if word:
-            words.add(word)
-    return words
+            word = restore(stretch, self.model)
+            if len(stretch) <= CACHE_CHARS:
+                self.restored[stretch] = word
+        return word
+
+    def learn(self, run: str) -> None:
+        if len(run) > 1 and run.isalpha() and not _TRIPLE.search(run):
+            return
+        words = set(_WORD.findall(run))
+        words |= {word for stretch in _stretches_in(run) if (word := self.restore(stretch))}
+        if words != {run}:
+            self.odd[run] = frozenset(words)
+        if len(run) == 1 or _ALONE.search(run):
+            self.alone.add(run)
+        if _is_gap(run):
+            self.gaps.add(run)
+
+    def runs(self, low: str) -> tuple[set[str], set[str]]:
+        """The runs of a lower-case text that are plain words, and the words of all the others."""
+        listed = _RUN.findall(low)
+        runs = set(listed)
+        if len(self.seen) > CACHE_RUNS:
+            self.forget()
+        fresh = runs - self.seen
+        for run in fresh:
+            self.learn(run)
+        words: set[str] = set()
+        odd = runs & self.odd.keys()
+        for run in odd:
+            words |= self.odd[run]
+        alone = runs & self.alone
+        if alone and _may_stand_apart(listed, alone, runs & self.gaps):
+            words |= {word for stretch in _set_apart(low) if (word := self.restore(stretch))}
+        for run in fresh:
+            if len(run) > CACHE_CHARS:  # long ones are not kept
+                self.odd.pop(run, None)
+                self.alone.discard(run)
+                self.gaps.discard(run)
+            else:
+                self.seen.add(run)
+        return runs - odd, words
+
+    def words(self, text: str) -> set[str]:
+        """Plain and restored words of a text."""
+        plain, words = self.runs(text.lower())
+        return plain | words
 
 
 def features_of(words: set[str]) -> set[str]:
@@ -211,16 +327,55 @@ class Scorer:
     base: float = -3.0
 
     def __post_init__(self):
-        self.lengths = sorted({len(f.lstrip("2")) for f in self.weights if f[0] != "="})
+        self.whole = {f[1:]: w for f, w in self.weights.items() if f[0] == "="}
+        self.once = {f: w for f, w in self.weights.items() if f[0] not in "=2"}
+        self.twice = {f[1:]: w for f, w in self.weights.items() if f[0] == "2"}
+        self.starts = {*self.once, *self.twice}
+        self.lengths = sorted(set(map(len, self.starts)))
+
+    def matters(self, word: str) -> bool:
+        """Whether a word can have part in any feature."""
+        if word in self.whole:
+            return True
+        for n in self.lengths:
+            if len(word) >= n and word[:n] in self.starts:
+                return True
+        return False
 
     def score(self, words: set[str]) -> float:
-        hits = {"=" + w for w in words} & self.weights.keys()
+        hits = [self.whole[w] for w in words if w in self.whole]
         for n in self.lengths:
-            hits |= beginnings(words, n) & self.weights.keys()
-        odds = self.base + math.fsum(self.weights[h] for h in hits)
+            starts = Counter(w[:n] for w in words if len(w) >= n)
+            hits += [self.once[b] for b in starts if b in self.once]
+            hits += [self.twice[b] for b, times in starts.items() if times > 1 and b in self.twice]
+        odds = self.base + math.fsum(hits)
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, odds))))
 
 
+class TextScorer:
+    """Scores texts; a plain word that no feature looks at is recognised by being known."""
+
+    def __init__(self, model: CharModel, scorer: Scorer):
+        self.reader, self.scorer = Reader(model), scorer
+        self.known: set[str] = set()
+        self.wanted: set[str] = set()
+
+    def score(self, text: str) -> float:
+        plain, words = self.reader.runs(text.lower())
+        fresh = plain - self.known
+        if fresh:
+            if len(self.known) > CACHE_RUNS:
+                self.known.clear()
+                self.wanted.clear()
+                fresh = plain
+            self.wanted.update(filter(self.scorer.matters, fresh))
+            self.known |= fresh
+        return self.scorer.score(words | (plain & self.wanted))
+
+
+#: A label's rows are dealt into so many shares before its first rows are taken.
+SHARES = 64
+
 #: A toxic row counts as explained when so many of its features have been chosen.
 ENOUGH = 4
 
@@ -276,17 +431,20 @@ def fit(
     )
     known = known.filter(~is_held_out(F.col("doc_id")))
     totals = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= fit_rows).select("doc_id", "toxic")
+    # First among the rows of a share of each label, then among the first of all shares.
+    hashed = known.withColumn("h", F.xxhash64("doc_id"))
+    for keys in (["toxic", F.pmod("h", F.lit(SHARES))], ["toxic"]):
+        hashed = hashed.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).filter(F.col("place") <= fit_rows)
+    chosen = hashed.select("doc_id", "toxic")
     # At most 2 x fit_rows rows of two numbers: a proven bound.
     sample = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     shared = spark.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, clean, cache = Counter(), Counter(), {}
+        toxic, clean, reader = Counter(), Counter(), Reader(shared.value)
         for batch in batches:
             for label, text in zip(batch.column("toxic").to_pylist(), texts_of(batch)):
-                (toxic if label else clean).update(features_of(words_of(text, shared.value, cache)))
+                (toxic if label else clean).update(features_of(reader.words(text)))
         names = list(toxic)
         yield pa.RecordBatch.from_arrays(
             [pa.array(names + list(clean), pa.string()), pa.array([toxic[f] for f in names] + [0] * len(clean), pa.int64()),
@@ -314,10 +472,10 @@ def fit(
     wanted = spark.sparkContext.broadcast(place)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, str] = {}
+        reader = Reader(shared.value)
         for batch in batches:
             held = [
-                sorted(wanted.value[f] for f in features_of(words_of(t, shared.value, cache)) if f in wanted.value)
+                sorted(wanted.value[f] for f in features_of(reader.words(t)) if f in wanted.value)
                 for t in texts_of(batch)
             ]
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32()))], ["features"])
@@ -344,10 +502,9 @@ def scores(
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, scorer = shared.value
-        cache: dict[str, str] = {}
+        scorer = TextScorer(*shared.value)
         for batch in texts:
-            yield pd.Series([scorer.score(words_of(t or "", model, cache)) for t in batch], dtype="float64")
+            yield pd.Series([scorer.score(t or "") for t in batch], dtype="float64")
 
     scored = docs.select(
         pack(docs).alias("doc"), is_held_out(docs[id_col]).alias("held_out"),

@@ -95,3 +95,36 @@ def test_replaced_endings_and_other_separators(docs_of, rows, labels):
     assert {"whor3", "a$$", "hat3"} <= t.stretches("whor3 a$$ hat3")
     for text in ("!" * 50_000, "* " * 50_000, "a!" * 50_000 + "bb", "a " * 50_000 + "bb"):  # no long searches
         t.stretches(text)
+
+
+def test_long_unbroken_runs_take_linear_time(docs_of, rows, labels):
+    """Base64 and the like: one run of letters and digits, or of one letter, as long as a text can be."""
+    import time
+
+    draw, model = random.Random(3), t.CharModel(__import__("numpy").zeros((64, 64, 64)))
+    for alphabet in ("abcdeXYZ", "a", "ab1", "a0+"):
+        spent = []
+        for n in (20_000, 80_000):
+            text = "".join(draw.choice(alphabet) for _ in range(n))
+            start = time.process_time()
+            t.TextScorer(model, t.Scorer({"=idiot": 1.0})).score(text)
+            spent.append(time.process_time() - start)
+        assert spent[1] < 10 * spent[0] + 0.3
+    got = t.scores(docs_of(rows + [(9_000, "ab1" * 30_000 + " idiot 1d10t"), (9_001, "a" * 100_000)]), labels)
+    assert {r.doc_id: r.predicted for r in got.filter("doc.doc_id >= 9000").select("doc.doc_id", "predicted").collect()} == {9000: 1, 9001: 0}
+
+
+def test_runs_learnt_once_read_like_runs_read_anew():
+    """A reader that has seen everything, one that forgets, and one for each text agree; so do score and scorer."""
+    import numpy as np
+
+    draw = random.Random(8)
+    model = t.CharModel(np.log(np.random.default_rng(2).dirichlet(np.ones(64), size=(64, 64))))
+    texts = ["".join(draw.choice("aab1!$*_ .-oé|(3\n") for _ in range(draw.randint(0, 30))) for _ in range(1500)]
+    scorer = t.Scorer({"=ab": 1.0, "aabo": 0.5, "2aabo": 2.0, "oaab": -1.0})
+    reader, texts_scorer = t.Reader(model), t.TextScorer(model, scorer)
+    for text in texts:
+        words = t.Reader(model).words(text)
+        low = text.lower()
+        assert words == set(t._WORD.findall(low)) | {w for x in t.stretches(low) if (w := t.restore(x, model))}
+        assert reader.words(text) == words and texts_scorer.score(text) == scorer.score(words)
