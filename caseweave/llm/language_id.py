@@ -6,9 +6,10 @@ phrases (normalised by the length of the text and the amount of labelled text),
 the language. The language with the lowest cross-entropy wins, ties go to the name that
 sorts first.
 
-Learning takes a bounded sample of labelled rows (``fit_chars`` characters per language in
-hash order of the ids; a documented bound, the same at every size of the input). Scoring
-takes whole texts: they are cut into lanes of ``LANE`` symbols which a task parses in step
+Learning takes a bounded sample of labelled rows: per language the first rows in hash order
+of the ids, ``fit_rows`` (200) at most, until their texts hold ``fit_chars`` (60,000)
+characters; and the ``max_labels`` (64) most frequent languages. These bounds are the same at
+every size of the input. Scoring takes whole texts: they are cut into lanes of ``LANE`` symbols which a task parses in step
 with one another, so that the work is a few array operations per symbol.
 
 A text that is null or holds no letter is ``und`` with score 0. Rows without a label or an
@@ -25,21 +26,32 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.llm.common import is_held_out, texts_of
 
 LANE = 2048
+#: A label's rows are dealt into so many shares before its first rows are taken.
+SHARES = 64
 BLOCK_CHARS = 4_000_000
 UNDETERMINED = "und"
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Letters with the marks that belong to them; for texts below U+0250 the same as a short list.
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_NOT_LATIN_LETTERS, _WIDE = re.compile("[^a-zªµºß-öø-ɏ]+"), re.compile("[^\x00-\u024f]")
 
 
 def letters(text: str) -> bytes:
-    """Lower-case letters as UTF-8, everything between them one blank."""
-    plain = _NOT_LETTERS.sub(" ", text.lower()).strip()
+    """Lower-case letters and their marks as UTF-8, everything between them one blank; nothing without a letter."""
+    low = text.lower()
+    if not _WIDE.search(low):
+        plain = _NOT_LATIN_LETTERS.sub(" ", low).strip()
+    else:
+        plain = _NOT_LETTERS.sub(" ", low).strip()
+        if not any(map(str.isalpha, plain)):
+            return b""
     return f" {plain} ".encode("utf-8", "surrogatepass") if plain else b""
 
 
@@ -159,42 +171,47 @@ def verdicts(model: Model, texts: Sequence[bytes]) -> list[tuple[str, float]]:
 
 
 def labelled_sample(
-    docs: DataFrame, *, fit_chars: int, fit_rows: int, id_col: str, text_col: str, label_col: str, may_learn: Column | None,
+    docs: DataFrame, *, fit_chars: int, fit_rows: int, max_labels: int, id_col: str, text_col: str, label_col: str, may_learn: Column | None,
 ) -> dict[str, bytes]:
-    """Per label, up to ``fit_rows`` rows in hash order of the id, cut off after ``fit_chars`` characters.
+    """Letters of whole texts per label: rows in hash order of the id until they hold ``fit_chars`` characters.
 
-    Only ids and labels are sorted; the texts of the chosen ids are fetched afterwards. What
-    reaches the driver is bounded by labels x ``fit_rows`` ids and labels x ``fit_chars`` characters.
+    Only ids, labels and lengths are sorted, in shares first; the texts of the chosen ids are
+    fetched afterwards. Of more than ``max_labels`` labels the most frequent ones are learnt
+    (ties by name). What reaches the driver is bounded by ``max_labels`` x ``fit_rows`` texts, of
+    which all but the last of a label fit into ``fit_chars`` together, and that one is cut there.
     """
     rows = docs.select(
         docs[id_col].cast("long").alias("id"), docs[label_col].cast("string").alias("label"),
-        F.xxhash64(docs[id_col].cast("long")).alias("h"),
+        F.xxhash64(docs[id_col].cast("long")).alias("h"), F.length(docs[text_col]).alias("size"),
         (F.lit(True) if may_learn is None else may_learn).alias("ok"),
-    ).filter("ok AND label IS NOT NULL AND id IS NOT NULL")
-    first = Window.partitionBy("label").orderBy("h", "id")
-    chosen = rows.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= fit_rows)
-    ids = {r.id: (r.label, r.place) for r in chosen.select("id", "label", "place").collect()}
-    if not ids:
+    ).filter("ok AND label IS NOT NULL AND id IS NOT NULL AND size > 0").drop("ok")
+    known = [r.label for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()]
+    if not known:
         return {}
-    share = max(1, fit_chars // fit_rows) * 4
-    texts = docs.filter(docs[id_col].isin(list(ids))).select(
-        docs[id_col].cast("long").alias("id"), F.substring(docs[text_col], 1, share).alias("text")
-    )
+    rows = rows.filter(F.col("label").isin(known))
+    for keys in (["label", F.pmod("h", F.lit(SHARES))], ["label"]):
+        rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "id"))).filter(F.col("place") <= fit_rows)
+    before = Window.partitionBy("label").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).filter(F.col("before") < fit_chars)
+    chosen = rows.select(F.col("id").alias("chosen_id"), "label", "place", (F.lit(fit_chars) - F.col("before")).cast("int").alias("room"))
+    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    # At most max_labels x fit_rows rows of four numbers and a name: a proven bound.
+    met = texts.join(F.broadcast(chosen), F.col("id") == F.col("chosen_id"))
     got: dict[str, list] = {}
-    for r in texts.collect():
-        label, place = ids[r.id]
-        got.setdefault(label, []).append((place, letters(r.text or "")))
-    return {label: b"".join(t for _, t in sorted(parts))[:fit_chars] for label, parts in got.items()}
+    for r in met.select("label", "place", "id", F.substring("text", F.lit(1), F.col("room")).alias("text")).toLocalIterator():
+        got.setdefault(r.label, []).append((r.place, r.text))
+    found = {label: b"".join(letters(t) for _, t in sorted(parts)) for label, parts in got.items()}
+    return {label: text for label, text in found.items() if text}
 
 
 def predict(
-    docs: DataFrame, *, fit_chars: int = 60_000, fit_rows: int = 200, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, *, fit_chars: int = 60_000, fit_rows: int = 200, max_labels: int = 64, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "lang",
 ) -> DataFrame:
     """doc_id, held_out, lang_pred, score. Held-out rows (see ``common.is_held_out``) teach nothing."""
     held_out = is_held_out(docs[id_col])
     model = build(labelled_sample(
-        docs, fit_chars=fit_chars, fit_rows=fit_rows, id_col=id_col, text_col=text_col, label_col=label_col,
+        docs, fit_chars=fit_chars, fit_rows=fit_rows, max_labels=max_labels, id_col=id_col, text_col=text_col, label_col=label_col,
         may_learn=~held_out,
     ))
     shared = docs.sparkSession.sparkContext.broadcast(model)

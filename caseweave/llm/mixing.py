@@ -33,6 +33,8 @@ from caseweave.llm.common import cut, pack
 
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 10
+#: After so many rounds the cells are written down.
+CUT_ROUNDS = 4
 #: Cells up to this number are broadcast (about 100 bytes each); more are joined by shuffle.
 BROADCAST_CELLS = 200_000
 
@@ -102,7 +104,9 @@ def rake(
         cells = _with_target(cells, dim, targets)
     total = F.sum("tokens").over(Window.partitionBy())
     cells = cells.withColumn("weight", F.when(total > 0, F.col("tokens") / total).otherwise(0.0))
-    for _ in range(rounds):
+    for done in range(rounds):
+        if done and done % CUT_ROUNDS == 0:  # a plan of all rounds is deeper than a thread's stack
+            cells = cut(cells)
         for dim in DIMENSIONS:
             here = F.sum("weight").over(Window.partitionBy(dim))
             cells = cells.withColumn("_here", here).withColumn(

@@ -162,10 +162,11 @@ def graph_of(text: str, base: list[Span]) -> Graph:
     fixed, spans = [0] * len(tokens), sorted(base, key=lambda s: s[1])
     first = 0
     for i, (a, b) in enumerate(tokens):
-        while first < len(spans) and spans[first][2] <= a and all(s[2] <= a for s in spans[: first + 1]):
+        while first < len(spans) and spans[first][2] <= a:
             first += 1
         best = 0
-        for kind, s, e in spans[first:]:
+        for k in range(first, len(spans)):
+            kind, s, e = spans[k]
             if s >= b:
                 break
             if min(b, e) - max(a, s) > best:

@@ -51,3 +51,24 @@ def test_held_out_rows_teach_nothing(docs_of):
 
 def test_empty_table(docs_of):
     assert li.predict(docs_of([])).collect() == []
+
+
+def test_numerals_are_no_letters_and_marks_belong_to_words(docs_of):
+    assert li.letters("½ ² 12 Ⅻ́ ̈") == li.letters("½ ² 12") == b""
+    assert li.letters("नमस्ते दुनिया, 1½ Ünïcode") == " नमस्ते दुनिया ünïcode ".encode()
+    assert li.letters("Éa1b_c×d") == " éa b c d ".encode()
+    rows = [(i, text("xx", 10, i), "xx", "s") for i in range(40)] + [(900, "½ ²", None, "s"), (901, "²½ 3", "xx", "s")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in li.predict(docs_of(rows)).collect()}
+    assert got[900] == got[901] == ("und", 0.0)
+
+
+def test_bounds_of_the_sample(docs_of):
+    """Whole texts in hash order up to the bound, the most frequent labels, hot labels in shares."""
+    rows = [(i, text("xx", 50, i), "xx", "s") for i in range(120)] + [(500 + i, text("yy", 5, i), "yy", "s") for i in range(30)]
+    rows += [(700, text("zz", 3000, 1), "zz", "s")] + [(800 + i, "rare words", f"l{i}", "s") for i in range(5)]
+    docs = docs_of(rows)
+    how = dict(fit_rows=20, id_col="doc_id", text_col="text", label_col="lang", may_learn=None)
+    got = li.labelled_sample(docs, fit_chars=1500, max_labels=3, **how)
+    assert set(got) == {"xx", "yy", "l0"}
+    assert 1300 < len(got["xx"].decode()) <= 1600 and len(got["yy"].split()) == 20 * 5
+    assert len(li.labelled_sample(docs, fit_chars=1500, max_labels=8, **how)["zz"].decode()) <= 1502

@@ -44,3 +44,10 @@ def test_odd_rows_and_empty_table(docs_of, odd_rows):
     assert len(got) == len(rows) and {r.source for r in got} == {"?", "s"}
     assert len({r.drawn for r in got if r.doc.doc_id == 4}) == 1
     assert mixing.draw(docs_of([])).collect() == []
+
+
+def test_texts_without_words_are_not_drawn(docs_of):
+    """Their cell has no tokens and p = 0, whatever the budget; beside words in one cell they are drawn like any other."""
+    rows = [(1, None, "en", "s"), (2, "", "en", "s"), (3, " \n", "en", "s"), (4, "some words", "en", "s")]
+    got = {r.doc.doc_id: (r.topic, r.p, r.drawn) for r in mixing.draw(docs_of(rows), budget_share=1.0).collect()}
+    assert got == {1: ("empty", 0.0, False), 2: ("empty", 0.0, False), 3: ("note", 1.0, True), 4: ("note", 1.0, True)}

@@ -100,3 +100,17 @@ def test_all_repetitions_take_the_label_of_the_full_form(docs_of):
     found = {r.doc_id: r for r in p.find(docs_of(corpus() + [(999, text)])).collect()}
     assert [(s.kind, text[s.start : s.stop]) for s in found[999].added] == [("phone", "555-3436")] * 100
     assert sum(len(found[i].added) for i in range(300)) == 0
+
+
+def test_many_base_spans_take_linear_time():
+    """A log dump of addresses: the work for a text grows with its spans, not with their square."""
+    import time
+
+    spent = []
+    for n in (2_000, 16_000):
+        text = " ".join(f"10.{i % 256}.{i // 256}.7 user{i}@mail.example" for i in range(n))
+        base = p.base_spans(text)
+        start = time.process_time()
+        p.graph_of(text, base)
+        spent.append(time.process_time() - start)
+    assert len(base) == 32_000 and spent[1] < 20 * spent[0] + 0.5
