@@ -32,10 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.llm.common import cut, pack
+from caseweave.session import freeze
 
 #: One place in DIVISOR ends a chunk, on average.
 DIVISOR = 3
-LONG_WORDS = 50
+LONG_WORDS = 30
 MIN_WORDS = 20
 #: Modulus and base of the rolling hash.
 _PRIME, _BASE = (1 << 31) - 1, 31
@@ -140,7 +141,8 @@ def _passage_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, repeats): per document its chunks and windows whose hash occurs more than once in the corpus."""
-    places = _passage_rows(docs, id_col, text_col)
+    # Read twice, so the lines are cut and hashed once.
+    places = freeze(_passage_rows(docs, id_col, text_col), "passages")
     often = places.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
     return (
         places.join(often, "hash")
@@ -213,9 +215,22 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def rewritten(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """The input with its repeated passages removed: same rows, same columns."""
+def rewritten(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", copies_from: float | None = None,
+) -> DataFrame:
+    """The input with its repeated passages removed: same rows, same columns.
+
+    With ``copies_from`` a text that would lose at least this share of its words stays whole: it is
+    a copy of other documents rather than one with repeated passages, and left to a search for
+    near duplicates, which can only recognise it whole.
+    """
     done = dedup(docs, id_col=id_col, text_col=text_col)
+    if copies_from is not None:
+        old = F.col("doc")[text_col]
+        copy = (F.col("n_chunks_removed") > 0) & (count_words(F.col("new")) <= (1 - copies_from) * count_words(old))
+        done = done.withColumn("copy", copy)
+        done = done.withColumn("new", F.when(F.col("copy"), old).otherwise(F.col("new"))).withColumn(
+            "n_chunks_removed", F.when(F.col("copy"), F.lit(0)).otherwise(F.col("n_chunks_removed")))
     columns = []
     for name, kind in docs.dtypes:
         value = F.col("doc")[name]

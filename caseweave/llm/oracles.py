@@ -35,27 +35,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 
 def op3() -> str:
+    """Windows and chunks of every document, the first place of each text, and the lines beyond it."""
     d, long_, few = line_dedup.DIVISOR, line_dedup.LONG_WORDS, line_dedup.MIN_WORDS
     prime, base = line_dedup._PRIME, line_dedup._BASE
     words = r"len(list_filter(string_split_regex({}, '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))"
     return f"""
-WITH d AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents),
-l AS (SELECT r, doc_id, unnest(generate_series(1, len(s))) AS i, unnest(s) AS line
-  FROM (SELECT *, string_split(text, chr(10)) AS s FROM d WHERE text IS NOT NULL)),
-h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, {words.format('line')} > {long_} AS long FROM l),
-e AS (SELECT *, ((coalesce(lag(h) OVER w, 0) % {prime}) * {base} + h % {prime}) % {prime} % {d} = 0 OR long
-    OR coalesce(lead(long) OVER w, false) AS last FROM h WINDOW w AS (PARTITION BY r ORDER BY i)),
+WITH d AS (SELECT doc_id, text, row_number() OVER () AS r, string_split(text, chr(10)) AS s FROM documents),
+l AS (SELECT r, doc_id, unnest(generate_series(1, len(s))) AS i, unnest(s) AS line FROM d WHERE text IS NOT NULL),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, {words.format('line')} AS w FROM l),
+e AS MATERIALIZED (SELECT *, w > {long_} AS long, sum(w) OVER (PARTITION BY r ORDER BY i) AS cum,
+    ((coalesce(lag(h) OVER o, 0) % {prime}) * {base} + h % {prime}) % {prime} % {d} = 0 OR w > {long_}
+    OR coalesce(lead(w) OVER o > {long_}, false) AS last FROM h WINDOW o AS (PARTITION BY r ORDER BY i)),
 c AS (SELECT *, coalesce(sum(last::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM e),
-b AS (SELECT r, doc_id, c, min(i) AS start, count(*) AS n, bool_or(long) AS long, string_agg(line, chr(10) ORDER BY i) AS body
-  FROM c GROUP BY r, doc_id, c),
-k AS (SELECT * FROM b WHERE long OR (n > 1 AND {words.format('body')} >= {few})),
-g AS (SELECT r, c, n FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) AS k FROM k) WHERE k > 1),
-t AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS text FROM c ANTI JOIN g USING (r, c) GROUP BY r),
-n AS (SELECT r, sum(n) AS lines, count(*) AS chunks FROM g GROUP BY r)
-SELECT doc_id, coalesce(lines, 0)::BIGINT AS n_lines_removed, coalesce(chunks, 0) AS n_chunks_removed,
+runs AS MATERIALIZED (
+  SELECT r, doc_id, min(i) AS start, max(i) AS stop FROM c GROUP BY r, doc_id, c HAVING count(*) > 1 AND sum(w) >= {few}
+  UNION SELECT a.r, a.doc_id, a.i, min(b.i) FROM e a JOIN e b ON a.r = b.r AND b.i >= a.i AND b.cum - a.cum + a.w > {long_} GROUP BY a.r, a.doc_id, a.i
+  UNION SELECT b.r, b.doc_id, max(a.i), b.i FROM e a JOIN e b ON a.r = b.r AND b.i >= a.i AND b.cum - a.cum + a.w > {long_} GROUP BY b.r, b.doc_id, b.i),
+t AS MATERIALIZED (SELECT r, runs.doc_id, start, stop, array_to_string(s[start:stop], chr(10)) AS body FROM runs JOIN d USING (r)),
+f AS (SELECT body, min(doc_id) AS first_id FROM t GROUP BY body HAVING count(*) > 1),
+p AS (SELECT t.*, t.doc_id = first_id AS is_first, min(start) OVER (PARTITION BY r, body) AS first FROM t JOIN f USING (body)),
+gone AS (SELECT DISTINCT r, unnest(generate_series(CASE WHEN is_first THEN greatest(start, first + stop - start + 1) ELSE start END, stop)) AS i
+  FROM p WHERE NOT is_first OR start > first),
+left_ AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS text FROM l ANTI JOIN gone USING (r, i) GROUP BY r),
+n AS (SELECT r, count(*) AS lines, count(*) FILTER (before IS NULL OR before < i - 1) AS runs
+  FROM (SELECT *, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM gone) GROUP BY r)
+SELECT doc_id, coalesce(lines, 0) AS n_lines_removed, coalesce(runs, 0) AS n_chunks_removed,
   length(x) AS n_chars, sha256(x) AS text_sha256
-FROM (SELECT d.doc_id, lines, chunks, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS x
-  FROM d LEFT JOIN t USING (r) LEFT JOIN n USING (r))"""
+FROM (SELECT d.doc_id, lines, runs, CASE WHEN d.text IS NOT NULL THEN coalesce(left_.text, '') END AS x
+  FROM d LEFT JOIN left_ USING (r) LEFT JOIN n USING (r))"""
 
 
 def op4(budget_share: float = 0.5) -> str:

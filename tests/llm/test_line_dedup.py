@@ -60,14 +60,14 @@ def test_native_plan(docs_of):
 
 
 def plainly_removed(rows):
-    """Lines (doc, place) of passages of more than 50 words that occur before, by trying all runs; ids ascend."""
+    """Lines (doc, place) of passages of more than LONG_WORDS words that occur before, by trying all runs; ids ascend."""
     lines = {i: t.split("\n") for i, t in rows}
     first, gone = {}, set()
     for i in sorted(lines):
         for a in range(len(lines[i])):
             for b in range(a, len(lines[i])):
                 run = tuple(lines[i][a : b + 1])
-                if sum(len(x.split()) for x in run) > 50:
+                if sum(len(x.split()) for x in run) > line_dedup.LONG_WORDS:
                     j, at = first.setdefault(run, (i, a))
                     if (j, at) != (i, a):
                         gone |= {(i, p) for p in range(a, b + 1) if j != i or p >= at + len(run)}
@@ -91,7 +91,7 @@ def test_passages_of_short_lines_go_wherever_they_stand(docs_of):
 
 def test_repeated_runs_equal_brute_force(docs_of, monkeypatch):
     """Lines of a small stock, so that runs repeat, overlap and follow themselves; blank lines too."""
-    monkeypatch.setattr(line_dedup, "MIN_WORDS", 51)  # chunks add nothing: a longer one is a run
+    monkeypatch.setattr(line_dedup, "MIN_WORDS", line_dedup.LONG_WORDS + 1)  # chunks add nothing: a longer one is a run
     monkeypatch.setattr(line_dedup, "_BLOCK", 3)
     random.seed(12)
     stock = ["", *[" ".join([f"w{j}"] * n) for j, n in enumerate((3, 9, 15, 25, 30, 45, 55))]]
@@ -99,3 +99,21 @@ def test_repeated_runs_equal_brute_force(docs_of, monkeypatch):
     gone = plainly_removed(rows)
     want = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in rows}
     assert len(gone) > 50 and texts(line_dedup.rewritten(docs_of(rows))) == want
+
+
+def test_passages_of_45_words_go(docs_of):
+    """Three lines of fifteen words, each passage in two documents."""
+    passages = [[words(15, 40_000 + 10 * k + j) for j in range(3)] for k in range(30)]
+    rows = [(2 * k + c, "\n".join([words(8, 50_000 + 2 * k + c), *p, words(9, 60_000 + 2 * k + c)])) for k, p in enumerate(passages) for c in range(2)]
+    got = texts(line_dedup.rewritten(docs_of(rows)))
+    for k, p in enumerate(passages):
+        assert got[2 * k] == rows[2 * k][1]
+        assert got[2 * k + 1] == "\n".join(x for x in rows[2 * k + 1][1].split("\n") if x not in p)
+
+
+def test_near_copies_may_stay_whole(docs_of):
+    body = [words(20, 70_000 + j) for j in range(10)]
+    rows = [(1, "\n".join(body)), (2, "\n".join([*body[:9], words(20, 71_000)])), (3, "\n".join([*body[:4], *[words(20, 72_000 + j) for j in range(6)]]))]
+    got = texts(line_dedup.rewritten(docs_of(rows), copies_from=0.8))
+    assert got[1] == rows[0][1] and got[2] == rows[1][1] and got[3] == "\n".join(rows[2][1].split("\n")[4:])
+    assert texts(line_dedup.rewritten(docs_of(rows)))[2] == words(20, 71_000)
