@@ -6,7 +6,7 @@ the Spark plans, so that agreement means something.
 
 from __future__ import annotations
 
-from caseweave.catalog.queries import EVENTS_SUPPORT, ORDER_CONDITIONS, ORDER_CUTS, ORDER_YEARS, ORDERS_SUPPORT, REPLAY_YEARS
+from caseweave.catalog.queries import DRIFT_DELTA, EVENTS_SUPPORT, ORDER_CONDITIONS, ORDER_CUTS, ORDER_YEARS, ORDERS_SUPPORT, REPLAY_YEARS
 from caseweave.operators.learning import Settings
 
 EVENTS = r"""log AS (SELECT CAST(user_id AS VARCHAR) AS case_id, event_type AS activity, ts, event_id AS seq,
@@ -227,6 +227,55 @@ def _f1(tp_fp_fn: str, source: str) -> str:
         FROM (SELECT template, first, second, {tp_fp_fn} FROM {source} GROUP BY ALL)"""
 
 
+def _as_of_sql() -> str:
+    """Event by event: after each one, the traces so far and the joint support of every pair so far."""
+    return f"""WITH {ORDERS}, e AS (SELECT *, row_number() OVER (ORDER BY ts, seq, case_id) AS n FROM log),
+    f AS (SELECT case_id, activity, min(n) AS n FROM e GROUP BY ALL),
+    joined AS (SELECT x.activity AS first, y.activity AS second, greatest(x.n, y.n) AS n FROM f x JOIN f y
+        ON x.case_id = y.case_id AND x.activity <> y.activity),
+    per AS (SELECT first, second, n, count(*) AS more FROM joined GROUP BY ALL),
+    births AS (SELECT case_id, min(n) AS n FROM e GROUP BY case_id),
+    traces AS (SELECT e.n, count(births.n) OVER (ORDER BY e.n) AS traces FROM e LEFT JOIN births ON births.n = e.n),
+    replay AS (SELECT p.first, p.second, t.n, t.traces, CAST(coalesce(sum(per.more) OVER w, 0) AS BIGINT) AS joint,
+        CAST(ceil(round({ORDERS_SUPPORT} * t.traces, 9)) AS BIGINT) AS threshold
+        FROM traces t CROSS JOIN (SELECT DISTINCT first, second FROM joined) p
+        LEFT JOIN per ON per.n = t.n AND per.first = p.first AND per.second = p.second
+        WINDOW w AS (PARTITION BY p.first, p.second ORDER BY t.n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    flagged AS (SELECT *, joint >= threshold AS is_in, coalesce(lag(joint >= threshold) OVER (PARTITION BY first, second ORDER BY n), false) AS was_in FROM replay)
+    SELECT first, second, min(n) FILTER (is_in) AS born_n, arg_min(traces, n) FILTER (is_in) AS born_traces, arg_min(joint, n) FILTER (is_in) AS born_joint,
+        arg_min(threshold, n) FILTER (is_in) AS born_threshold, count(*) FILTER (is_in AND NOT was_in) AS n_spells,
+        arg_max(joint, n) AS joint_support, arg_max(threshold, n) AS threshold, arg_max(is_in, n) AS candidate
+    FROM flagged GROUP BY first, second HAVING count(*) FILTER (is_in) > 0"""
+
+
+def _drift_sql() -> str:
+    """The windows year by year: every cut of the years so far is tested, and the part before the best one goes."""
+    keys = f"version, {_CONSTRAINT}"
+    n0, e0 = "list_sum(list_transform(w[:pl], lambda b: b.n))", "list_sum(list_transform(w[:pl], lambda b: b.errors))"
+    n1, e1 = "list_sum(list_transform(w[pl + 1:], lambda b: b.n))", "list_sum(list_transform(w[pl + 1:], lambda b: b.errors))"
+    log = f"ln(2 * greatest(ln(n0 + n1), 1.0) / {DRIFT_DELTA})"
+    size, rate = "(1 / (1 / n0 + 1 / n1))", "((e0 + e1) / (n0 + n1))"
+    passed = f"round(abs(e0 / n0 - e1 / n1) - (sqrt(2 / {size} * {rate} * (1 - {rate}) * {log}) + 2 / (3 * {size}) * {log}), 9)"
+    return f"""WITH RECURSIVE {PLACED_V}, lr AS (SELECT vy.*, version, CASE WHEN year(ts) < version THEN 1 ELSE 0 END AS w FROM vy
+        JOIN (SELECT unnest(range({ORDER_YEARS[0]}, {ORDER_YEARS[-1] + 1})) AS version) ON year(ts) <= version), {_tree_ctes(keys, 'lr')},
+    labels AS (SELECT {keys}, node, sum(w * y) > sum(w * (1 - y)) AS p FROM n{Settings().max_depth} GROUP BY ALL),
+    q AS MATERIALIZED (SELECT {_CONSTRAINT}, version AS batch, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER ((y = 1) <> p) AS DOUBLE) AS errors,
+        row_number() OVER (PARTITION BY {_CONSTRAINT} ORDER BY version) AS k
+        FROM n{Settings().max_depth} JOIN labels USING ({keys}, node) WHERE w = 0 GROUP BY {_CONSTRAINT}, version),
+    fold AS (
+        SELECT {_CONSTRAINT}, 0::BIGINT AS k, []::STRUCT(batch BIGINT, n DOUBLE, errors DOUBLE)[] AS w, 0::BIGINT AS dropped FROM (SELECT DISTINCT {_CONSTRAINT} FROM q)
+        UNION ALL
+        SELECT {_CONSTRAINT}, k, w[coalesce(pl, 0) + 1:], coalesce(pl, 0) FROM (
+            SELECT {_CONSTRAINT}, k, w, (SELECT arg_max(pl, (exceeds, pl)) FROM (SELECT pl, {passed} AS exceeds FROM (
+                SELECT pl, {n0} AS n0, {e0} AS e0, {n1} AS n1, {e1} AS e1 FROM (SELECT unnest(range(1, len(w))) AS pl))) WHERE exceeds > 0) AS pl
+            FROM (SELECT fold.template, fold.first, fold.second, q.k, list_append(fold.w, {{'batch': q.batch, 'n': q.n, 'errors': q.errors}}) AS w
+                FROM fold JOIN q ON q.template = fold.template AND q.first = fold.first AND q.second = fold.second AND q.k = fold.k + 1)))
+    SELECT {_CONSTRAINT}, batch, CAST(n AS BIGINT) AS n, CAST(errors AS BIGINT) AS errors, w[1].batch AS window_start,
+        CAST(list_sum(list_transform(w, lambda b: b.n)) AS BIGINT) AS window_n,
+        CAST(list_sum(list_transform(w, lambda b: b.errors)) AS BIGINT) AS window_errors, dropped > 0 AS drift
+    FROM fold JOIN q USING ({_CONSTRAINT}, k)"""
+
+
 def _lossy(log: str, tail: str) -> str:
     return f"""WITH RECURSIVE {log},
     g AS (SELECT *, row_number() OVER (ORDER BY ts, seq, case_id) AS n FROM log),
@@ -280,6 +329,7 @@ def all_sql() -> dict[str, str]:
         "joint_support": f"WITH {ORDERS}, {ORDER_PAIRS} SELECT a AS first, b AS second, j AS joint_support FROM js",
         "candidate_pairs": f"""WITH {ORDERS}, {ORDER_PAIRS}
             SELECT a AS first, b AS second, j AS joint_support, t AS threshold FROM pairs""",
+        "candidates_as_of": _as_of_sql(),
         "candidate_events": f"""WITH {ORDERS}, {ORDER_PAIRS}, o AS (SELECT *, row_number() OVER
             (PARTITION BY case_id ORDER BY ts, seq) AS pos FROM log), r AS (
             SELECT a AS own, b AS other, true AS f, false AS s FROM pairs UNION ALL SELECT b, a, false, true FROM pairs)
@@ -367,6 +417,8 @@ def all_sql() -> dict[str, str]:
             SELECT "constraint", run, diff FROM p QUALIFY row_number() OVER (PARTITION BY "constraint" ORDER BY diff, run) = 1
             OR row_number() OVER (PARTITION BY "constraint" ORDER BY diff DESC, run DESC) = 1""",
     }
+    sql["drift_windows"] = _drift_sql()
+    sql["streamed_lossy_events"] = sql["lossy_sampled_events"]
     sql["streamed_statistics"] = f"""WITH {EVENTS} SELECT activity AS "Activity", count(*) AS "Frequency",
         count(DISTINCT case_id) AS "Trace_count" FROM log GROUP BY 1"""
     sql["streamed_constraint_ratios"] = f"""WITH {CONVERSATIONS}, {pairs_cte(0.4)}, {verdict_cte()} SELECT template, first, second, count(*) AS n_activations,

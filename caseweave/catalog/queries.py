@@ -14,12 +14,13 @@ from caseweave.functions.conditions import (
     typed_conjuncts,
 )
 from caseweave.functions.scalars import clock_text, constraint_text, epoch_millis, json_record, text_of, typed_attributes
-from caseweave.operators import candidates, eventlog, learning, metrics, model, report, sampling, statistics, templates, trees
-from caseweave.plans.ordered import keyed_scan
+from caseweave.operators import candidates, drift, eventlog, learning, metrics, model, report, sampling, statistics, templates, trees
+from caseweave.plans.ordered import keyed_scan, number_rows
 from caseweave.session import freeze, scratch_path
 from caseweave.sources import results
 from caseweave.sources.tables import conversations_log, events_as_log, events_log, orders_log, table
 from caseweave.streaming.pipeline import Discovery
+from caseweave.streaming.sampling import LossySampling
 from caseweave.streaming.statistics import StreamStatistics
 
 EVENTS_SUPPORT = 0.4
@@ -34,6 +35,8 @@ ORDER_CONDITIONS = (
 #: Years with orders, and those in which rules come into force.
 ORDER_YEARS = tuple(range(1995, 2003))
 REPLAY_YEARS = tuple(range(1998, 2003))
+#: Loose enough that some constraints drift over eight years.
+DRIFT_DELTA = 0.2
 ORDER_CUTS = (100000.0, 200000.0, 300000.0, 400000.0)
 
 
@@ -182,6 +185,11 @@ def candidate_pairs(spark, sf):
     return candidates.candidate_pairs(orders_log(spark, sf), ORDERS_SUPPORT)
 
 
+def candidates_as_of(spark, sf):
+    """Which pairs have been candidates on the way, and since which event."""
+    return candidates.candidates_as_of(orders_log(spark, sf), ORDERS_SUPPORT)
+
+
 def candidate_events(spark, sf):
     log = orders_log(spark, sf)
     context = templates.pair_context(log, _order_pairs(spark, sf), complete=True)
@@ -483,17 +491,50 @@ def streamed_statistics(spark, sf):
     return job.activity_statistics(spark)
 
 
+def _delivered(spark, log: DataFrame, parts: int) -> DataFrame:
+    """The log as a stream: ``parts`` files in time order that arrive one by one."""
+    folder = scratch_path(spark, "delivered")
+    numbered = freeze(number_rows(log, ["ts", "seq", "case_id"], "_n"), "numbered")
+    size = -(-numbered.count() // parts)
+    for part in range(parts):
+        numbered.filter(F.floor((F.col("_n") - 1) / size) == part).drop("_n").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def streamed_lossy_events(spark, sf):
+    """Lossy counting over four micro-batches of orders."""
+    job = LossySampling(scratch_path(spark, "lossy"))
+    stream = _delivered(spark, orders_log(spark, sf), 4)
+    job.start(stream, scratch_path(spark, "checkpoint"), trigger={"availableNow": True}).awaitTermination()
+    return job.sampled(spark).select("case_id", "activity", "seq", "n", "bucket")
+
+
+def drift_windows(spark, sf):
+    """Adaptive windows over the yearly errors of the learnt trees, per constraint."""
+    rows = trees.activations(_placed_orders(spark, sf).withColumn("batch", F.year("ts")), _order_pairs(spark, sf), keep=["batch"], complete=True)
+    pairs = _order_pairs(spark, sf)
+    grown = trees.grow(rows, versions=ORDER_YEARS, bound=len(pairs) * 7 * len(ORDER_YEARS))
+    wrong = (F.col("y") != F.col("predicted")).cast("long")
+    errors = trees.predicted(rows, grown, small=True).groupBy("constraint_id", "batch").agg(F.count("*").alias("n"), F.sum(wrong).alias("errors"))
+    return trees.named(drift.error_windows(errors, ["constraint_id"], DRIFT_DELTA), pairs)
+
+
 def streamed_constraint_ratios(spark, sf):
-    """Ratios from the stream of tagged conversations: traces assembled in state, then totals."""
-    folder = scratch_path(spark, "tagged")
-    tagged = eventlog.tag_trace_ends(conversations_log(spark, sf))
-    # Four files, each with whole cases in time order, arrive one by one: totals are added up over batches.
-    tagged.repartition(4, "case_id").sortWithinPartitions("ts", "seq").write.parquet(folder)
-    stream = spark.readStream.schema(tagged.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    """Ratios from the stream of tagged conversations: traces assembled in state until the watermark
+    has passed their end, then totals.
+
+    Every conversation begins an hour after the one before, so the watermark moves through the
+    four files; a sign of life from a day later, a case of its own that no constraint looks
+    at, takes it past the last one.
+    """
+    log = conversations_log(spark, sf)
+    log = log.withColumn("ts", F.timestamp_seconds(F.unix_seconds("ts") + 3600 * F.col("case_id").cast("long")))
+    last = log.agg(F.max("ts").alias("ts")).select(
+        F.lit("clock").alias("case_id"), F.lit(None).cast("string").alias("activity"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"),
+        F.lit(0).cast("long").alias("seq"), F.create_map().cast("map<string,string>").alias("attrs"), F.lit(False).alias("is_end"))
+    tagged = eventlog.tag_trace_ends(log).select("case_id", "activity", "ts", "seq", "attrs", "is_end").unionByName(last)
     job = Discovery(scratch_path(spark, "discovery"), min_support=0.4)
-    job.start(
-        stream, scratch_path(spark, "checkpoint"), trigger={"availableNow": True}, wait="arrival", shards=2
-    ).awaitTermination()
+    job.start(_delivered(spark, tagged, 4), scratch_path(spark, "checkpoint"), trigger={"availableNow": True}, shards=2).awaitTermination()
     return job.ratios(spark).select("template", "first", "second", "n_activations", "n_fulfilled", "ratio")
 
 
@@ -502,13 +543,13 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         log_metrics, running_log_metrics, activity_frequency, traces_per_activity, activity_stats_union,
         ranked_activities, end_tagging, time_sorted_log, trace_history, neighbours,
         wire_events, wire_round_trip, lossy_sampled_events, lossy_sampled_frequency, frequent_activities,
-        joint_support, candidate_pairs, candidate_events, template_expansion, negated_constraints,
+        joint_support, candidate_pairs, candidates_as_of, candidate_events, template_expansion, negated_constraints,
         constraint_ratios, sampled_constraint_ratios, running_ratios, open_traces_pending, condition_filter,
         data_aware_ratios, rule_replay, rule_replay_separate, majority_f1, prequential_f1, condition_f1, leaf_class_totals,
         split_statistics, learned_conditions, result_records, jsonl_round_trip, clock_times, json_records, count_windows, distinct_model, model_edges,
         model_nodes, latest_stats, upsert_activity, dedupe_results, best_run_per_constraint, diff_summary,
         diff_describe, diff_histogram, ranked_diffs, positive_diffs, diff_extremes,
-        streamed_statistics, streamed_constraint_ratios,
+        drift_windows, streamed_statistics, streamed_lossy_events, streamed_constraint_ratios,
     ]
     found = {f.__name__: f for f in named}
     found["typed_attributes"] = typed_attribute_values

@@ -1,7 +1,8 @@
 """Which activities and pairs occur in enough traces to be worth checking.
 
 Supports are exact over the log at hand. A replay that counts event by event can keep other
-pairs on the way, because its threshold moves with the traces seen so far.
+pairs on the way, because its threshold moves with the traces seen so far: ``candidates_as_of``
+says which pairs those are, and when.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseweave.plans.ordered import number_rows, running_sums
 from caseweave.session import freeze
 
 #: Activities handled per pass where each needs a column of its own.
@@ -108,3 +110,38 @@ def candidate_pairs(log: DataFrame, min_support: float) -> DataFrame:
 def pair_list(pairs: DataFrame) -> list[tuple[str, str]]:
     """Candidate pairs as Python tuples: they shape the plans of the checks that follow."""
     return sorted((row.first, row.second) for row in pairs.select("first", "second").collect())
+
+
+def candidates_as_of(log: DataFrame, min_support: float) -> DataFrame:
+    """Pairs that are candidates at some event of the log, read in time order.
+
+    After each event a pair is a candidate if the traces that hold both of its activities so far are
+    at least ``ceil(min_support x traces seen so far)``; both activities then are as frequent.
+    Per ordered pair: ``born_n`` (number of the event that first makes it a candidate), and the
+    traces, joint support and threshold at that event; ``n_spells`` (how often it becomes one anew),
+    ``joint_support`` and ``threshold`` after the last event and ``candidate`` (is it one then).
+
+    The joint support grows with the second activity of a pair in a trace only, and the threshold
+    never falls; so a spell begins at such an event, where the joint support meets the threshold
+    exactly. These events and the first events of traces are one timeline with running sums.
+    """
+    numbered = number_rows(log.filter("activity IS NOT NULL").select("case_id", "activity", "ts", "seq"), ["ts", "seq", "case_id"])
+    firsts = numbered.groupBy("case_id", "activity").agg(F.min("n").alias("n"))
+    # As many entries as a trace has different activities.
+    seen = firsts.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("n", "activity"))).alias("seen"))
+    none = F.lit(None).cast("string")
+    birth = F.array(F.struct(F.element_at("seen", 1)["n"].alias("n"), none.alias("a"), none.alias("b"), F.lit(1).alias("trace")))
+    pairs = F.flatten(F.transform("seen", lambda y, i: F.transform(F.slice("seen", 1, i), lambda x: F.struct(
+        y["n"].alias("n"), F.least(x["activity"], y["activity"]).alias("a"), F.greatest(x["activity"], y["activity"]).alias("b"), F.lit(0).alias("trace")))))
+    timeline = freeze(running_sums(seen.select(F.inline(F.concat(birth, pairs))), [], ["n", "a", "b"], {"traces": F.col("trace")}), "timeline")
+    limit = lambda traces: F.ceil(F.round(F.lit(float(min_support)) * traces, 9)).cast("long")
+    met = running_sums(timeline.filter("a IS NOT NULL"), ["a", "b"], ["n"], {"joint": F.lit(1)}).withColumn("limit", limit(F.col("traces")))
+    begins = F.col("joint") == F.col("limit")
+    first = F.min_by(F.when(begins, F.struct("n", "traces", "joint", "limit")), F.when(begins, F.col("n"))).alias("birth")
+    total = limit(F.lit(timeline.agg(F.coalesce(F.sum("trace"), F.lit(0))).head()[0]))
+    found = met.groupBy("a", "b").agg(first, F.count_if(begins).alias("n_spells"), F.max("joint").alias("joint_support")).filter("n_spells > 0")
+    both = F.array(F.struct(F.col("a").alias("first"), F.col("b").alias("second")), F.struct(F.col("b").alias("first"), F.col("a").alias("second")))
+    return found.withColumn("threshold", total).select(
+        F.inline(both), F.col("birth.n").alias("born_n"), F.col("birth.traces").alias("born_traces"), F.col("birth.joint").alias("born_joint"),
+        F.col("birth.limit").alias("born_threshold"), "n_spells", "joint_support", "threshold",
+    ).withColumn("candidate", F.col("joint_support") >= F.col("threshold"))

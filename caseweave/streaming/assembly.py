@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 WATERMARK_DELAY = "20 minutes"
+#: A case without an end event is released after so much silence (event time), and its state with it.
+RELEASE_OPEN_MS = 24 * 3600 * 1000
 
 # Keyed state of this kind lives in RocksDB: on disk, so a key may outgrow memory.
 _PROVIDER = (
@@ -122,14 +124,16 @@ def assembled_traces(
     wait: str = "watermark",
     delay: str = WATERMARK_DELAY,
     keep_closed_ms: int = 24 * 3600 * 1000,
-    release_open_ms: int | None = None,
+    release_open_ms: int | None = RELEASE_OPEN_MS,
 ) -> DataFrame:
     """Streaming log in, events of finished traces out, with a ``late`` column.
 
     Rows with ``late`` came after their trace was released; they are to be counted, not used.
     ``shards`` trades overhead per case against the largest case one task can take.
     A released case is remembered for ``keep_closed_ms`` of event time. ``release_open_ms``
-    releases cases without an end event after that much silence (off by default).
+    releases cases without an end event after that much silence (one day; None keeps them for
+    good). So every case's timer ends in the removal of its state: once the watermark has passed
+    the last event by both spans, no state is left.
     """
     log.sparkSession.conf.set(*_PROVIDER)
     packed = log.withWatermark("ts", delay).select(
