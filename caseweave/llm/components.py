@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from caseweave.llm.common import cut
 
 
+#: Edges that are worth a task of their own: a small graph is not spread over all shuffle partitions,
+#: each of which would leave its files behind in every round.
+EDGES_PER_TASK = 200_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable, for every id that has an edge.
 
@@ -20,12 +25,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = cut(pairs.filter("u <> v AND NOT x AND NOT y").select("u", "v").distinct())
     state = _fingerprint(now)
     while True:
+        tasks = max(1, -(-2 * state[0] // EDGES_PER_TASK))
+        now = now.coalesce(tasks)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.coalesce(tasks).distinct().coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        now = cut(small.coalesce(tasks).union(least.select("u", F.col("m").alias("v")).coalesce(tasks)).distinct().coalesce(tasks))
         before, state = state, _fingerprint(now)
         if state == before:
             break

@@ -8,11 +8,13 @@ its grams, the first in a global order, make up its short lists, and partners me
 
 1. Documents with the same set become one (two 64-bit halves of a digest name a set), so
    a text copied a million times is one row from here on.
-2. Short lists, over the whole corpus: one row per (gram, document), grouped by gram. In a
-   list of up to ``SHORT`` documents (a constant) those of like size meet and are counted; half of
-   ``l`` meetings make them candidates. In a longer list no pairs are made: documents with many
-   grams in such lists (only they can have met too rarely in the others) are tied to the first
-   of their size there. Every linked pair is found by one of the two ways.
+2. Short lists, over the whole corpus: one row per (gram, set). Their sizes are counted, and each
+   set keeps the rarest grams of its short lists, so many that partners still share some of them: a
+   passage that thousands of texts have in common makes none of them candidates. In a list of up
+   to ``SHORT`` sets (a constant) those of like size meet and are counted; half of the meetings that
+   are due make them candidates. In a longer list no pairs are made: sets with so many grams in such
+   lists that they can have met too rarely in the others are tied to the first of their size
+   there. Every linked pair is found by one of the two ways.
 3. Connected candidates form blocks. A block above ``TILE`` documents is searched in two rounds,
    both in tiles: all against the first tile, then those that did not join the largest group
    against all. So near copies of one text cost a multiple of their number, not its square.
@@ -42,10 +44,13 @@ from pyspark.sql import functions as F
 
 from caseweave.llm.common import cut, id_and_text, texts_of
 from caseweave.llm.components import components
+from caseweave.session import freeze
 
 #: Meetings that partners are sure to have in their short lists (fewer in small sets), and the share
 #: of a large set that they are: a long text holds many common grams, which must not be enough.
 MEETINGS, MEETING_SHARE = 40, 20
+#: One meeting among the rarest grams is asked for per so many grams of a set, one at least.
+RARE_SHARE = 100
 #: Lists of up to so many documents are counted pair by pair.
 SHORT = 16
 #: Block members up to this number (about 40 bytes each) are broadcast to the texts; more are joined by shuffle.
@@ -90,11 +95,11 @@ def pair_overlap(a: int, b: int, num: int, den: int) -> int:
 
 
 def sets(docs: DataFrame, k: int, num: int, den: int, meetings: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n (set size), k1 and k2 (name of the set), sure (meetings that are certain), short (grams of its short lists)."""
+    """doc_id, n (set size), k1 and k2 (name of the set), short (grams of its short lists)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, k1, k2, sure, short = [], [], [], [], []
+            n, k1, k2, short = [], [], [], []
             for text in texts_of(batch):
                 g = grams(text, k)
                 name = np.frombuffer(hashlib.blake2b(g.tobytes(), digest_size=16).digest(), "<i8")
@@ -102,50 +107,58 @@ def sets(docs: DataFrame, k: int, num: int, den: int, meetings: int, id_col: str
                 n.append(len(g))
                 k1.append(int(name[0]))
                 k2.append(int(name[1]))
-                sure.append(sure_meetings(len(g), num, den, meetings))
                 # Sorted by hash: a global order that spreads frequent grams evenly.
-                short.append(g[: len(g) - t + sure[-1]].view(np.int64))
+                short.append(g[: len(g) - t + sure_meetings(len(g), num, den, meetings)].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                 pa.array(sure, pa.int32()), pa.array(short, pa.list_(pa.int64()))],
-                ["doc_id", "n", "k1", "k2", "sure", "short"],
+                 pa.array(short, pa.list_(pa.int64()))],
+                ["doc_id", "n", "k1", "k2", "short"],
             )
 
-    schema = "doc_id long, n long, k1 long, k2 long, sure int, short array<long>"
+    schema = "doc_id long, n long, k1 long, k2 long, short array<long>"
     return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
 
 
-def candidate_edges(named: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) from (rep, n, sure, short): edges whose components hold all linked pairs.
+def candidate_edges(named: DataFrame, num: int, den: int, meetings: int = MEETINGS) -> DataFrame:
+    """(a, b) from (name, n, short): edges between names of sets whose components hold all linked pairs.
 
     Sets that are too unlike in size are never partners and get no edge for it.
     """
-    lists = named.select("rep", "n", "sure", F.explode("short").alias("gram"))
-    by_gram = Window.partitionBy("gram")
-    # Most grams stand in one document only. Both ways read this; the shuffle below it is done once.
-    met = lists.withColumn("size", F.count("*").over(by_gram)).filter("size > 1")
-
-    in_order = by_gram.orderBy("rep")
-    earlier = [F.lag(F.struct("rep", "n", "sure"), i).over(in_order) for i in range(1, SHORT)]
-    short = met.filter(f"size <= {SHORT}").select("rep", "n", "sure", F.array(*earlier).alias("earlier"))
-    alike = lambda e: e.isNotNull() & (F.least("n", e["n"]) * den >= F.greatest("n", e["n"]) * num)
-    pairs = short.select("rep", "sure", F.explode(F.filter("earlier", alike)).alias("e"))
-    counted = pairs.groupBy(F.col("rep").alias("a"), F.col("e.rep").alias("b"), F.least("sure", "e.sure").alias("sure")).count()
-    close = counted.filter("count >= ceil(sure / 2)").select("a", "b")
-
-    # Partners that met less often share more than half of the sure meetings in longer lists. A partner's
-    # own number may be a little lower. Of so many common grams one is left when each side drops one fewer
-    # of its most frequent ones: ties are made by the others only, the rarest of the long lists.
-    own = met.filter(f"size > {SHORT}")
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("size", "gram"))
-    many = F.count("*").over(Window.partitionBy("rep"))
-    least = F.expr(f"int(greatest(1, least(sure, floor({num} * sure / {den}) - 1))) div 2 + 1")
-    ties = own.select("rep", "n", "gram", place.alias("place"), many.alias("many"), least.alias("least")).filter("place <= many - least + 1")
+    least = lambda n: F.ceil(F.lit(num) * n / F.lit(den)).cast("long")
+    sure = lambda n: F.least(F.greatest(F.lit(meetings), F.floor(n / MEETING_SHARE)), least(n)).cast("long")
+    # Meetings that are sure with any partner, and how many of them must lie among the rarest grams. Both grow with n.
+    low = lambda n: sure(least(n))
+    rare = lambda n: F.greatest(F.lit(1), F.least(F.floor(n / RARE_SHARE), F.floor(low(n) / 2))).cast("int")
+    n = F.col("n")
+    # These rows are many, so they carry nothing that can be worked out again.
+    lists = named.select("name", F.col("n").cast("int").alias("n"), F.explode("short").alias("gram"))
+    often = lists.groupBy("gram").agg(F.count("*").alias("size")).filter("size > 1")
+    # Two sets that share ``sure`` of the grams of their short lists share ``rare`` of those that are left when
+    # each side keeps all but its ``sure - rare`` most frequent ones. Most grams stand in one set only.
+    mine = Window.partitionBy("name")
+    placed = lists.join(often, "gram").withColumn("place", F.row_number().over(mine.orderBy("size", "gram")))
+    kept = placed.withColumn("many", F.count("*").over(mine)).filter(F.col("place") <= rare(n) - low(n) + F.col("many"))
+    # Few rows out of many: both ways below start from here.
+    kept = freeze(kept.select("name", "n", "gram", "size"), "rare")
+
+    in_short = kept.filter(f"size <= {SHORT}").groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("name", "n"))).alias("docs"))
+    alike = lambda x, y: F.least(x["n"], y["n"]) * den >= F.greatest(x["n"], y["n"]) * num
+    later = F.transform("docs", lambda x, i: F.transform(
+        F.filter("docs", lambda y, j: (j > i) & alike(x, y)),
+        lambda y: F.struct(x["name"].alias("a"), y["name"].alias("b"), F.least(x["n"], y["n"]).alias("n"))))
+    met = in_short.select(F.inline(F.flatten(later))).groupBy("a", "b", "n").count()
+    close = met.filter(F.col("count") >= F.ceil(rare(n) / 2)).select("a", "b")
+
+    # Partners that met less often share more than half of them in longer lists. Of so many one is left
+    # when each side drops one fewer of its most frequent ones: ties are made by the others only.
+    own = kept.filter(f"size > {SHORT}").select(
+        "name", "n", "gram", F.row_number().over(mine.orderBy("size", "gram")).alias("place"), F.count("*").over(mine).alias("many"))
+    ties = own.filter(F.col("place") <= F.col("many") - F.floor(rare(least(n)) / 2))
     # Partners lie in one size class or in neighbouring ones.
     size_class = _size_class(F.col("n"), num, den)
-    ties = ties.select("rep", "gram", F.explode(F.array(size_class, size_class - 1)).alias("sizes"))
-    heads = ties.groupBy("gram", "sizes").agg(F.min("rep").alias("head"))
-    tied = ties.join(heads, ["gram", "sizes"]).filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    ties = ties.select("name", "gram", F.explode(F.array(size_class, size_class - 1)).alias("sizes"))
+    heads = ties.groupBy("gram", "sizes").agg(F.min("name").alias("head"))
+    tied = ties.join(heads, ["gram", "sizes"]).filter("name <> head").select(F.col("name").alias("a"), F.col("head").alias("b"))
     return close.union(tied).distinct()
 
 
@@ -338,15 +351,17 @@ def join(
     text_col: str = "text",
 ) -> DataFrame:
     """doc_id, n_shingles, component_id: documents linked at a Jaccard similarity of ``num / den`` or more."""
-    cut_up = sets(docs, k, num, den, meetings, id_col, text_col)
-    named = cut(cut_up.select("doc_id", "n", "k1", "k2"))
+    # Written once: the names and sizes are read again and again, the short lists once more for each different set.
+    cut_up = freeze(sets(docs, k, num, den, meetings, id_col, text_col), "sets")
+    named = cut_up.select("doc_id", "n", "k1", "k2")
     alike = cut_up.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sure").alias("sure"), F.first("short").alias("short")
+        F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("short").alias("short")
     )
-    edges = candidate_edges(alike.select("rep", "n", "sure", "short"), num, den)
+    # Half of a set's digest names it here: grams are hashes of the same width.
+    edges = candidate_edges(alike.select(F.col("k1").alias("name"), "n", "short"), num, den, meetings)
     blocks = components(edges)
     reps = named.filter("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    blocks = blocks.join(reps, blocks["id"] == reps["rep"]).select("rep", F.col("component").alias("block"), "n")
+    blocks = blocks.join(reps, blocks["id"] == reps["k1"]).select("rep", F.col("component").alias("block"), "n")
     links = block_links(docs, blocks, k, num, den, id_col, text_col)
     reps = reps.select("k1", "k2", "rep")
     placed = named.select("doc_id", "n", "k1", "k2").join(reps, ["k1", "k2"], "left")
