@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from caseweave.llm import byte_bpe, jaccard_join, line_dedup, mixing, toxicity
 from caseweave.llm.common import table
+from caseweave.session import freeze
 
+#: A text that would lose so much of its words to line dedup is left to the search for near duplicates.
+COPIES_FROM = 0.8
 #: Share of the tokens that the mixture keeps.
 BUDGET_SHARE = 0.5
 
@@ -25,8 +28,11 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; passages that occurred before are cut out of their texts."""
-    return line_dedup.rewritten(docs)
+    """All documents; passages that occurred before are cut out of their texts.
+
+    Texts made up of them almost entirely are copies and stay whole: the next stage takes one of each group.
+    """
+    return line_dedup.rewritten(docs, copies_from=COPIES_FROM)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +68,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage has kept is written to the shared folder, since the next one reads it several times."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = freeze(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
