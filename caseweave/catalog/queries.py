@@ -18,7 +18,7 @@ from caseweave.operators import candidates, drift, eventlog, learning, metrics,
 from caseweave.plans.ordered import keyed_scan, number_rows
 from caseweave.session import freeze, scratch_path
 from caseweave.sources import results
-from caseweave.sources.tables import conversations_log, events_as_log, events_log, orders_log, table
+from caseweave.sources.tables import conversations_log, events_as_log, events_log, orders_log, table_stream
 from caseweave.streaming.pipeline import Discovery
 from caseweave.streaming.sampling import LossySampling
 from caseweave.streaming.statistics import StreamStatistics
@@ -484,7 +484,7 @@ def diff_extremes(spark, sf):
 
 def streamed_statistics(spark, sf):
     """Activity statistics of the events table read as a stream."""
-    raw = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    raw = table_stream(spark, sf, "events")
     job = StreamStatistics(scratch_path(spark, "statistics"))
     for query in job.start(events_as_log(raw), scratch_path(spark, "checkpoint"), trigger={"availableNow": True}):
         query.awaitTermination()
@@ -533,7 +533,7 @@ def streamed_constraint_ratios(spark, sf):
         F.lit("clock").alias("case_id"), F.lit(None).cast("string").alias("activity"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"),
         F.lit(0).cast("long").alias("seq"), F.create_map().cast("map<string,string>").alias("attrs"), F.lit(False).alias("is_end"))
     tagged = eventlog.tag_trace_ends(log).select("case_id", "activity", "ts", "seq", "attrs", "is_end").unionByName(last)
-    job = Discovery(scratch_path(spark, "discovery"), min_support=0.4)
+    job = Discovery(scratch_path(spark, "discovery"), min_support=0.4, conditions=False)
     job.start(_delivered(spark, tagged, 4), scratch_path(spark, "checkpoint"), trigger={"availableNow": True}, shards=2).awaitTermination()
     return job.ratios(spark).select("template", "first", "second", "n_activations", "n_fulfilled", "ratio")
 

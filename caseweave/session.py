@@ -12,8 +12,9 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "*", partitions: int = 8, app: str = "caseweave") -> SparkSession:
-    """A single-JVM session for tests and benches; clusters bring their own."""
+def local_session(cores: str = "*", partitions: int = 8, app: str = "caseweave", memory: str = "6g") -> SparkSession:
+    """A single-JVM session for tests and benches; clusters bring their own. ``memory`` leaves room for
+    the Python workers beside the JVM."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -23,7 +24,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "caseweave")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "12g")
+        .config("spark.driver.memory", memory)
         .config(
             "spark.sql.streaming.stateStore.providerClass",
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

@@ -12,6 +12,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as a stream of its files, whether it is one file or a folder of parts."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(table(spark, folder, name).schema)
+    if files.getFileStatus(path).isDirectory():
+        return reader.parquet(f"{folder}/{name}.parquet")
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
 def events_log(spark: SparkSession, folder: str) -> DataFrame:
     return events_as_log(table(spark, folder, "events"))
 

@@ -39,6 +39,7 @@ class Discovery:
     settings: learning.Settings = field(default_factory=learning.Settings)
     window_size: int = 10
     on_results: object = None  # callable(results DataFrame, batch id), e.g. a Kafka sink
+    conditions: bool = True  # without: supports, candidates and constraint counts only
 
     def __post_init__(self):
         self.traces_path = f"{self.folder}/traces"
@@ -87,6 +88,12 @@ class Discovery:
         self._remember(spark, counted, batch_id)
         if not counted:
             return
+        if not self.conditions:  # counts alone are cells without attributes
+            delta = learning.cells(log, counted, [])
+            if fresh and earlier is not None:
+                delta = delta.unionByName(learning.cells(earlier, fresh, []))
+            self.cells.add(delta, batch_id)
+            return
         before, tests = self._tests(log, earlier, batch_id)
         if before is not None and known:
             self._score(learning.cells(log, known, before), batch_id)

@@ -101,3 +101,38 @@ def test_restart_continues(spark, make_log, tmp_path):
     m = stats.log_metrics(spark).head()
     assert (m.Event_counter, m.Counter_trace_id) == (6, 3)
     assert {tuple(r) for r in stats.activity_statistics(spark).collect()} == {("a", 2, 2), ("b", 2, 2), ("c", 2, 2)}
+
+
+def test_abandoned_traces_leave_no_state(spark, make_log, tmp_path):
+    """A case without an end event is released after a day of silence; a day after its release nothing is kept.
+
+    An event behind the watermark is dropped and counted by Spark.
+    """
+    start = make_log({"done": "abc", "open": "ab", "quiet": "a", **{f"left{i}": "a" for i in range(40)}}, attrs=lambda c, i, a: {"k": c})
+    start = start.withColumn("is_end", F.col("is_end") & (F.col("case_id") == "done"))
+    signs = [make_log({f"sign{i}": "z"}).withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(i * 2))) for i in (1, 2, 3)]
+    late = make_log({"open": "d"})
+    src = str(tmp_path / "src")
+    for part in (start, *signs[:2], late, signs[2]):
+        part.select(start.columns).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(0.1)
+    query = assembled_traces(stream_of(spark, start, src), shards=2).writeStream.format("memory").queryName("released").option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(r.case_id, r.activity, r.late) for r in spark.table("released").collect()}
+    assert got >= {("done", "a", False), ("done", "b", False), ("done", "c", False), ("open", "a", False), ("open", "b", False), ("quiet", "a", False)}
+    assert not any(case == "open" and activity == "d" for case, activity, _ in got)
+    progress = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    assert sum(p["numRowsDroppedByWatermark"] for p in progress) == 3  # an end event, and its marker for either shard
+    most, last = max(p["numRowsTotal"] for p in progress), progress[-1]["numRowsTotal"]
+    assert most > 80 and last < 20  # what is left is of the last two signs of life: an event, states and timers
+
+
+def test_a_table_streams_from_a_file_and_from_a_folder(spark, tmp_path):
+    from caseweave.catalog import queries
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    of_folder = {tuple(r) for r in queries.streamed_statistics(spark, str(tmp_path)).collect()}
+    of_file = {tuple(r) for r in queries.streamed_statistics(spark, "/root/testdata/sf0.001").collect()}
+    assert of_folder == of_file and of_file
