@@ -83,10 +83,13 @@ def to_wire(log: DataFrame) -> DataFrame:
         F.array_sort(F.map_entries(with_end)),
         lambda e: F.struct(F.replace(e["key"], F.lit(":"), F.lit("_")).alias("key"), e["value"].alias("value")),
     )
+    # Only names with a colon can become alike; a map without one is taken as it is.
+    has_colon = F.exists(F.map_keys("attrs"), lambda k: F.contains(k, F.lit(":")))
+    log = log.withColumn("_renamed", F.when(has_colon, renamed))
     last = F.filter(
-        renamed, lambda e, i: ~F.exists(F.slice(renamed, i + 2, F.size(renamed)), lambda later: later["key"] == e["key"])
+        "_renamed", lambda e, i: ~F.exists(F.slice("_renamed", i + 2, F.size("_renamed")), lambda later: later["key"] == e["key"])
     )
-    safe = F.map_from_entries(last)
+    safe = F.when(F.col("_renamed").isNotNull(), F.map_from_entries(last)).otherwise(with_end)
     return log.select(
         F.coalesce("case_id", F.lit("")).alias("case_concept_name"),
         F.coalesce("activity", F.lit("")).alias("concept_name"),
