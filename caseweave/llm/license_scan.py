@@ -2,11 +2,12 @@
 
 Every rolling word k-gram of a document is hashed and joined to the places where the
 license templates hold the same k-gram. A document that quotes a template agrees with it
-at a constant difference of positions (a diagonal), so the hits are counted per
+at a constant difference of positions (a diagonal), so the hits are collected per
 (document, template, diagonal). Neighbouring diagonals of a template (a word dropped or
-added within the quotation) are merged, and a merged span is accepted when its hits cover
-enough of the template. Exact phrases take the same way and must cover all of theirs on
-one diagonal; the words themselves are compared in the end.
+added within the quotation) are merged, and a merged span is verified: the words behind
+every hash are compared, and the longest run of hits that stand in the template's order in
+the document as well, each place used once, must cover enough of the template. Exact
+phrases take the same way and must cover all of theirs on one diagonal.
 
 Only hits are shuffled. The templates are a parameter with a checked size and are
 broadcast. Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z.
@@ -66,27 +67,38 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(plain), _SPLIT), lambda w: w != "")
 
 
-def gram_hashes(words: Column) -> Column:
-    """Hashes of all rolling word pairs, by place."""
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    n = F.size(words)
-    return F.when(n >= GRAM, F.zip_with(
-        F.slice(hashed, 1, F.greatest(n - 1, F.lit(0))), F.slice(hashed, 2, F.greatest(n - 1, F.lit(0))),
-        lambda a, b: F.xxhash64(a, b),
-    )).otherwise(F.array().cast("array<long>"))
+def grams(words: Column) -> Column:
+    """All rolling word pairs, by place: hash and the two words."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(
+        F.slice(words, 1, n), F.slice(words, 2, n),
+        lambda a, b: F.struct(F.xxhash64(a, b).alias("gram"), a.alias("one"), b.alias("two")),
+    )
 
 
 def template_index(spark, templates: Sequence[Template]) -> DataFrame:
-    """(gram, template, at, n_grams, ...) of every template position."""
+    """(gram, its words, template, at, n_grams, ...) of every template position."""
     rows = [(i, t.label, t.text, t.exact) for i, t in enumerate(templates)]
     if sum(len(t.text.split()) for t in templates) > MAX_TEMPLATE_WORDS:
         raise ValueError("too many template words to broadcast")
     df = spark.createDataFrame(rows, "template int, label string, body string, exact boolean")
     df = df.withColumn("t_words", words_of(F.col("body")))
     return df.select(
-        "template", "label", "exact", "t_words", (F.size("t_words") - (GRAM - 1)).alias("n_grams"),
-        F.posexplode(gram_hashes(F.col("t_words"))).alias("at", "gram"),
-    )
+        "template", "label", "exact", (F.size("t_words") - (GRAM - 1)).alias("n_grams"),
+        F.posexplode(grams(F.col("t_words"))).alias("at", "g"),
+    ).select("template", "label", "exact", "n_grams", "at", "g.*")
+
+
+def _longest_run(places: Column) -> Column:
+    """Length of the longest increasing run of an array: keeps the smallest end of a run of each length."""
+
+    def step(ends: Column, place: Column) -> Column:
+        placed = F.concat(
+            F.filter(ends, lambda e: e < place), F.array(place), F.slice(F.filter(ends, lambda e: e >= place), 2, F.size(ends))
+        )
+        return F.when(place > F.get(ends, F.size(ends) - 1), F.concat(ends, F.array(place))).otherwise(placed)
+
+    return F.size(F.aggregate(places, F.array().cast("array<int>"), step))
 
 
 def scan_spans(
@@ -100,18 +112,21 @@ def scan_spans(
 ) -> DataFrame:
     """One row per accepted span: row_key, doc_id, label, template, exact, start, stop (words), cover.
 
-    ``min_cover`` is the share of a template's k-grams that must agree, ``max_shift`` the
-    distance up to which neighbouring diagonals belong together.
+    ``min_cover`` is the share of a template's k-grams that must agree in order, ``max_shift``
+    the distance up to which neighbouring diagonals belong together.
     """
     spark = docs.sparkSession
     index = F.broadcast(template_index(spark, templates))
     rows = _rows(docs, id_col, text_col)
-    places = rows.select("doc_id", "row_key", F.posexplode(gram_hashes(F.col("words"))).alias("place", "gram"))
-    hits = places.join(index, "gram")
+    places = rows.select("doc_id", "row_key", F.posexplode(grams(F.col("words"))).alias("place", "g"))
+    places = places.select("doc_id", "row_key", "place", "g.*")
+    hits = places.join(index, ["gram", "one", "two"])
     hits = hits.withColumn("diagonal", F.col("place") - F.col("at"))
     votes = hits.groupBy("row_key", "doc_id", "template", "label", "exact", "n_grams", "diagonal").agg(
-        F.count_distinct("at").alias("votes"), F.min("place").alias("first"), F.max("place").alias("last"),
-    )
+        F.collect_set("at").alias("ats"),
+    ).withColumns({
+        "votes": F.size("ats"), "first": F.array_min("ats") + F.col("diagonal"), "last": F.array_max("ats") + F.col("diagonal"),
+    })
     # Phrases: every k-gram on one diagonal. With k = 2, consecutive k-grams share words, so
     # agreement of all of them is agreement of the words in a row.
     exact = votes.filter(F.col("exact") & (F.col("votes") == F.col("n_grams"))).select(
@@ -125,13 +140,20 @@ def scan_spans(
     merged = (
         loose.withColumn("group", F.sum(new).over(by))
         .groupBy("row_key", "doc_id", "label", "template", "exact", "n_grams", "group")
-        .agg(F.sum("votes").alias("votes"), F.min("first").alias("start"), (F.max("last") + GRAM).alias("stop"))
+        .agg(
+            F.sum("votes").alias("votes"), F.min("first").alias("start"), (F.max("last") + GRAM).alias("stop"),
+            F.collect_list(F.struct("diagonal", "ats")).alias("diagonals"),
+        )
     )
-    cover = F.least(F.col("votes") / F.col("n_grams"), F.lit(1.0))
-    verified = merged.withColumn("cover", cover).filter(
-        (F.col("cover") >= min_cover)
+    # A span is at most half as long again as its template, so what is verified is bounded by templates.
+    likely = merged.filter(
+        (F.col("votes") >= min_cover * F.col("n_grams"))
         & (F.col("stop") - F.col("start") <= F.col("n_grams") + 1 + 2 * max_shift + F.col("n_grams") / 2)
     )
+    agreeing = F.flatten(F.transform("diagonals", lambda d: F.transform(
+        d["ats"], lambda at: F.struct(at.alias("at"), (-at - d["diagonal"]).alias("back")))))
+    in_order = _longest_run(F.transform(F.array_sort(agreeing), lambda h: -h["back"]))
+    verified = likely.withColumn("cover", in_order / F.col("n_grams")).filter(F.col("cover") >= min_cover)
     return exact.unionByName(verified.select(exact.columns))
 
 

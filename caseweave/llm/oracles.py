@@ -121,21 +121,25 @@ def op9() -> str:
     )
     words = r"list_filter(string_split_regex(lower({}), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
     return f"""
-WITH t AS (SELECT id, label, exact, {words.format('body')} AS w FROM (VALUES {templates}) AS v(id, label, body, exact)),
+WITH RECURSIVE t AS (SELECT id, label, exact, {words.format('body')} AS w FROM (VALUES {templates}) AS v(id, label, body, exact)),
 tg AS (SELECT id, label, exact, len(w) - 1 AS n, i - 1 AS at_, w[i] || ' ' || w[i + 1] AS g
   FROM (SELECT *, unnest(generate_series(1, len(w) - 1)) AS i FROM t)),
 d AS (SELECT doc_id, row_number() OVER () AS r, {words.format("coalesce(text, '')")} AS w FROM documents),
 dg AS (SELECT r, i - 1 AS place, w[i] || ' ' || w[i + 1] AS g
   FROM (SELECT r, w, unnest(generate_series(1, len(w) - 1)) AS i FROM d)),
-votes AS (SELECT r, id, label, exact, n, place - at_ AS diag, count(*) AS v, min(place) AS f, max(place) AS l
-  FROM dg JOIN tg USING (g) GROUP BY ALL),
+hit AS MATERIALIZED (SELECT r, id, label, exact, n, place, at_, place - at_ AS diag FROM dg JOIN tg USING (g)),
+votes AS (SELECT r, id, label, exact, n, diag, count(*) AS v, min(place) AS f, max(place) AS l FROM hit GROUP BY ALL),
 phrase AS (SELECT r, label, f AS start, true AS exact, 1.0::DOUBLE AS cover FROM votes WHERE exact AND v = n),
 grp AS (SELECT *, sum(new) OVER (PARTITION BY r, id ORDER BY diag) AS grp FROM (
   SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY r, id ORDER BY diag) <= 2 THEN 0 ELSE 1 END AS new
   FROM votes WHERE NOT exact AND (v > 1 OR n = 1))),
-span AS (SELECT r, label, n, sum(v) AS v, min(f) AS start, max(l) + 2 AS stop FROM grp GROUP BY r, id, label, n, grp),
-notice AS (SELECT r, label, start, false AS exact, least(v / n, 1.0)::DOUBLE AS cover FROM span
-  WHERE v / n >= 0.7 AND stop - start <= n + 5 + n / 2),
+span AS MATERIALIZED (SELECT r, id, grp, label, n, min(f) AS start FROM grp GROUP BY r, id, label, n, grp
+  HAVING sum(v) / n >= 0.7 AND max(l) + 2 - min(f) <= n + 5 + n / 2),
+inside AS MATERIALIZED (SELECT r, id, grp, place, at_ FROM hit JOIN grp USING (r, id, diag) JOIN span USING (r, id, grp)),
+run AS (SELECT r, id, grp, place, at_, 1 AS k FROM inside UNION
+  SELECT i.r, i.id, i.grp, i.place, i.at_, k + 1 FROM run JOIN inside i USING (r, id, grp) WHERE i.place > run.place AND i.at_ > run.at_),
+notice AS (SELECT r, label, start, false AS exact, (max(k) / n)::DOUBLE AS cover FROM run JOIN span USING (r, id, grp)
+  GROUP BY r, id, grp, label, n, start HAVING max(k) / n >= 0.7),
 s AS (SELECT * FROM phrase UNION ALL SELECT * FROM notice),
 a AS (SELECT r, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS bl, string_agg(DISTINCT label, ',' ORDER BY label) AS al, max(cover) AS score
