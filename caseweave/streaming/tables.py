@@ -32,6 +32,12 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
+def latest_batch(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of the last batch written under ``path``."""
+    ids = batch_ids(spark, path)
+    return spark.read.parquet(f"{path}/batch_id={ids[-1]}") if ids else None
+
+
 class Totals:
     """A table of running totals: ``keys`` and columns merged by sum, min or max."""
 
@@ -43,8 +49,7 @@ class Totals:
         return spark.read.parquet(f"{self.path}/batch_id={earlier[-1]}") if earlier else None
 
     def latest(self, spark: SparkSession) -> DataFrame | None:
-        ids = batch_ids(spark, self.path)
-        return spark.read.parquet(f"{self.path}/batch_id={ids[-1]}") if ids else None
+        return latest_batch(spark, self.path)
 
     def replace(self, total: DataFrame, batch_id: int) -> DataFrame:
         """Totals counted anew over everything up to this batch take the place of the sums."""

@@ -103,6 +103,26 @@ def test_restart_continues(spark, make_log, tmp_path):
     assert {tuple(r) for r in stats.activity_statistics(spark).collect()} == {("a", 2, 2), ("b", 2, 2), ("c", 2, 2)}
 
 
+def test_statistics_of_a_stream(spark, make_log, tmp_path):
+    """Many batches, an activity that is missing, repeated cases, and a stream that has not brought anything yet."""
+    stats = StreamStatistics(str(tmp_path / "stats"))
+    empty = stats.log_metrics(spark).head()
+    assert (empty.Event_counter, empty.Log_start_timestamp, empty.Counter_trace_id) == (0, None, 0)
+    assert stats.activity_statistics(spark).collect() == []
+
+    log = make_log({f"c{i % 7}{i}": "aab"[: 1 + i % 3] for i in range(20)})
+    log = log.withColumn("activity", F.when(F.col("seq") % 5 != 0, F.col("activity")))
+    src = str(tmp_path / "src")
+    for part in range(4):
+        log.filter(F.col("seq") % 4 == part).coalesce(1).write.mode("append").parquet(src)
+    for q in stats.start(stream_of(spark, log, src), str(tmp_path / "cp"), trigger={"availableNow": True}):
+        q.awaitTermination(120)
+    whole = log.agg(F.count("*"), F.min("ts"), F.max("ts"), F.count_distinct("case_id")).head()
+    assert tuple(stats.log_metrics(spark).head()) == tuple(whole)
+    by_activity = log.groupBy("activity").agg(F.count("*"), F.count_distinct("case_id")).collect()
+    assert {tuple(r) for r in stats.activity_statistics(spark).collect()} == {tuple(r) for r in by_activity}
+
+
 def test_abandoned_traces_leave_no_state(spark, make_log, tmp_path):
     """A case without an end event is released after a day of silence; a day after its release nothing is kept.
 
