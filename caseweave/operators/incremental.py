@@ -11,7 +11,8 @@ node, and the attributes a leaf has given up. Each batch is read once:
   such nodes of a path the topmost);
 * *train*: the batch's counts are added to the leaves;
 * *split*: as in ``trees``, with the cuts of the bins; children know the classes their parent has
-  seen on their side, and count from the next batch on;
+  counted on their side, are dealt what it knew at its own birth in the same proportion, and count
+  from the next batch on, so leaves add up to all rows since the last reset above them;
 * *give up*: an attribute whose best gain lies more than the Hoeffding bound below that of the
   best one is not counted in that leaf any longer, and its counts leave the state.
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.operators import trees
@@ -163,7 +164,7 @@ class IncrementalTrees:
         kept = ["attr", "num", "val", "default_left"]
         self.splits = freeze(found.select(*NODE, *kept) if splits is None else splits.select(*NODE, *kept).unionByName(found.select(*NODE, *kept)), "structure")
         known = nodes.select(*NODE, "steps", "n1", "n0", "is_leaf")
-        self.nodes = freeze(trees._divided(known, found, KEY), "nodes")
+        self.nodes = freeze(_inherited(trees._divided(known, found, KEY), nodes, found), "nodes")
         left = cells.join(found.select(*NODE), NODE, "left_anti")
         gone = self._given_up(left, tests) if self.give_up else None
         if gone is not None:
@@ -202,5 +203,23 @@ class IncrementalTrees:
         return out.groupBy(*KEY).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
 
 
+def _inherited(divided: DataFrame, before: DataFrame, found: DataFrame) -> DataFrame:
+    """The nodes after a split, with the parents' birth knowledge dealt to the new children."""
+    births = before.select(*NODE, F.col("n1").alias("b1"), F.col("n0").alias("b0"))
+    parents = found.select(*NODE, "t1", "t0").join(births, NODE).withColumnsRenamed({"constraint_id": "_cid", "node": "_parent"})
+    is_child = (F.col("constraint_id") == F.col("_cid")) & (F.length("node") > 0) & (F.expr("left(node, length(node) - 1)") == F.col("_parent"))
+    left, total = F.endswith("node", F.lit("0")), F.col("t1") + F.col("t0")
+    rows_left = F.when(left, F.col("n1") + F.col("n0")).otherwise(total - F.col("n1") - F.col("n0"))
+
+    def dealt(n: str, seen: str, birth: str) -> Column:
+        on_left = F.when(left, F.col(n)).otherwise(F.col(seen) - F.col(n))
+        share = F.when(F.col(seen) > 0, on_left / F.when(F.col(seen) > 0, F.col(seen))).otherwise(rows_left / total)
+        to_left = F.round(F.col(birth) * share).cast("long")
+        return F.col(n) + F.coalesce(F.when(left, to_left).otherwise(F.col(birth) - to_left), F.lit(0))
+
+    return divided.join(parents, is_child, "left").select(
+        *NODE, "steps", dealt("n1", "t1", "b1").alias("n1"), dealt("n0", "t0", "b0").alias("n0"), "is_leaf")
+
+
 def _summed(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*NODE, "attr", "code", "val").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.max("num").alias("num"))

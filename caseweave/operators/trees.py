@@ -72,9 +72,9 @@ def cut_points(log: DataFrame) -> DataFrame:
     )
 
 
-def with_features(log: DataFrame) -> DataFrame:
-    """The log with ``feats``: per attribute its number and bin, or its text."""
-    cuts = freeze(cut_points(log), "cuts")
+def with_features(log: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+    """The log with ``feats``: per attribute its number and bin, or its text. ``cuts``: bins kept from before."""
+    cuts = freeze(cut_points(log), "cuts") if cuts is None else cuts
     by_activity = cuts.groupBy("activity").agg(F.map_from_entries(F.collect_list(F.struct("attr", "cuts"))).alias("_cuts"))
     if cuts.count() <= BROADCAST_CUTS:
         by_activity = F.broadcast(by_activity)
@@ -99,6 +99,7 @@ def activations(
     keep: Sequence[str] = (),
     complete: bool = False,
     hot_rows: int | None = None,
+    cuts: DataFrame | None = None,
 ) -> DataFrame:
     """constraint_id, y, feats (and the log columns in ``keep``) of every decided activation.
 
@@ -106,7 +107,7 @@ def activations(
     they are read.
     """
     rows = verdicts(
-        with_features(log), pairs, templates, keep=["feats", *keep], numbered=True, complete=complete, frozen=True, hot_rows=hot_rows
+        with_features(log, cuts), pairs, templates, keep=["feats", *keep], numbered=True, complete=complete, frozen=True, hot_rows=hot_rows
     )
     decided = rows.filter(F.col("verdict") != PENDING)
     return decided.select("constraint_id", (F.col("verdict") == FULFILLED).alias("y"), "feats", *keep)

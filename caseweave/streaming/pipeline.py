@@ -9,7 +9,10 @@ so a pair that becomes a candidate is counted once over all earlier batches, and
 was one is counted in every batch from then on, whether it is above the threshold or not.
 The attribute tests are derived anew from all traces when an unknown attribute appears and
 each time the number of traces has doubled (twice the work of counting once, in all); then
-the cells are counted anew. ``settle`` does the same at any time: after it the tables equal
+the cells are counted anew. With ``adaptive`` the conditions come from ``streaming.learning``
+instead: trees without a share below which attributes or values are left out, which are
+scored on each batch before they learn it and forget what has drifted; they deliver rules,
+scores and resets, and no numbered results. ``settle`` does the same at any time: after it the tables equal
 those of the batch operators over the same traces.
 """
 
@@ -28,6 +31,7 @@ from caseweave.operators.metrics import CONSTRAINT
 from caseweave.plans.ordered import number_rows
 from caseweave.session import temporary_tables
 from caseweave.streaming.assembly import assembled_traces
+from caseweave.streaming.learning import StreamedTrees
 from caseweave.streaming.tables import Totals, batch_ids, write_batch
 
 @dataclass
@@ -40,6 +44,7 @@ class Discovery:
     window_size: int = 10
     on_results: object = None  # callable(results DataFrame, batch id), e.g. a Kafka sink
     conditions: bool = True  # without: supports, candidates and constraint counts only
+    adaptive: bool = False  # instead of conditions from totals: ``trees`` that learn each batch, score it and forget
 
     def __post_init__(self):
         self.traces_path = f"{self.folder}/traces"
@@ -55,6 +60,7 @@ class Discovery:
             f"{self.folder}/cells", [*CONSTRAINT, "codes"], {"n1": "sum", "n0": "sum", "n_pending": "sum"}
         )
         self.scores = Totals(f"{self.folder}/scores", CONSTRAINT, {"tp": "sum", "fp": "sum", "fn": "sum"})
+        self.trees = StreamedTrees(f"{self.folder}/trees", settings=self.settings)
 
     def start(self, log: DataFrame, checkpoint: str, *, trigger: dict | None = None, **assembly) -> StreamingQuery:
         """Run on a streaming canonical log. ``trigger`` as for ``DataStreamWriter.trigger``."""
@@ -88,7 +94,9 @@ class Discovery:
         self._remember(spark, counted, batch_id)
         if not counted:
             return
-        if not self.conditions:  # counts alone are cells without attributes
+        if self.adaptive:
+            self.trees.process(log, counted, batch_id)
+        if self.adaptive or not self.conditions:  # counts alone are cells without attributes
             delta = learning.cells(log, counted, [])
             if fresh and earlier is not None:
                 delta = delta.unionByName(learning.cells(earlier, fresh, []))
@@ -116,7 +124,7 @@ class Discovery:
     def settle(self, spark: SparkSession) -> None:
         """Derive the tests from all released traces and count and learn anew, as of the last batch."""
         ids = batch_ids(spark, self.traces_path)
-        if not ids:
+        if not ids or self.adaptive or not self.conditions:
             return
         with temporary_tables(spark):
             everything = self._traces_before(spark, ids[-1] + 1)
@@ -218,6 +226,8 @@ class Discovery:
 
     def rules(self, spark: SparkSession) -> DataFrame:
         """The latest condition of every constraint that has one."""
+        if self.adaptive:
+            return self.trees.rules(spark)
         ids = batch_ids(spark, f"{self.folder}/rules")
         return spark.read.parquet(f"{self.folder}/rules/batch_id={ids[-1]}")
 
@@ -233,6 +243,8 @@ class Discovery:
         return model.distinct_model(results.join(full.select("window_id"), "window_id"), ["n"], ["window_id"])
 
     def prequential_f1(self, spark: SparkSession) -> DataFrame | None:
+        if self.adaptive:
+            return self.trees.prequential_f1(spark)
         scores = self.scores.latest(spark)
         if scores is None:
             return None

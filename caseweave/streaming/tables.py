@@ -25,6 +25,14 @@ def batch_ids(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(name.split("=", 1)[1]) for name in names if name.startswith("batch_id="))
 
 
+def drop_batches(spark: SparkSession, path: str, keep: int) -> None:
+    """Delete all but the last ``keep`` batches: of a finished batch only the next one reads anything."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for batch_id in batch_ids(spark, path)[:-keep]:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch_id}"), True)
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int) -> DataFrame:
     """Write one batch's rows, replacing an earlier attempt; returns the written rows."""
     target = f"{path}/batch_id={batch_id}"
