@@ -151,6 +151,21 @@ def pair_context(
     ``complete`` says that every trace of the log is closed, tagged or not. ``frozen`` writes
     the scanned events, before they meet their partners, for operators that read them often.
     """
+    scans = scanned_events(log, pairs, keep=keep, times=times, complete=complete, frozen=frozen, hot_rows=hot_rows)
+    return with_partners(scans, pairs)
+
+
+def scanned_events(
+    log: DataFrame,
+    pairs: Sequence[tuple[str, str]],
+    *,
+    keep: Sequence[str] = (),
+    times: bool = False,
+    complete: bool = False,
+    frozen: bool = False,
+    hot_rows: int | None = None,
+) -> list[tuple[list[str], DataFrame]]:
+    """The first half of ``pair_context``: activities looked for, and one row per event."""
     names = sorted({name for pair in pairs for name in pair})
     columns = list(dict.fromkeys(["case_id", "activity", *ORDER, *keep]))
     source = log.select(*columns)
@@ -163,7 +178,7 @@ def pair_context(
     single_pass = len(names) <= PASS_WIDTH
     pos, at = F.col("pos"), F.struct("pos", *ORDER)
 
-    parts = []
+    scans = []
     for start in range(0, max(len(names), 1), PASS_WIDTH):
         chunk = names[start : start + PASS_WIDTH]
         is_y = [F.col("activity") == y for y in chunk]
@@ -217,7 +232,17 @@ def pair_context(
             ).drop("_nth")
         if frozen:
             context = freeze(context, "context")
-        partners = _partners(log, pairs, {y: i for i, y in enumerate(chunk)})
+        scans.append((chunk, context))
+    return scans
+
+
+def with_partners(scans: Sequence[tuple[list[str], DataFrame]], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """The second half: one row per event and candidate partner."""
+    single_pass = len(scans) == 1
+    parts = []
+    for chunk, context in scans:
+        times = "_after_at" in context.columns
+        partners = _partners(context, pairs, {y: i for i, y in enumerate(chunk)})
         if len(pairs) <= BROADCAST_PAIRS:
             partners = F.broadcast(partners)
         expanded = context.join(partners, "activity").withColumn("_q", F.explode("partners"))
@@ -260,6 +285,16 @@ def _verdict(template: Template) -> Column:
     )
 
 
+def verdict_bits(templates: Sequence[str]) -> Column:
+    """All verdicts of a row of ``pair_context`` in one number: two bits per template, decided and fulfilled."""
+    bits = F.lit(0)
+    for i, name in enumerate(templates):
+        verdict = _verdict(TEMPLATES[name])
+        one = F.when(verdict == FULFILLED, 3 << (2 * i)).when(verdict == VIOLATED, 1 << (2 * i)).otherwise(0)
+        bits = bits + F.when(_applies(TEMPLATES[name]), one).otherwise(0)
+    return bits
+
+
 def _pair_columns(template: Template) -> list[Column]:
     own, other = F.col("activity"), F.col("other")
     first, second = (own, other) if template.activation == "first" else (other, own)

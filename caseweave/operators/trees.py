@@ -1,16 +1,17 @@
 """Decision trees for all constraints at once, grown level by level from counts.
 
-Every activation of a constraint is routed to its node by the splits found so far (a small
-table) and counted in place per (constraint, node, attribute, value or bin): nothing but
-counts is shuffled, and they grow with the values that occur, not with the attributes
-multiplied. No attribute and no value is too rare to be counted.
+The log is read once: events are counted by what they have in common -- partner, verdicts of
+all templates, value or bin of each attribute (``Binned``). Each level routes these counts, not
+the activations, to the nodes by the splits found so far (a small table) and adds them up per
+(constraint, node, attribute, value or bin). No attribute and no value is too rare to be counted.
 
 **Numbers.** A sketch of quantiles per (activity, attribute), merged over the partitions of
 the log, cuts the numbers into bins; activations are counted per bin and class. Between two
 bins the gain is known exactly. Inside a bin a better cut can lie only if one of the two
 corners of its counts -- all of one class first, or all of the other -- promises more, as
 information gain is convex. In those few bins every value is counted. So the cut is the best
-one over all values, and the first of equal ones, whatever the sketch says.
+one over all values, and the first of equal ones, whatever the sketch says. A cut inside a bin
+divides it, and the events are counted again.
 
 **Splits.** A node is split by the attribute with the highest gain if the Hoeffding bound says
 that this beats not splitting and the second best attribute that does so as well (or the
@@ -34,7 +35,16 @@ from pyspark.sql import functions as F
 from caseweave.functions.scalars import as_boolean, as_number, number_text, payload, ratio3
 from caseweave.operators.learning import Settings
 from caseweave.operators.metrics import BROADCAST_RULES, CONSTRAINT
-from caseweave.operators.templates import FULFILLED, PENDING, TEMPLATES, constraint_table, verdicts
+from caseweave.operators.templates import (
+    FULFILLED,
+    PENDING,
+    TEMPLATES,
+    constraint_table,
+    scanned_events,
+    verdict_bits,
+    verdicts,
+    with_partners,
+)
 from caseweave.plans.ordered import running_sums
 from caseweave.session import freeze
 
@@ -51,11 +61,13 @@ WINDOW_ROWS = 1_000_000
 
 @dataclass(frozen=True)
 class Trees:
-    """``nodes``: keys, node, steps, n1, n0, is_leaf. ``splits``: keys, node, attr, num, val, default_left."""
+    """``nodes``: keys, node, steps, n1, n0, is_leaf. ``splits``: keys, node, attr, num, val, default_left.
+    ``rows``: the rows the trees have grown from, in bins that no split divides."""
 
     nodes: DataFrame
     splits: DataFrame
     keys: tuple[str, ...]
+    rows: DataFrame | None = None
 
     def leaves(self) -> DataFrame:
         return self.nodes.filter("is_leaf").drop("is_leaf")
@@ -113,6 +125,98 @@ def activations(
     return decided.select("constraint_id", (F.col("verdict") == FULFILLED).alias("y"), "feats", *keep)
 
 
+class Binned:
+    """The activations of ``activations``, counted: rows constraint_id, feats, n1, n0 (and ``keep``).
+
+    A number stands for all numbers of its bin, as the largest of them. The scanned events are
+    written once, and counted per (partner, verdicts, ``keep``, feats) before constraints are told
+    apart; so the rows grow with what occurs, and there are never more than events times partners.
+    """
+
+    def __init__(self, log: DataFrame, pairs: Sequence[tuple[str, str]], templates: Sequence[str] = tuple(TEMPLATES), *,
+                 keep: Sequence[str] = (), complete: bool = False, hot_rows: int | None = None):
+        self.pairs, self.templates, self.keep = pairs, templates, list(keep)
+        featured = freeze(with_features(log).select("case_id", "activity", "ts", "seq", "feats", *keep, *([] if complete else ["is_end"])), "featured")
+        numbers = featured.select("activity", F.inline("feats")).filter("code IS NOT NULL")
+        ranges = numbers.groupBy("activity", "attr", "code").agg(F.min("num").alias("low"), F.max("num").alias("high"))
+        self.ranges = freeze(ranges, "ranges")
+        self.small = self.ranges.count() <= BROADCAST_CUTS * BINS
+        self.scans = scanned_events(featured, pairs, keep=["feats", *keep], complete=complete, frozen=True, hot_rows=hot_rows)
+
+    def _activities(self) -> DataFrame:
+        """constraint_id and the activity that activates it."""
+        on_first = F.col("template").isin(*[t.name for t in TEMPLATES.values() if t.activation == "first"])
+        names = constraint_table(self.ranges.sparkSession, self.pairs)
+        return names.select("constraint_id", F.when(on_first, F.col("first")).otherwise(F.col("second")).alias("activity"))
+
+    def of_activity(self, df: DataFrame) -> DataFrame:
+        """Rows of ``df`` with the activity of their constraint."""
+        names, few = self._activities(), len(self.pairs) * len(TEMPLATES) <= BROADCAST_RULES
+        return df.join(F.broadcast(names) if few else names, "constraint_id")
+
+    def _beside(self, context: DataFrame, table: DataFrame) -> DataFrame:
+        table = table.withColumnRenamed("activity", "_of")
+        return context.join(F.broadcast(table) if self.small else table, F.col("activity") == F.col("_of"), "left").drop("_of")
+
+    def _verdicts(self, each) -> DataFrame:
+        found = with_partners([(names, each(context)) for names, context in self.scans], self.pairs)
+        return found.withColumn("_bits", verdict_bits(self.templates))
+
+    def _named(self, rows: DataFrame, n: Column, *columns: str) -> DataFrame:
+        """Rows per constraint from rows per partner and verdicts."""
+        seen = []
+        for i, name in enumerate(self.templates):
+            number = F.lit(list(TEMPLATES).index(name) * len(self.pairs)) + F.col(f"pair_as_{TEMPLATES[name].activation}")
+            decided, hit = (F.col("_bits").bitwiseAND(F.lit(1 << (2 * i + k))) != 0 for k in (0, 1))
+            one = F.struct(number.alias("constraint_id"), F.when(hit, n).otherwise(0).alias("n1"), F.when(hit, 0).otherwise(n).alias("n0"))
+            seen.append(F.when(decided, one))
+        found = rows.withColumn("_s", F.explode(F.array(*seen))).filter(F.col("_s").isNotNull())
+        return found.select("_s.*", *columns, *self.keep)
+
+    def rows(self, splits: DataFrame | None = None) -> DataFrame:
+        """The counted activations, with bins divided where a split cuts them."""
+        held = F.struct("high", (F.col("low") < F.col("high")).alias("many"))
+        by_attr = self.ranges.groupBy("activity", "attr").agg(F.map_from_entries(F.collect_list(F.struct("code", held))).alias("m"), F.max("code").alias("top"))
+        bins = F.transform(F.sequence(F.lit(0), F.col("top")), lambda c: F.col("m")[c])
+        table = by_attr.groupBy("activity").agg(F.map_from_entries(F.collect_list(F.struct("attr", bins.alias("bins")))).alias("_bins"))
+        if splits is not None:
+            cuts = self.of_activity(splits.filter("val IS NULL")).groupBy("activity", "attr").agg(F.array_sort(F.collect_set("num")).alias("cuts"))
+            cuts = cuts.groupBy("activity").agg(F.map_from_entries(F.collect_list(F.struct("attr", "cuts"))).alias("_cuts"))
+            table = table.join(cuts, "activity", "left")
+
+        def coarse(f: Column) -> Column:
+            held = F.get(F.col("_bins")[f["attr"]], f["code"])
+            top = held["high"]
+            if splits is not None:
+                top = F.least(top, F.get(F.filter(F.col("_cuts")[f["attr"]], lambda c: c >= f["num"]), F.lit(0)))
+            return F.struct(f["attr"].alias("attr"), F.when(f["code"].isNotNull(), top).alias("num"), f["code"].alias("code"),
+                            f["val"].alias("val"), F.coalesce(held["many"], F.lit(False)).alias("many"))
+
+        def each(context: DataFrame) -> DataFrame:
+            return self._beside(context, table).withColumn("feats", F.transform("feats", coarse)).drop("_bins", "_cuts")
+
+        found = self._verdicts(each).filter("_bits > 0")
+        counted = found.groupBy("pair_as_first", "pair_as_second", "_bits", "feats", *self.keep).agg(F.count("*").alias("_n"))
+        parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return self._named(freeze(counted.repartition(parts), "counted"), F.col("_n"), "feats")
+
+    def inside(self, bins: DataFrame) -> DataFrame:
+        """The activations in the given bins (constraint_id, attr, code), with their own numbers."""
+        wanted = self.of_activity(bins.select("constraint_id", "attr", "code")).groupBy("activity", "attr").agg(F.collect_set("code").alias("codes"))
+        wanted = wanted.groupBy("activity").agg(F.map_from_entries(F.collect_list(F.struct("attr", "codes"))).alias("_wanted"))
+
+        def each(context: DataFrame) -> DataFrame:
+            met = self._beside(context, wanted)
+            return met.filter(F.exists("feats", lambda f: F.array_contains(F.col("_wanted")[f["attr"]], f["code"]))).drop("_wanted")
+
+        return self._named(self._verdicts(each), F.lit(1).cast("long"), "feats")
+
+    def divides(self, splits: DataFrame) -> bool:
+        """Whether a split lies inside a bin."""
+        whole = self.ranges.select("activity", "attr", F.col("high").alias("num"))
+        return bool(self.of_activity(splits.filter("val IS NULL")).join(whole, ["activity", "attr", "num"], "left_anti").head(1))
+
+
 def _entropy(a: Column, b: Column) -> Column:
     def term(x: Column) -> Column:
         return F.when(x > 0, -(x / (a + b)) * F.log2(x / (a + b))).otherwise(F.lit(0.0))
@@ -166,15 +270,24 @@ def _met(rows: DataFrame, trees: DataFrame, versions: Sequence[int] | None, smal
     return rows.join(F.broadcast(trees) if small else trees, met).drop("_cid")
 
 
+def _counts(rows: DataFrame) -> list[Column]:
+    """Rows by class: one each, or as many as they stand for."""
+    if "n1" in rows.columns:
+        return [F.sum("n1").alias("n1"), F.sum("n0").alias("n0")]
+    return [F.count_if("y").alias("n1"), F.count_if(~F.col("y")).alias("n0")]
+
+
 def _cells(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts per keys, node, attribute and value or bin; the row without attribute has the totals."""
-    whole = F.array(F.struct(F.lit(None).cast("string").alias("attr"), F.lit(None).cast("double").alias("num"),
-                             F.lit(None).cast("int").alias("code"), F.lit(None).cast("string").alias("val")))
-    return (
-        rows.select(*keys, "node", "y", F.inline(F.concat("feats", whole)))
-        .groupBy(*keys, "node", "attr", "code", "val")
-        .agg(F.count_if("y").alias("n1"), F.count_if(~F.col("y")).alias("n0"), F.max("num").alias("num"))
-    )
+    fields = rows.schema["feats"].dataType.elementType
+    whole = F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]))
+    here = rows.select(*keys, "node", *_classes(rows), F.inline(F.concat("feats", whole)))
+    many = [F.max("many").alias("many")] if "many" in fields.names else []
+    return here.groupBy(*keys, "node", "attr", "code", "val").agg(*_counts(rows), F.max("num").alias("num"), *many)
+
+
+def _classes(rows: DataFrame) -> list[str]:
+    return ["n1", "n0"] if "n1" in rows.columns else ["y"]
 
 
 def _candidates(cells: DataFrame, keys: Sequence[str], settings: Settings) -> DataFrame:
@@ -193,15 +306,19 @@ def _candidates(cells: DataFrame, keys: Sequence[str], settings: Settings) -> Da
     )
     whole = Window.partitionBy(*here, "attr")  # at most BINS rows
     upto = whole.orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
+    binned = "many" in cells.columns  # numbers stand for their bins: what lies in a bin of several is not known here
+    if binned:
+        nominal = nominal.withColumn("many", F.lit(False))
     numeric = cells.filter("code IS NOT NULL").select(
-        *here, "attr", "code", "num", F.lit(None).cast("string").alias("val"),
+        *here, *(["many"] if binned else []), "attr", "code", "num", F.lit(None).cast("string").alias("val"),
         (F.sum("n1").over(upto) - F.col("n1")).alias("before1"), (F.sum("n0").over(upto) - F.col("n0")).alias("before0"),
         F.sum("n1").over(upto).alias("left1"), F.sum("n0").over(upto).alias("left0"),
         F.sum("n1").over(whole).alias("all1"), F.sum("n0").over(whole).alias("all0"),
     )
     tests = nominal.unionByName(numeric).join(totals, here)
     corner = lambda a, b: _gain(F.col(a), F.col(b), F.col("all1"), F.col("all0"), F.col("total"))
-    inside = F.col("code").isNotNull() & (F.col("left1") + F.col("left0") - F.col("before1") - F.col("before0") > 1)
+    inside = F.col("code").isNotNull() & (F.col("left1") + F.col("left0") - F.col("before1") - F.col("before0") > (0 if binned else 1))
+    inside = inside & F.col("many") if binned else inside
     return tests.select("*", corner("left1", "left0").alias("gain"), F.when(inside, F.greatest(corner("left1", "before0"), corner("before1", "left0"))).alias("promise"))
 
 
@@ -213,11 +330,11 @@ def _valid(settings: Settings) -> Column:
 def _inside(rows: DataFrame, bins: DataFrame, keys: Sequence[str], largest: int, small: bool, settings: Settings) -> DataFrame:
     """Every value of the given bins as a test, with counts and gain."""
     here = [*keys, "node", "attr", "code"]
-    values = rows.select(*keys, "node", "y", F.inline("feats")).filter("code IS NOT NULL")
+    values = rows.select(*keys, "node", *_classes(rows), F.inline("feats")).filter("code IS NOT NULL")
     wanted = bins.select(*here)
     counted = (
         values.join(F.broadcast(wanted) if small else wanted, here, "left_semi").groupBy(*here, "num")
-        .agg(F.count_if("y").alias("n1"), F.count_if(~F.col("y")).alias("n0"))
+        .agg(*_counts(rows))
     )
     if largest <= WINDOW_ROWS:
         upto = Window.partitionBy(*here).orderBy("num").rowsBetween(Window.unboundedPreceding, 0)
@@ -249,8 +366,9 @@ def _chosen(tests: DataFrame, keys: Sequence[str], settings: Settings) -> DataFr
     return split.select(*here, "best.*").withColumn("default_left", F.col("left1") + F.col("left0") >= F.col("all1") - F.col("left1") + F.col("all0") - F.col("left0"))
 
 
-def grow(rows: DataFrame, settings: Settings = Settings(), *, versions: Sequence[int] | None = None, bound: int | None = None) -> Trees:
-    """Trees of all constraints in ``rows`` (constraint_id, y, feats, and batch with ``versions``).
+def grow(source: DataFrame | Binned, settings: Settings = Settings(), *, versions: Sequence[int] | None = None, bound: int | None = None) -> Trees:
+    """Trees of all constraints in ``source``: rows (constraint_id, y, feats, and batch with
+    ``versions``), or the same ``Binned``.
 
     A level costs one pass that counts, one that looks into the bins where a better cut may
     lie, if there are any, and small tables. ``bound`` is the caller's bound on the number of
@@ -258,43 +376,64 @@ def grow(rows: DataFrame, settings: Settings = Settings(), *, versions: Sequence
     """
     keys = ("constraint_id",) if versions is None else ("version", "constraint_id")
     small = bound is not None and bound <= BROADCAST_RULES
+    binned = isinstance(source, Binned)
+    rows = source.rows() if binned else source
     spark = rows.sparkSession
     nodes, splits = None, None
-    for depth in range(settings.max_depth):
-        if depth == 0:
-            here = rows.withColumn("node", F.lit(""))
-            cells = _cells(here, ["batch", "constraint_id"] if versions is not None else keys)
-            if versions is not None:  # counted by batch first, then added up for the versions that know the batch
-                later = F.filter(F.array(*[F.lit(int(v)) for v in versions]), lambda v: v > F.col("batch"))
-                spread = cells.withColumn("version", F.explode(later))
-                cells = spread.groupBy(*keys, "node", "attr", "code", "val").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.max("num").alias("num"))
-                numbers = spark.createDataFrame([(int(v),) for v in versions], "version int")
-                here = here.join(F.broadcast(numbers), F.col("batch") < F.col("version"))
-        else:
+
+    def placed(rows: DataFrame, depth: int) -> DataFrame:
+        """Rows in the nodes of a level."""
+        if depth:
             open_trees = tree_table(splits, keys)
             met = _met(rows, open_trees, versions, small)
-            here = routed(met, open_trees, depth).filter(F.length("node") == depth).drop("tree")
-            cells = _cells(here, keys)
+            return routed(met, open_trees, depth).filter(F.length("node") == depth).drop("tree")
+        here = rows.withColumn("node", F.lit(""))
+        if versions is not None:
+            numbers = spark.createDataFrame([(int(v),) for v in versions], "version int")
+            here = here.join(F.broadcast(numbers), F.col("batch") < F.col("version"))
+        return here
+
+    for depth in range(settings.max_depth):
+        if depth == 0 and versions is not None:  # counted by batch first, then added up for the versions that know the batch
+            cells = _cells(rows.withColumn("node", F.lit("")), ["batch", "constraint_id"])
+            later = F.filter(F.array(*[F.lit(int(v)) for v in versions]), lambda v: v > F.col("batch"))
+            spread = cells.withColumn("version", F.explode(later))
+            many = [F.max("many").alias("many")] if binned else []
+            cells = spread.groupBy(*keys, "node", "attr", "code", "val").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.max("num").alias("num"), *many)
+        else:
+            cells = _cells(placed(rows, depth), keys)
         cells = freeze(cells, "cells")
         if nodes is None:
             nodes = cells.filter("attr IS NULL").select(*keys, "node", F.array().cast(STEPS).alias("steps"), "n1", "n0", F.lit(True).alias("is_leaf"))
         tests = freeze(_candidates(cells, keys, settings), "tests")
         best = tests.filter(_valid(settings)).groupBy(*keys, "node", "attr").agg(F.max("gain").alias("found"))
-        alive = F.col("promise") >= F.greatest(F.coalesce("found", F.lit(0.0)), _bound(F.col("total"), settings))
-        bins = freeze(tests.join(best, [*keys, "node", "attr"], "left").filter(alive), "bins")
+        # Below tau the second best attribute does not count: what matters must beat the best of all.
+        top = best.groupBy(*keys, "node").agg(F.max("found").alias("top"))
+        bound_here = _bound(F.col("total"), settings)
+        beaten = F.when(bound_here < settings.tau, F.col("top")).otherwise(F.col("found"))
+        alive = F.col("promise") >= F.greatest(F.coalesce(beaten, F.lit(0.0)), bound_here)
+        bins = freeze(tests.join(best, [*keys, "node", "attr"], "left").join(top, [*keys, "node"], "left").filter(alive), "bins")
         size = bins.agg(F.count("*").alias("n"), F.max(F.col("left1") + F.col("left0") - F.col("before1") - F.col("before0")).alias("largest")).head()
         kept = [*keys, "node", "attr", "num", "val", "left1", "left0", "all1", "all0", "t1", "t0", "total", "gain"]
-        tests = tests.select(*kept)
+        few = size.n <= BROADCAST_RULES
         if size.n:
-            tests = tests.unionByName(_inside(here, bins, keys, size.largest, size.n <= BROADCAST_RULES, settings).select(*kept))
+            # All values of these bins are tested, the last one too.
+            others = tests.join(F.broadcast(bins.select(*keys, "node", "attr", "code")) if few else bins.select(*keys, "node", "attr", "code"),
+                                [*keys, "node", "attr", "code"], "left_anti")
+            here = placed(source.inside(bins) if binned else rows, depth)
+            tests = others.select(*kept).unionByName(_inside(here, bins, keys, size.largest, few, settings).select(*kept))
+        else:
+            tests = tests.select(*kept)
         found = freeze(_chosen(tests, keys, settings), "splits")
         if not found.head(1):
             break
         splits = found if splits is None else splits.unionByName(found)
         nodes = freeze(_divided(nodes, found, keys), "nodes")
+        if binned and (versions is not None or depth + 1 < settings.max_depth) and source.divides(found):
+            rows = source.rows(splits)
     if splits is None:
         splits = found
-    return Trees(nodes, splits, keys)
+    return Trees(nodes, splits, keys, rows)
 
 
 def _divided(nodes: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -369,15 +508,15 @@ def prequential_scores(
 
     ``batch`` numbers the batches of the log; ``batches`` lists the numbers.
     """
-    rows = activations(log.withColumn("batch", batch.cast("int")), pairs, templates, keep=["batch"], complete=complete, hot_rows=hot_rows)
+    rows = Binned(log.withColumn("batch", batch.cast("int")), pairs, templates, keep=["batch"], complete=complete, hot_rows=hot_rows)
     bound = len(pairs) * len(templates) * len(batches) << settings.max_depth
     trees = grow(rows, settings, versions=sorted(batches), bound=bound)
-    scored = predicted(rows, trees, small=bound <= BROADCAST_RULES)
+    scored = predicted(trees.rows, trees, small=bound <= BROADCAST_RULES)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     counted = scored.groupBy("constraint_id").agg(
-        F.count_if(F.col("y") & F.col("predicted")).alias("tp"),
-        F.count_if(~F.col("y") & F.col("predicted")).alias("fp"),
-        F.count_if(F.col("y") & ~F.col("predicted")).alias("fn"),
+        F.sum(F.when(F.col("predicted"), F.col("n1")).otherwise(0)).alias("tp"),
+        F.sum(F.when(F.col("predicted"), F.col("n0")).otherwise(0)).alias("fp"),
+        F.sum(F.when(F.col("predicted"), 0).otherwise(F.col("n1"))).alias("fn"),
     )
     return named(counted, pairs).withColumn("f1", ratio3(2 * tp, 2 * tp + fp + fn))
 
@@ -392,6 +531,6 @@ def learn(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """template, first, second, node, steps, n1, n0 of all leaves of all constraints."""
-    rows = activations(log, pairs, templates, complete=complete, hot_rows=hot_rows)
+    rows = Binned(log, pairs, templates, complete=complete, hot_rows=hot_rows)
     trees = grow(rows, settings, bound=len(pairs) * len(templates))
     return named(trees.leaves(), pairs)

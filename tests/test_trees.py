@@ -165,3 +165,22 @@ def test_scores_of_learnt_trees_beat_the_majority(make_log):
 def test_empty_log(make_log):
     assert trees.learn(make_log({}), [("a", "b")]).count() == 0
     assert trees.learn(make_log({"c": "ab"}), [("a", "b")]).count() == 7
+
+
+def _binned_log(make_log, copies=1):
+    value = lambda case, i, activity: {"x": str(int(case[1:]) % 331 * 7 % 331)}
+    return make_log({f"c{n}": "ab" if n % 331 * 7 % 331 <= 143 else "ac" for n in range(331 * copies)}, attrs=value)
+
+
+def test_counted_activations_do_not_grow_with_copies(make_log):
+    few, many = (trees.Binned(_binned_log(make_log, k), [("a", "b")], RESPONSE, complete=True).rows() for k in (1, 4))
+    assert many.count() == few.count() <= 2 * trees.BINS + 2
+    assert many.agg(F.sum(F.col("n1") + F.col("n0"))).head()[0] == 4 * 331
+
+
+def test_a_cut_inside_a_bin_divides_it(make_log):
+    source = trees.Binned(_binned_log(make_log), [("a", "b")], RESPONSE, complete=True)
+    grown = trees.grow(source)
+    assert [r.num for r in grown.splits.collect()] == [143.0]
+    wrong = trees.predicted(source.rows(grown.splits), grown).agg(F.sum(F.when(F.col("predicted"), F.col("n0")).otherwise(F.col("n1")))).head()[0]
+    assert wrong == 0
