@@ -511,11 +511,12 @@ def streamed_lossy_events(spark, sf):
 
 def drift_windows(spark, sf):
     """Adaptive windows over the yearly errors of the learnt trees, per constraint."""
-    rows = trees.activations(_placed_orders(spark, sf).withColumn("batch", F.year("ts")), _order_pairs(spark, sf), keep=["batch"], complete=True)
     pairs = _order_pairs(spark, sf)
+    rows = trees.Binned(_placed_orders(spark, sf).withColumn("batch", F.year("ts")), pairs, keep=["batch"], complete=True)
     grown = trees.grow(rows, versions=ORDER_YEARS, bound=len(pairs) * 7 * len(ORDER_YEARS))
-    wrong = (F.col("y") != F.col("predicted")).cast("long")
-    errors = trees.predicted(rows, grown, small=True).groupBy("constraint_id", "batch").agg(F.count("*").alias("n"), F.sum(wrong).alias("errors"))
+    wrong = F.when(F.col("predicted"), F.col("n0")).otherwise(F.col("n1"))
+    scored = trees.predicted(grown.rows, grown, small=True)
+    errors = scored.groupBy("constraint_id", "batch").agg(F.sum(F.col("n1") + F.col("n0")).alias("n"), F.sum(wrong).alias("errors"))
     return trees.named(drift.error_windows(errors, ["constraint_id"], DRIFT_DELTA), pairs)
 
 
