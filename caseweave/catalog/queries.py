@@ -279,11 +279,9 @@ def data_aware_ratios(spark, sf):
 
 
 def _replay_inputs(spark, sf):
-    """Activations of all templates and negations, and for each constraint a sequence of rules
-    with changing conditions: one of them comes into force every four months."""
+    """The candidate pairs, and for each constraint and negation a sequence of rules with
+    changing conditions: one of them comes into force every four months."""
     pairs = _order_pairs(spark, sf)
-    log = orders_log(spark, sf).withColumn("attrs", typed_attributes(F.col("attrs")))
-    decided = templates.negate_verdicts(templates.verdicts(log, pairs, keep=["attrs"], times=True, complete=True))
     years = F.array(*[F.lit(y) for y in REPLAY_YEARS])
     month = F.create_map(*[F.lit(x) for k, (label, _) in enumerate(ORDER_CONDITIONS) for x in (label, 1 + 4 * k)])
     rules = (
@@ -293,18 +291,18 @@ def _replay_inputs(spark, sf):
         .withColumn("rule_seq", (F.col("y") * 12 + F.col("m")).cast("long"))
         .drop("y", "m")
     )
-    return decided, rules, len(pairs) * 14 * len(ORDER_CONDITIONS) * len(REPLAY_YEARS)
+    return pairs, rules, len(pairs) * 14 * len(ORDER_CONDITIONS) * len(REPLAY_YEARS)
 
 
 def rule_replay(spark, sf):
-    decided, rules, bound = _replay_inputs(spark, sf)
-    out = metrics.replay_rules(decided, rules, max_rules=bound)
+    pairs, rules, bound = _replay_inputs(spark, sf)
+    out = metrics.replay_log(orders_log(spark, sf), pairs, rules, max_rules=bound, complete=True)
     return out.withColumn("valid_from", F.col("valid_from").cast("timestamp_ntz"))
 
 
 def rule_replay_separate(spark, sf):
-    decided, rules, bound = _replay_inputs(spark, sf)
-    out = metrics.replay_rules(decided, rules, cumulative=False, max_rules=bound)
+    pairs, rules, bound = _replay_inputs(spark, sf)
+    out = metrics.replay_log(orders_log(spark, sf), pairs, rules, cumulative=False, max_rules=bound, complete=True)
     return out.withColumn("valid_from", F.col("valid_from").cast("timestamp_ntz"))
 
 
@@ -321,16 +319,9 @@ def prequential_f1(spark, sf):
 
 def condition_f1(spark, sf):
     """Fulfilment predicted by a condition alone, for every condition, template and negation."""
-    holds = F.array(*[
-        F.struct(F.lit(label).alias("label"), typed_condition_holds(F.col("attrs"), typed_conjuncts(_conjuncts(tests))).alias("predicted"))
-        for label, tests in ORDER_CONDITIONS
-    ])
-    log = orders_log(spark, sf).withColumn("attrs", typed_attributes(F.col("attrs"))).withColumn("held", holds)
-    rows = templates.negate_verdicts(templates.verdicts(log, _order_pairs(spark, sf), keep=["held"], complete=True))
-    scored = rows.select("template", "first", "second", "verdict", F.inline("held"))
-    return metrics.f1_scores(
-        scored, ["template", "first", "second", "label"], F.col("verdict") == templates.FULFILLED, F.col("predicted")
-    )
+    holds = {label: typed_condition_holds(F.col("attrs"), typed_conjuncts(_conjuncts(tests))) for label, tests in ORDER_CONDITIONS}
+    log = orders_log(spark, sf).withColumn("attrs", typed_attributes(F.col("attrs")))
+    return metrics.condition_f1(log, _order_pairs(spark, sf), holds, complete=True)
 
 
 def _order_tests():

@@ -3,7 +3,7 @@ import statistics as st
 import pytest
 from pyspark.sql import functions as F
 
-from caseweave.operators import metrics, model, report, statistics
+from caseweave.operators import metrics, model, report, statistics, templates
 
 SCHEMA = "constraint string, run long, condition string, n_activations long, ratio double, n_activations_data long, ratio_data double"
 ROWS = [
@@ -83,3 +83,21 @@ def test_rule_replay(spark, bound):
     apart = [(r.rule_seq, r.n_activations_data, r.n_fulfilled_data) for r in
              metrics.replay_rules(acts, rules, cumulative=False, max_rules=bound).orderBy("rule_seq").collect()]
     assert apart == [(1, 1, 0), (2, 1, 1)]
+
+
+def test_replay_of_a_log_counts_before_rules_meet_it(spark, make_log, monkeypatch):
+    log = make_log({f"c{n}": "abab"[: 1 + n % 4] + "ba"[: n % 3] for n in range(40)}, attrs=lambda c, i, a: {"x": str(int(c[1:]) % 7 + i)} if i % 5 else {})
+    first = 1_700_000_000
+    rules = spark.createDataFrame(
+        [(t, "a", "b", [("x", op, v)], first + s, n) for t in ("Response", "Not Response", "Precedence", "Not Chain Precedence")
+         for n, (op, v, s) in enumerate([(">", "3", -5), ("<=", "4", 20), ("==", "5", 20), (">", "2", 70 + len(t)), ("<=", "6", 500)])],
+        "template string, first string, second string, conjuncts array<struct<attr:string,op:string,value:string>>, t long, rule_seq long",
+    ).withColumn("valid_from", F.timestamp_seconds("t")).drop("t")
+    acts = templates.negate_verdicts(templates.verdicts(log, [("a", "b")], keep=["attrs"], times=True, complete=True))
+    got = lambda df: sorted(map(tuple, df.collect()))
+    for cumulative in (True, False):
+        want = got(metrics.replay_rules(acts, rules, cumulative=cumulative, max_rules=100))
+        assert got(metrics.replay_log(log, [("a", "b")], rules, cumulative=cumulative, max_rules=100, complete=True)) == want
+    assert sum(r[-3] for r in want) > 100
+    monkeypatch.setattr(metrics, "COUNTED_TIMES", 2)  # too many times to count between
+    assert got(metrics.replay_log(log, [("a", "b")], rules, cumulative=False, max_rules=100, complete=True)) == want
