@@ -101,3 +101,13 @@ def test_replay_of_a_log_counts_before_rules_meet_it(spark, make_log, monkeypatc
     assert sum(r[-3] for r in want) > 100
     monkeypatch.setattr(metrics, "COUNTED_TIMES", 2)  # too many times to count between
     assert got(metrics.replay_log(log, [("a", "b")], rules, cumulative=False, max_rules=100, complete=True)) == want
+
+
+def test_condition_scores_count_activations_first(make_log):
+    log = make_log({f"c{n}": "abab"[: 1 + n % 4] + "ba"[: n % 3] for n in range(40)}, attrs=lambda c, i, a: {"x": str(int(c[1:]) % 7)})
+    says = {"high": F.col("attrs")["x"].cast("int") > 3, "odd": F.col("attrs")["x"].cast("int") % 2 == 1}
+    got = metrics.condition_f1(log, [("a", "b")], says, complete=True)
+    rows = log.withColumn("held", F.array(*[F.struct(F.lit(k).alias("label"), v.alias("says")) for k, v in says.items()]))
+    rows = templates.negate_verdicts(templates.verdicts(rows, [("a", "b")], keep=["held"], complete=True)).select("template", "first", "second", "verdict", F.inline("held"))
+    want = metrics.f1_scores(rows, ["template", "first", "second", "label"], F.col("verdict") == "fulfilled", F.col("says"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 28
