@@ -21,7 +21,7 @@ from caseweave.operators.templates import (
     verdicts,
     with_negations,
 )
-from caseweave.plans.ordered import running_sums
+from caseweave.plans.ordered import TASK_ROWS, running_sums, tasks_for, timed_sums
 
 CONSTRAINT = ("template", "first", "second")
 
@@ -76,16 +76,22 @@ def running_ratios(
     """Each decided activation with count and ratio of its constraint at that moment.
 
     There are few constraints and many activations, so a window per constraint would be a few
-    giant tasks; the running sums are blocked instead.
+    giant tasks; the windows are those of stretches of time instead.
     """
+    # An event becomes many activations, so tasks of a good size for events are too large for these.
+    names = {name for pair in pairs for name in pair}
+    expected = log.count() * len(templates) * len(pairs) // max(len(names), 1)
+    dealt = log.repartition(tasks_for(log, expected), "case_id") if expected > TASK_ROWS else log
     decided = verdicts(
-        log, pairs, templates, times=True, numbered=True, complete=complete, hot_rows=hot_rows
+        dealt, pairs, templates, times=True, numbered=True, complete=complete, hot_rows=hot_rows
     ).filter(F.col("verdict") != PENDING)
-    running = running_sums(
+    running = timed_sums(
         decided.withColumn("_hit", F.col("verdict") == FULFILLED).drop("verdict"),
         ["constraint_id"],
         ["resolved_ts", "resolved_seq", "ts", "seq", "case_id"],
         {"n_activations": F.lit(1), "n_fulfilled": F.col("_hit").cast("long")},
+        log.select("ts"),
+        hot_rows,
     )
     names = constraint_table(log.sparkSession, pairs)
     named = running.join(F.broadcast(names) if len(pairs) * len(TEMPLATES) <= BROADCAST_RULES else names, "constraint_id")

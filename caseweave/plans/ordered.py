@@ -22,6 +22,13 @@ SLOT = "_slot"
 #: A group with more rows than this is processed in blocks.
 HOT_GROUP_ROWS = 1_000_000
 
+#: Times a stretch of ``timed_sums`` has on average, how many stretches there may be, and how many
+#: sums of keys and stretches are broadcast.
+STRETCH_ROWS, MOST_STRETCHES, BROADCAST_STRETCHES = 20_000, 4096, 500_000
+
+#: Rows a task can sort or write out without spilling.
+TASK_ROWS = 1_500_000
+
 _SLOT_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 _AGGREGATE = {"max": F.max, "min": F.min, "sum": F.sum}
@@ -107,6 +114,47 @@ def running_sums(
     )
 
 
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """Tasks of at most about ``TASK_ROWS`` rows, and no fewer than the session's partitions."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def timed_sums(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column], times: DataFrame, hot_rows: int | None = None
+) -> DataFrame:
+    """``running_sums`` where ``order`` begins with a timestamp: one shuffle of the rows.
+
+    The time between the first and the last of ``times`` (one timestamp column) is cut into
+    stretches of equal length, about one per ``STRETCH_ROWS`` times. Sums per key and stretch are
+    counted in place and carried on; windows run inside the stretches. As the stretch of a row
+    depends on nothing but the row, no row needs to be written. If a stretch of a key has more
+    than ``hot_rows`` rows, blocks are taken instead.
+    """
+    limit = HOT_GROUP_ROWS if hot_rows is None else hot_rows
+    (time,) = times.columns
+    span = times.agg(F.min(F.unix_micros(time)).alias("low"), F.max(F.unix_micros(time)).alias("high"), F.count("*").alias("n")).head()
+    if span.low is None:
+        return running_sums(df, keys, order, sums)
+    parts = max(1, min(MOST_STRETCHES, span.n // STRETCH_ROWS))
+    width = -(-(span.high - span.low + 1) // parts)
+    # NULL comes first, as in the order; times outside the span belong to the stretches at its ends.
+    place = F.floor((F.unix_micros(order[0]) - F.lit(span.low)) / F.lit(width)).cast("int")
+    rows = df.withColumn(SLOT, F.coalesce(F.least(F.greatest(place, F.lit(0)), F.lit(parts - 1)), F.lit(-1)))
+    here = [*keys, SLOT]
+    totals = freeze(rows.groupBy(*here).agg(F.count("*").alias("_rows"), *[F.sum(v).alias(f"_b_{name}") for name, v in sums.items()]), "stretches")
+    most, found, size = totals.agg(F.max("_rows"), F.count("*"), F.sum("_rows")).head()
+    if (most or 0) > limit:
+        return running_sums(df, keys, order, sums)
+    if size and size > TASK_ROWS:  # tasks that sort in memory, whatever the session's number of partitions
+        rows = rows.repartition(tasks_for(rows, size), *here)
+    earlier = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*here, *[F.coalesce(F.sum(f"_b_{name}").over(earlier), F.lit(0)).alias(f"_c_{name}") for name in sums])
+    inside = Window.partitionBy(*here).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.select(*df.columns, SLOT, *[F.sum(v).over(inside).alias(f"_l_{name}") for name, v in sums.items()])
+    joined = _join_null_safe(local, F.broadcast(carried) if found <= BROADCAST_STRETCHES else carried, here)
+    return joined.select(*df.columns, *[(F.col(f"_l_{name}") + F.col(f"_c_{name}")).alias(name) for name in sums])
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
     """The keys with more than ``limit`` rows, or None. At most rows/limit of them exist."""
     hot = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > limit).select(*keys)

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from caseweave.plans import ordered
 from caseweave.plans.ordered import keyed_scan, number_rows, running_sums
 
 
@@ -61,3 +62,18 @@ def test_keyed_scan(rows, hot_rows):
                 vs[i + 1] if i + 1 < len(vs) else None,
             ))
     assert {(r.o, r.pos, r.mx, r.sm, r.mn, r.rest, r.pv, r.nv) for r in got} == want
+
+
+def test_running_sums_in_stretches_of_time(spark, monkeypatch):
+    draw = random.Random(5)
+    rows = [(draw.choice("ab") if n % 9 else None, None if n % 50 == 0 else draw.randrange(300) ** 2, n, draw.randrange(5)) for n in range(600)]
+    df = spark.createDataFrame(rows, "k string, t long, n long, v long").withColumn("ts", F.timestamp_seconds("t"))
+    args = (df, ["k"], ["ts", "n"], {"s": F.col("v"), "c": F.lit(1)})
+    want = sorted(map(str, ordered.running_sums(*args).collect()))
+    monkeypatch.setattr(ordered, "STRETCH_ROWS", 20)
+    times = df.filter("t > 1000").select("ts")  # rows before the first stretch
+    assert sorted(map(str, ordered.timed_sums(*args, times).collect())) == want
+    assert sorted(map(str, ordered.timed_sums(*args, times, hot_rows=10).collect())) == want  # blocks
+    for limit, written in ((None, False), (10, True)):  # rows are ranged and written for blocks only
+        files = ordered.timed_sums(*args, times, hot_rows=limit).inputFiles()
+        assert any("blocks-" in f for f in files) == written
