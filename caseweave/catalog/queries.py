@@ -482,14 +482,23 @@ def streamed_statistics(spark, sf):
     return job.activity_statistics(spark)
 
 
+#: Rows of a file that is delivered, where a part needs more than one.
+DELIVERED_ROWS = 250_000
+
+
 def _delivered(spark, log: DataFrame, parts: int) -> DataFrame:
-    """The log as a stream: ``parts`` files in time order that arrive one by one."""
+    """The log as a stream: ``parts`` parts in time order that arrive one by one, each of the same number of files.
+
+    Rows are dealt in turn, so no file of a part stays empty."""
     folder = scratch_path(spark, "delivered")
     numbered = freeze(number_rows(log, ["ts", "seq", "case_id"], "_n"), "numbered")
     size = -(-numbered.count() // parts)
+    files = max(1, size // DELIVERED_ROWS)
     for part in range(parts):
-        numbered.filter(F.floor((F.col("_n") - 1) / size) == part).drop("_n").coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        rows = numbered.filter(F.floor((F.col("_n") - 1) / size) == part).drop("_n")
+        dealt = rows.coalesce(1) if files == 1 else rows.repartition(files)
+        dealt.write.mode("append").parquet(folder)
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def streamed_lossy_events(spark, sf):

@@ -1,11 +1,14 @@
 """What holds as of an event: candidates, sampling over batches, rules in force."""
 
 import math
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from caseweave import session
+from caseweave.catalog import queries
 from caseweave.operators import candidates, metrics, sampling
 from caseweave.streaming.sampling import LossySampling
 
@@ -110,3 +113,15 @@ def test_ten_thousand_rules_per_constraint(spark):
             n, hits = want.get(k, (0, 0))
             want[k] = (n + 1, hits + (verdict == "fulfilled"))
     assert found[10_000] == found[None] == {(k, *v) for k, v in want.items()}
+
+
+def test_parts_are_delivered_in_several_files(spark, make_log, monkeypatch):
+    monkeypatch.setattr(queries, "DELIVERED_ROWS", 20)
+    log = make_log({f"c{n}": "abcab" for n in range(80)})
+    stream = queries._delivered(spark, log, 4)
+    seen = []
+    stream.writeStream.foreachBatch(lambda df, _: seen.append(sorted(r.seq for r in df.collect()))).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [list(range(k, k + 100)) for k in (0, 100, 200, 300)]
+    folder = [f for f in os.listdir(session.shared_dir(spark).removeprefix("file:") + "/caseweave") if f.startswith("delivered-")]
+    counts = [len([n for n in os.listdir(f"{session.shared_dir(spark).removeprefix('file:')}/caseweave/{f}") if n.endswith(".parquet")]) for f in folder]
+    assert 20 in counts  # four parts of five files
