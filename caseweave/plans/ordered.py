@@ -119,27 +119,38 @@ def tasks_for(df: DataFrame, rows: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
 
 
-def timed_sums(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column], times: DataFrame, hot_rows: int | None = None
-) -> DataFrame:
-    """``running_sums`` where ``order`` begins with a timestamp: one shuffle of the rows.
+def stretch_of(times: DataFrame, at: str, parts: int | None = None) -> Column | None:
+    """The number of the stretch that the timestamp ``at`` lies in, or None without any times.
 
     The time between the first and the last of ``times`` (one timestamp column) is cut into
-    stretches of equal length, about one per ``STRETCH_ROWS`` times. Sums per key and stretch are
-    counted in place and carried on; windows run inside the stretches. As the stretch of a row
-    depends on nothing but the row, no row needs to be written. If a stretch of a key has more
-    than ``hot_rows`` rows, blocks are taken instead.
+    ``parts`` stretches of equal length, by default about one per ``STRETCH_ROWS`` times.
     """
-    limit = HOT_GROUP_ROWS if hot_rows is None else hot_rows
     (time,) = times.columns
     span = times.agg(F.min(F.unix_micros(time)).alias("low"), F.max(F.unix_micros(time)).alias("high"), F.count("*").alias("n")).head()
     if span.low is None:
-        return running_sums(df, keys, order, sums)
-    parts = max(1, min(MOST_STRETCHES, span.n // STRETCH_ROWS))
+        return None
+    parts = parts or max(1, min(MOST_STRETCHES, span.n // STRETCH_ROWS))
     width = -(-(span.high - span.low + 1) // parts)
     # NULL comes first, as in the order; times outside the span belong to the stretches at its ends.
-    place = F.floor((F.unix_micros(order[0]) - F.lit(span.low)) / F.lit(width)).cast("int")
-    rows = df.withColumn(SLOT, F.coalesce(F.least(F.greatest(place, F.lit(0)), F.lit(parts - 1)), F.lit(-1)))
+    place = F.floor((F.unix_micros(at) - F.lit(span.low)) / F.lit(width)).cast("int")
+    return F.coalesce(F.least(F.greatest(place, F.lit(0)), F.lit(parts - 1)), F.lit(-1))
+
+
+def timed_sums(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column], times: DataFrame, hot_rows: int | None = None
+) -> DataFrame:
+    """``running_sums`` where ``order`` begins with a timestamp: one shuffle of the rows.
+
+    Time is cut into stretches (``stretch_of``). Sums per key and stretch are counted in place and
+    carried on; windows run inside the stretches. As the stretch of a row depends on nothing but
+    the row, no row needs to be written. If a stretch of a key has more than ``hot_rows`` rows,
+    blocks are taken instead.
+    """
+    limit = HOT_GROUP_ROWS if hot_rows is None else hot_rows
+    place = stretch_of(times, order[0])
+    if place is None:
+        return running_sums(df, keys, order, sums)
+    rows = df.withColumn(SLOT, place)
     here = [*keys, SLOT]
     totals = freeze(rows.groupBy(*here).agg(F.count("*").alias("_rows"), *[F.sum(v).alias(f"_b_{name}") for name, v in sums.items()]), "stretches")
     most, found, size = totals.agg(F.max("_rows"), F.count("*"), F.sum("_rows")).head()

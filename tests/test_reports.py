@@ -1,4 +1,6 @@
+import random
 import statistics as st
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +113,56 @@ def test_condition_scores_count_activations_first(make_log):
     rows = templates.negate_verdicts(templates.verdicts(rows, [("a", "b")], keep=["held"], complete=True)).select("template", "first", "second", "verdict", F.inline("held"))
     want = metrics.f1_scores(rows, ["template", "first", "second", "label"], F.col("verdict") == "fulfilled", F.col("says"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 28
+
+
+def interleaved(make_log, seed, copies=1):
+    """Cases whose events are mixed in time, with ties of time; copies have their own cases."""
+    draw = random.Random(seed)
+    log = make_log({f"c{i}": [draw.choice("abc") for _ in range(draw.randint(1, 9))] for i in range(60)})
+    log = log.withColumn("ts", F.timestamp_seconds(1_600_000_000 + F.pmod(F.xxhash64("case_id", "seq"), F.lit(400)) * 100))
+    many = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
+    return log.withColumn("k", many).withColumn("case_id", F.concat("case_id", F.lit("-"), "k")).withColumn("seq", F.col("seq") * copies + F.col("k")).drop("k")
+
+
+def by_hand(log, pairs, complete):
+    """The majority so far, one activation after the other."""
+    rows = templates.verdicts(log, pairs, times=True, complete=complete).filter("verdict <> 'pending'").collect()
+    counts, leads = {}, Counter()
+    for r in sorted(rows, key=lambda r: (r.resolved_ts is not None, r.resolved_ts, r.resolved_seq, r.ts, r.seq, r.case_id)):
+        key, hit = (r.template, r.first, r.second), r.verdict == "fulfilled"
+        counts.setdefault(key, Counter())[("tp" if hit else "fp") if leads[key] > 0 else ("fn" if hit else "tn")] += 1
+        leads[key] += 1 if hit else -1
+    return sorted((*key, c["tp"], c["fp"], c["fn"]) for key, c in counts.items())
+
+
+@pytest.mark.parametrize("seed,stretches,hot_rows,complete", [(1, 512, None, True), (2, 40, None, False), (3, 7, None, True), (4, 3, 20, True), (5, 1, None, True), (6, 5, 1, False)])
+def test_majority_scores_equal_a_replay(make_log, monkeypatch, seed, stretches, hot_rows, complete):
+    monkeypatch.setattr(metrics, "MAJORITY_STRETCHES", stretches)
+    log = interleaved(make_log, seed)
+    pairs = [("a", "b"), ("b", "a"), ("a", "c"), ("c", "b")]
+    got = metrics.majority_f1(log, pairs, complete=complete, hot_rows=hot_rows).collect()
+    want = by_hand(log, pairs, complete)
+    assert sorted((r.template, r.first, r.second, r.tp, r.fp, r.fn) for r in got) == want
+    assert sum(r.tp for r in got) and sum(r.fp for r in got) and sum(r.fn for r in got)
+    for r in got:
+        assert r.f1 == round(2 * r.tp / (2 * r.tp + r.fp + r.fn), 3) if r.tp + r.fp + r.fn else r.f1 == 0
+
+
+def test_majority_puts_only_contested_activations_in_order(make_log):
+    log, pairs = interleaved(make_log, 7, copies=20), [("a", "b"), ("b", "a"), ("a", "c"), ("c", "b")]
+    settled, contested = metrics._by_majority(log, pairs, tuple(templates.TEMPLATES), True, None)
+    n = templates.verdicts(log, pairs, complete=True).count()
+    assert 0 < contested.count() < n / 10
+    got = metrics.majority_f1(log, pairs, complete=True).drop("f1").collect()
+    assert sorted(map(tuple, got)) == by_hand(log, pairs, True)
+
+
+def test_majority_of_odd_logs(make_log):
+    log = make_log({"x": "abab", "y": "ba"})
+    assert metrics.majority_f1(make_log({}), [("a", "b")], complete=True).count() == 0
+    assert metrics.majority_f1(log, [("x", "y")], complete=True).count() == 0
+    same = log.withColumn("ts", F.to_timestamp(F.lit("2000-01-01")))  # one moment
+    assert sorted(map(tuple, metrics.majority_f1(same, [("a", "b")], complete=True).drop("f1").collect())) == by_hand(same, [("a", "b")], True)
+    never = log.withColumn("ts", F.lit(None).cast("timestamp"))
+    scores = metrics.majority_f1(never, [("a", "b")], complete=True)
+    assert scores.count() == 7 and scores.schema == metrics.majority_f1(log, [("a", "b")], complete=True).schema
