@@ -157,7 +157,10 @@ def timed_sums(
     if (most or 0) > limit:
         return running_sums(df, keys, order, sums)
     if size and size > TASK_ROWS:  # tasks that sort in memory, whatever the session's number of partitions
-        rows = rows.repartition(tasks_for(rows, size), *here)
+        # Rows made from one event mostly share its stretch. Dealt by that alone they stay side by
+        # side and compress well; but then a stretch of all keys has to fit a task.
+        widest = totals.groupBy(SLOT).agg(F.sum("_rows").alias("n")).agg(F.max("n")).head()[0]
+        rows = rows.repartition(tasks_for(rows, size), *([SLOT] if widest <= TASK_ROWS else here))
     earlier = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*here, *[F.coalesce(F.sum(f"_b_{name}").over(earlier), F.lit(0)).alias(f"_c_{name}") for name in sums])
     inside = Window.partitionBy(*here).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -77,3 +77,18 @@ def test_running_sums_in_stretches_of_time(spark, monkeypatch):
     for limit, written in ((None, False), (10, True)):  # rows are ranged and written for blocks only
         files = ordered.timed_sums(*args, times, hot_rows=limit).inputFiles()
         assert any("blocks-" in f for f in files) == written
+
+
+def test_stretches_are_dealt_whole_while_they_fit_a_task(spark, monkeypatch):
+    """Dealt by time alone, rows of one event stay together; a wide stretch is dealt by key as well."""
+    draw = random.Random(6)
+    rows = [(draw.choice("abc"), draw.randrange(3000), n, draw.randrange(5)) for n in range(600)]
+    df = spark.createDataFrame(rows, "k string, t long, n long, v long").withColumn("ts", F.timestamp_seconds("t"))
+    args = (df, ["k"], ["ts", "n"], {"s": F.col("v"), "c": F.lit(1)})
+    want = sorted(map(str, ordered.running_sums(*args).collect()))
+    monkeypatch.setattr(ordered, "STRETCH_ROWS", 20)
+    for task_rows, dealt in ((200, "[_slot#"), (10, "[k#")):
+        monkeypatch.setattr(ordered, "TASK_ROWS", task_rows)
+        got = ordered.timed_sums(*args, df.select("ts"))
+        assert f"RepartitionByExpression {dealt}" in got._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(str, got.collect())) == want
