@@ -289,9 +289,10 @@ def verdict_bits(templates: Sequence[str]) -> Column:
     """All verdicts of a row of ``pair_context`` in one number: two bits per template, decided and fulfilled."""
     bits = F.lit(0)
     for i, name in enumerate(templates):
-        verdict = _verdict(TEMPLATES[name])
-        one = F.when(verdict == FULFILLED, 3 << (2 * i)).when(verdict == VIOLATED, 1 << (2 * i)).otherwise(0)
-        bits = bits + F.when(_applies(TEMPLATES[name]), one).otherwise(0)
+        template = TEMPLATES[name]
+        undecided = template.undecided(Marks()) & ~F.col("closed")
+        one = F.when(template.fulfilled(Marks()), 3 << (2 * i)).when(undecided, 0).otherwise(1 << (2 * i))
+        bits = bits + F.when(_applies(template), one).otherwise(0)
     return bits
 
 

@@ -11,7 +11,8 @@ bins the gain is known exactly. Inside a bin a better cut can lie only if one of
 corners of its counts -- all of one class first, or all of the other -- promises more, as
 information gain is convex. In those few bins every value is counted. So the cut is the best
 one over all values, and the first of equal ones, whatever the sketch says. A cut inside a bin
-divides it, and the events are counted again.
+divides it, and the events are counted again. A bin of share w beside a share s promises about
+w * w / s, so bins are narrower towards both ends: then none promises much more than another.
 
 **Splits.** A node is split by the attribute with the highest gain if the Hoeffding bound says
 that this beats not splitting and the second best attribute that does so as well (or the
@@ -19,8 +20,8 @@ bound is below ``tau``). Rows without the attribute go to the larger side. Equal
 the earlier attribute, then to the smaller cut or value.
 
 **Versions.** With a ``batch`` in the rows, one tree per constraint and version is grown, all
-in the same pass: version v knows the batches before v. ``prequential_scores`` holds each of
-them against its own batch.
+in the same pass: version v knows the batches before v, added up before its rows are routed.
+``prequential_scores`` holds each of them against its own batch.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseweave.functions.scalars import as_boolean, as_number, number_text, payload, ratio3
+from caseweave.functions.scalars import RESERVED_KEYS, as_boolean, as_number, number_text, payload, ratio3
+from caseweave.operators.candidates import PASS_WIDTH
 from caseweave.operators.learning import Settings
 from caseweave.operators.metrics import BROADCAST_RULES, CONSTRAINT
 from caseweave.operators.templates import (
@@ -52,7 +54,9 @@ STEPS = "array<struct<attr:string,op:string,value:string>>"
 FEATURES = "array<struct<attr:string,num:double,code:int,val:string>>"
 
 #: Bins of the quantile sketch, and how exact it is (relative rank error 1 / ACCURACY).
-BINS, ACCURACY = 64, 1000
+BINS, ACCURACY = 64, 4000
+#: Up to this many attributes are columns of their own while events are counted; more stay a list.
+COLUMNS = 32
 #: Cut points of so many (activity, attribute) are broadcast; more are joined.
 BROADCAST_CUTS = 10_000
 #: Bins with more activations than this are searched by blocked sums, others by windows.
@@ -73,17 +77,22 @@ class Trees:
         return self.nodes.filter("is_leaf").drop("is_leaf")
 
 
-def cut_points(log: DataFrame) -> DataFrame:
-    """(activity, attr, cuts): quantiles of the numbers an attribute has at an activity."""
-    entries = log.select("activity", F.explode(payload(F.col("attrs"))).alias("attr", "text"))
-    steps = [i / BINS for i in range(1, BINS)]
+def _quantiles(log: DataFrame) -> DataFrame:
+    """(activity, attr, cuts) of all attributes; ``cuts`` is NULL where none of the values is a number."""
+    entries = log.select("activity", F.explode("attrs").alias("attr", "text")).filter(~F.col("attr").isin(*RESERVED_KEYS) & F.col("text").isNotNull())
+    steps = [math.sin(math.pi * i / (2 * BINS)) ** 2 for i in range(1, BINS)]
     return (
-        entries.select("activity", "attr", as_number(F.col("text")).alias("num")).filter("num IS NOT NULL")
+        entries.select("activity", "attr", as_number(F.col("text")).alias("num"))
         .groupBy("activity", "attr")
         .agg(F.array_sort(F.array_distinct(F.percentile_approx("num", steps, ACCURACY))).alias("cuts"))
     )
 
 
+def cut_points(log: DataFrame) -> DataFrame:
+    """(activity, attr, cuts): quantiles of the numbers an attribute has at an activity."""
+    return _quantiles(log).filter("cuts IS NOT NULL")
+
+
 def with_features(log: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
     """The log with ``feats``: per attribute its number and bin, or its text. ``cuts``: bins kept from before."""
     cuts = freeze(cut_points(log), "cuts") if cuts is None else cuts
@@ -129,19 +138,63 @@ class Binned:
     """The activations of ``activations``, counted: rows constraint_id, feats, n1, n0 (and ``keep``).
 
     A number stands for all numbers of its bin, as the largest of them. The scanned events are
-    written once, and counted per (partner, verdicts, ``keep``, feats) before constraints are told
-    apart; so the rows grow with what occurs, and there are never more than events times partners.
+    written once, and counted per (partner, verdicts, ``keep``, values and bins) before constraints
+    are told apart; so the rows grow with what occurs, and there are never more than events times
+    partners. Until then each attribute is three plain columns (number, bin, text), unless there
+    are more than ``COLUMNS`` attributes: then they are one list, ``feats``.
     """
 
     def __init__(self, log: DataFrame, pairs: Sequence[tuple[str, str]], templates: Sequence[str] = tuple(TEMPLATES), *,
                  keep: Sequence[str] = (), complete: bool = False, hot_rows: int | None = None):
         self.pairs, self.templates, self.keep = pairs, templates, list(keep)
-        featured = freeze(with_features(log).select("case_id", "activity", "ts", "seq", "feats", *keep, *([] if complete else ["is_end"])), "featured")
-        numbers = featured.select("activity", F.inline("feats")).filter("code IS NOT NULL")
+        held = freeze(_quantiles(log), "cuts")
+        attrs = held.groupBy("attr").agg(F.count("cuts").alias("n")).orderBy("attr").limit(COLUMNS + 1).collect()
+        self.listed = len(attrs) > COLUMNS
+        self.attrs = [] if self.listed else [r.attr for r in attrs]
+        self.codes, self.values, self.numbers = ([f"_{kind}{i}" for i in range(len(self.attrs))] for kind in ("code", "value", "number"))
+        fields = ["feats"] if self.listed else [*self.codes, *self.values, *self.numbers]
+        featured = with_features(log, held.filter("cuts IS NOT NULL")) if self.listed else self._columns(log, held, [r.n > 0 for r in attrs])
+        featured = featured.select("case_id", "activity", "ts", "seq", *fields, *keep, *([] if complete else ["is_end"]))
+        if self.listed or len({name for pair in pairs for name in pair}) > PASS_WIDTH:  # read more than once
+            featured = freeze(featured, "featured")
+        self.scans = scanned_events(featured, pairs, keep=[*fields, *keep], complete=complete, frozen=True, hot_rows=hot_rows)
+        numbers = self.scans[0][1].select("activity", F.inline(self._feats())).filter("code IS NOT NULL")
         ranges = numbers.groupBy("activity", "attr", "code").agg(F.min("num").alias("low"), F.max("num").alias("high"))
         self.ranges = freeze(ranges, "ranges")
         self.small = self.ranges.count() <= BROADCAST_CUTS * BINS
-        self.scans = scanned_events(featured, pairs, keep=["feats", *keep], complete=complete, frozen=True, hot_rows=hot_rows)
+
+    def _columns(self, log: DataFrame, held: DataFrame, numeric: Sequence[bool]) -> DataFrame:
+        """The log with number, bin and text of every attribute. The bin -- how many cuts lie below the
+        number -- is found by halving, in steps that compile to plain code."""
+        steps = [1 << k for k in reversed(range((BINS - 1).bit_length()))]
+        padded = F.concat("cuts", F.array_repeat(F.lit(math.inf), F.lit(sum(steps)) - F.size("cuts")))
+        found = held.filter("cuts IS NOT NULL").groupBy(F.col("activity").alias("_of")).agg(
+            F.lit(True).alias("_any"), *[F.max(F.when(F.col("attr") == a, padded)).alias(f"_cuts{i}") for i, a in enumerate(self.attrs)])
+        small = held.count() <= BROADCAST_CUTS
+        met = log.join(F.broadcast(found) if small else found, F.col("activity") == F.col("_of"), "left")
+        text = [F.col(f"_text{i}") for i in range(len(self.attrs))]
+        met = met.select("*", *[F.col("attrs")[a].alias(f"_text{i}") for i, a in enumerate(self.attrs)]).drop("attrs", "_of", "_any")
+        met = met.select("*", *[(as_number(text[i]) if numeric[i] else F.lit(None).cast("double")).alias(name) for i, name in enumerate(self.numbers)])
+        met = met.select("*", *[F.when(F.col(n).isNotNull(), F.lit(0)).alias(code) for n, code in zip(self.numbers, self.codes)])
+        rest = [c for c in met.columns if c not in self.codes]
+        for step in steps:
+            further = [
+                F.col(code) + F.when(F.get(f"_cuts{i}", F.col(code) + (step - 1)) < F.col(self.numbers[i]), step).otherwise(0) if numeric[i] else F.col(code)
+                for i, code in enumerate(self.codes)]
+            met = met.select(*rest, *[c.alias(code) for c, code in zip(further, self.codes)])
+        plain = [F.when(F.col(n).isNull(), F.when(as_boolean(t).isNotNull(), F.lower(t)).otherwise(t)) for n, t in zip(self.numbers, text)]
+        return met.select("*", *[c.alias(name) for c, name in zip(plain, self.values)])
+
+    def _feats(self, number=None, *more) -> Column:
+        """The attributes of an event as a list. ``number`` and ``more`` say what stands there for attribute i."""
+        if self.listed:
+            return F.col("feats")
+        each = []
+        for i, (attr, n, code, value) in enumerate(zip(self.attrs, self.numbers, self.codes, self.values)):
+            fields = [F.lit(attr).alias("attr"), (F.col(n) if number is None else number(i)).alias("num"), F.col(code).alias("code"), F.col(value).alias("val")]
+            each.append(F.when(F.col(code).isNotNull() | F.col(value).isNotNull(), F.struct(*fields, *[m(i) for m in more])))
+        kind = FEATURES if not more else FEATURES.replace(">>", ",many:boolean>>")
+        return F.array_compact(F.array(*each)).cast(kind) if each else F.array().cast(kind)
 
     def _activities(self) -> DataFrame:
         """constraint_id and the activity that activates it."""
@@ -173,43 +226,75 @@ class Binned:
         found = rows.withColumn("_s", F.explode(F.array(*seen))).filter(F.col("_s").isNotNull())
         return found.select("_s.*", *columns, *self.keep)
 
-    def rows(self, splits: DataFrame | None = None) -> DataFrame:
-        """The counted activations, with bins divided where a split cuts them."""
+    def _by_attribute(self, found: DataFrame, values: Column, prefix: str) -> DataFrame:
+        """One row per activity: ``values`` of each attribute, as columns or as one map ``prefix``."""
+        if self.listed:
+            by_attr = found.groupBy("activity", "attr").agg(values.alias("v"))
+            return by_attr.groupBy("activity").agg(F.map_from_entries(F.collect_list(F.struct("attr", "v"))).alias(prefix))
+        by_attr = found.groupBy("activity", "attr").agg(values.alias("v"))
+        return by_attr.groupBy("activity").agg(F.lit(True).alias("_any"), *[F.max(F.when(F.col("attr") == a, F.col("v"))).alias(f"{prefix}{i}") for i, a in enumerate(self.attrs)]).drop("_any")
+
+    def _bins(self) -> DataFrame:
+        """activity, _bins: per attribute the bins with their largest number, and whether they hold several."""
         held = F.struct("high", (F.col("low") < F.col("high")).alias("many"))
         by_attr = self.ranges.groupBy("activity", "attr").agg(F.map_from_entries(F.collect_list(F.struct("code", held))).alias("m"), F.max("code").alias("top"))
         bins = F.transform(F.sequence(F.lit(0), F.col("top")), lambda c: F.col("m")[c])
-        table = by_attr.groupBy("activity").agg(F.map_from_entries(F.collect_list(F.struct("attr", bins.alias("bins")))).alias("_bins"))
+        return by_attr.groupBy("activity").agg(F.map_from_entries(F.collect_list(F.struct("attr", bins.alias("bins")))).alias("_bins"))
+
+    def rows(self, splits: DataFrame | None = None) -> DataFrame:
+        """The counted activations, with bins divided where a split cuts them."""
+        cuts = None
         if splits is not None:
-            cuts = self.of_activity(splits.filter("val IS NULL")).groupBy("activity", "attr").agg(F.array_sort(F.collect_set("num")).alias("cuts"))
-            cuts = cuts.groupBy("activity").agg(F.map_from_entries(F.collect_list(F.struct("attr", "cuts"))).alias("_cuts"))
-            table = table.join(cuts, "activity", "left")
+            cuts = self._by_attribute(self.of_activity(splits.filter("val IS NULL")), F.array_sort(F.collect_set("num")), "_cuts")
+
+        def first_cut(cuts: Column, number: Column) -> Column:
+            return F.get(F.filter(cuts, lambda c: c >= number), F.lit(0))
 
         def coarse(f: Column) -> Column:
             held = F.get(F.col("_bins")[f["attr"]], f["code"])
-            top = held["high"]
-            if splits is not None:
-                top = F.least(top, F.get(F.filter(F.col("_cuts")[f["attr"]], lambda c: c >= f["num"]), F.lit(0)))
+            top = held["high"] if cuts is None else F.least(held["high"], first_cut(F.col("_cuts")[f["attr"]], f["num"]))
             return F.struct(f["attr"].alias("attr"), F.when(f["code"].isNotNull(), top).alias("num"), f["code"].alias("code"),
                             f["val"].alias("val"), F.coalesce(held["many"], F.lit(False)).alias("many"))
 
-        def each(context: DataFrame) -> DataFrame:
-            return self._beside(context, table).withColumn("feats", F.transform("feats", coarse)).drop("_bins", "_cuts")
+        tops = [] if cuts is None or self.listed else [f"_top{i}" for i in range(len(self.attrs))]
 
-        found = self._verdicts(each).filter("_bits > 0")
-        counted = found.groupBy("pair_as_first", "pair_as_second", "_bits", "feats", *self.keep).agg(F.count("*").alias("_n"))
+        def each(context: DataFrame) -> DataFrame:
+            if self.listed:
+                met = self._beside(context, self._bins())
+                met = met if cuts is None else self._beside(met, cuts)
+                return met.withColumn("feats", F.transform("feats", coarse)).drop("_bins", "_cuts")
+            met = context if cuts is None else self._beside(context, cuts)
+            return met.select(*context.columns, *[first_cut(F.col(f"_cuts{i}"), F.col(n)).alias(t) for i, (t, n) in enumerate(zip(tops, self.numbers))])
+
+        here = ["feats"] if self.listed else ["activity", *self.codes, *self.values, *tops]
+        # No filter on the verdicts here: worked out twice they are too much code to be compiled. ``_named`` drops the undecided.
+        counted = self._verdicts(each).groupBy("pair_as_first", "pair_as_second", "_bits", *here, *self.keep).agg(F.count("*").alias("_n"))
         parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return self._named(freeze(counted.repartition(parts), "counted"), F.col("_n"), "feats")
+        named = self._named(freeze(counted.repartition(parts), "counted"), F.col("_n"), *here)
+        # Events of other verdicts, of which a constraint sees no more than its own, are alike here.
+        rows = named.groupBy("constraint_id", *here, *self.keep).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+        if not self.listed:
+            held = lambda i: F.get(F.col("_bins")[self.attrs[i]], F.col(self.codes[i]))
+            top = lambda i: F.when(F.col(self.codes[i]).isNotNull(), F.least(held(i)["high"], F.col(tops[i])) if tops else held(i)["high"])
+            feats = self._feats(top, lambda i: F.coalesce(held(i)["many"], F.lit(False)).alias("many"))
+            rows = self._beside(rows, self._bins()).withColumn("feats", feats)
+        return freeze(rows.select("constraint_id", "feats", "n1", "n0", *self.keep).repartition(parts), "rows")
 
     def inside(self, bins: DataFrame) -> DataFrame:
-        """The activations in the given bins (constraint_id, attr, code), with their own numbers."""
-        wanted = self.of_activity(bins.select("constraint_id", "attr", "code")).groupBy("activity", "attr").agg(F.collect_set("code").alias("codes"))
-        wanted = wanted.groupBy("activity").agg(F.map_from_entries(F.collect_list(F.struct("attr", "codes"))).alias("_wanted"))
+        """The activations in the given bins (constraint_id, attr, code) of their constraints, with their own numbers."""
+        wanted = self._by_attribute(self.of_activity(bins.select("constraint_id", "attr", "code")), F.array_sort(F.collect_set("code")), "_wanted")
 
         def each(context: DataFrame) -> DataFrame:
             met = self._beside(context, wanted)
-            return met.filter(F.exists("feats", lambda f: F.array_contains(F.col("_wanted")[f["attr"]], f["code"]))).drop("_wanted")
+            if self.listed:
+                return met.filter(F.exists("feats", lambda f: F.array_contains(F.col("_wanted")[f["attr"]], f["code"]))).drop("_wanted")
+            any_of = F.lit(False)
+            for i, code in enumerate(self.codes):
+                any_of = any_of | F.coalesce(F.array_contains(F.col(f"_wanted{i}"), F.col(code)), F.lit(False))
+            return met.filter(any_of).select(*context.columns, self._feats().alias("feats"))
 
-        return self._named(self._verdicts(each), F.lit(1).cast("long"), "feats")
+        found = self._named(self._verdicts(each), F.lit(1).cast("long"), "feats")
+        return found.join(F.broadcast(bins.select("constraint_id").distinct()), "constraint_id", "left_semi")
 
     def divides(self, splits: DataFrame) -> bool:
         """Whether a split lies inside a bin."""
@@ -270,6 +355,13 @@ def _met(rows: DataFrame, trees: DataFrame, versions: Sequence[int] | None, smal
     return rows.join(F.broadcast(trees) if small else trees, met).drop("_cid")
 
 
+def _known(rows: DataFrame, versions: Sequence[int]) -> DataFrame:
+    """Counted rows of batches, added up per version over the batches it knows."""
+    later = F.filter(F.array(*[F.lit(int(v)) for v in versions]), lambda v: v > F.col("batch"))
+    spread = rows.withColumn("version", F.explode(later)).groupBy("version", "constraint_id", "feats")
+    return freeze(spread.agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "known")
+
+
 def _counts(rows: DataFrame) -> list[Column]:
     """Rows by class: one each, or as many as they stand for."""
     if "n1" in rows.columns:
@@ -378,30 +470,33 @@ def grow(source: DataFrame | Binned, settings: Settings = Settings(), *, version
     small = bound is not None and bound <= BROADCAST_RULES
     binned = isinstance(source, Binned)
     rows = source.rows() if binned else source
+    known = _known(rows, versions) if binned and versions is not None else rows
     spark = rows.sparkSession
     nodes, splits = None, None
 
-    def placed(rows: DataFrame, depth: int) -> DataFrame:
-        """Rows in the nodes of a level."""
+    def placed(rows: DataFrame, depth: int, only: DataFrame | None = None) -> DataFrame:
+        """Rows in the nodes of a level, of the trees in ``only``."""
         if depth:
-            open_trees = tree_table(splits, keys)
-            met = _met(rows, open_trees, versions, small)
+            open_trees = tree_table(splits if only is None else splits.join(only.select(*keys).distinct(), list(keys), "left_semi"), keys)
+            if "version" in rows.columns:
+                met = rows.join(F.broadcast(open_trees) if small else open_trees, list(keys))
+            else:
+                met = _met(rows, open_trees, versions, small)
             return routed(met, open_trees, depth).filter(F.length("node") == depth).drop("tree")
         here = rows.withColumn("node", F.lit(""))
-        if versions is not None:
+        if versions is not None and "version" not in rows.columns:
             numbers = spark.createDataFrame([(int(v),) for v in versions], "version int")
             here = here.join(F.broadcast(numbers), F.col("batch") < F.col("version"))
         return here
 
     for depth in range(settings.max_depth):
-        if depth == 0 and versions is not None:  # counted by batch first, then added up for the versions that know the batch
+        if depth == 0 and versions is not None and not binned:  # counted by batch first, then added up for the versions that know the batch
             cells = _cells(rows.withColumn("node", F.lit("")), ["batch", "constraint_id"])
             later = F.filter(F.array(*[F.lit(int(v)) for v in versions]), lambda v: v > F.col("batch"))
             spread = cells.withColumn("version", F.explode(later))
-            many = [F.max("many").alias("many")] if binned else []
-            cells = spread.groupBy(*keys, "node", "attr", "code", "val").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.max("num").alias("num"), *many)
+            cells = spread.groupBy(*keys, "node", "attr", "code", "val").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.max("num").alias("num"))
         else:
-            cells = _cells(placed(rows, depth), keys)
+            cells = _cells(placed(known, depth), keys)
         cells = freeze(cells, "cells")
         if nodes is None:
             nodes = cells.filter("attr IS NULL").select(*keys, "node", F.array().cast(STEPS).alias("steps"), "n1", "n0", F.lit(True).alias("is_leaf"))
@@ -420,7 +515,7 @@ def grow(source: DataFrame | Binned, settings: Settings = Settings(), *, version
             # All values of these bins are tested, the last one too.
             others = tests.join(F.broadcast(bins.select(*keys, "node", "attr", "code")) if few else bins.select(*keys, "node", "attr", "code"),
                                 [*keys, "node", "attr", "code"], "left_anti")
-            here = placed(source.inside(bins) if binned else rows, depth)
+            here = placed(source.inside(bins) if binned else rows, depth, bins)
             tests = others.select(*kept).unionByName(_inside(here, bins, keys, size.largest, few, settings).select(*kept))
         else:
             tests = tests.select(*kept)
@@ -431,6 +526,7 @@ def grow(source: DataFrame | Binned, settings: Settings = Settings(), *, version
         nodes = freeze(_divided(nodes, found, keys), "nodes")
         if binned and (versions is not None or depth + 1 < settings.max_depth) and source.divides(found):
             rows = source.rows(splits)
+            known = _known(rows, versions) if versions is not None else rows
     if splits is None:
         splits = found
     return Trees(nodes, splits, keys, rows)
